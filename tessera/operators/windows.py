@@ -99,5 +99,10 @@ def running_total(df: DataFrame, key: str, ts: str, tie: str, cols: list[str], c
     w_c = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = summ.select(key, "_chunk", *[F.sum(f"_{c}_tot").over(w_c).alias(f"_{c}_carry") for c in cols])
     d = d.join(carry, [key, "_chunk"], "left")
-    outs = [(F.col(f"_{c}_in") + F.coalesce(F.col(f"_{c}_carry"), F.lit(0))).alias(f"{c}{suffix}") for c in cols]
+    outs = [
+        F.when(F.col(f"_{c}_in").isNull() & F.col(f"_{c}_carry").isNull(), F.lit(None))
+        .otherwise(F.coalesce(F.col(f"_{c}_in"), F.lit(0)) + F.coalesce(F.col(f"_{c}_carry"), F.lit(0)))
+        .alias(f"{c}{suffix}")
+        for c in cols
+    ]
     return d.select("*", *outs).drop("_chunk", *[f"_{c}_{s}" for c in cols for s in ("in", "carry")])

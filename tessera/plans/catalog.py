@@ -1,3 +1,4 @@
 """Imports every query suite so their ``@query`` registrations run."""
 
 from . import history_suite  # noqa: F401
+from . import series_suite  # noqa: F401
