@@ -2,3 +2,4 @@
 
 from . import history_suite  # noqa: F401
 from . import series_suite  # noqa: F401
+from . import histogram_suite  # noqa: F401
