@@ -4,3 +4,4 @@ from . import history_suite  # noqa: F401
 from . import series_suite  # noqa: F401
 from . import histogram_suite  # noqa: F401
 from . import fleet_suite  # noqa: F401
+from . import joins_suite  # noqa: F401
