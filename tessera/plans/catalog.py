@@ -5,3 +5,4 @@ from . import series_suite  # noqa: F401
 from . import histogram_suite  # noqa: F401
 from . import fleet_suite  # noqa: F401
 from . import joins_suite  # noqa: F401
+from . import state_suite  # noqa: F401
