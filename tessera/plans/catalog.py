@@ -6,3 +6,4 @@ from . import histogram_suite  # noqa: F401
 from . import fleet_suite  # noqa: F401
 from . import joins_suite  # noqa: F401
 from . import state_suite  # noqa: F401
+from . import text_suite  # noqa: F401
