@@ -7,3 +7,4 @@ from . import fleet_suite  # noqa: F401
 from . import joins_suite  # noqa: F401
 from . import state_suite  # noqa: F401
 from . import text_suite  # noqa: F401
+from . import maintenance_suite  # noqa: F401
