@@ -8,3 +8,4 @@ from . import joins_suite  # noqa: F401
 from . import state_suite  # noqa: F401
 from . import text_suite  # noqa: F401
 from . import maintenance_suite  # noqa: F401
+from . import streaming_suite  # noqa: F401
