@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-RUNNING = F.col("status_type") == F.lit("Running")
+def running() -> Column:
+    return F.col("status_type") == F.lit("Running")
 
 SUM_FIELDS = [
     "tokens_per_sec", "avg_tokens_per_sec", "prompt_tokens_per_sec", "avg_prompt_tokens_per_sec",
@@ -44,7 +45,7 @@ def _ratio(num: Column, den: Column, scale: float = 1.0) -> Column:
 
 def fleet_aggregate(snaps: DataFrame, tick: str = "tick_ts") -> DataFrame:
     """Fleet card per tick over running engines (all null but ``total_count`` when none runs)."""
-    r = RUNNING
+    r = running()
     w = F.col("total_requests")
     aggs = [
         F.count_if(r).alias("running_count"),
@@ -133,7 +134,7 @@ def provider_groups(spark: SparkSession, snaps: DataFrame, tick: str = "tick_ts"
     Key/label: provider slug/label; else ``raw:<lower prefix>``/prefix; else
     ``unknown``/``Unknown``. A group's label is that of its first engine.
     """
-    run = snaps.where(RUNNING).withColumn("_rid", F.concat_ws("|", F.col(tick).cast("string"), F.col(order_col)))
+    run = snaps.where(running()).withColumn("_rid", F.concat_ws("|", F.col(tick).cast("string"), F.col(order_col)))
     r = provider_resolve(spark, run, "_rid", "model_name")
     key = (
         F.when(F.col("provider_slug").isNotNull(), F.col("provider_slug"))
@@ -154,7 +155,7 @@ def provider_groups(spark: SparkSession, snaps: DataFrame, tick: str = "tick_ts"
 
 def active_engine(snaps: DataFrame, tick: str = "tick_ts", order_col: str = "engine_key") -> DataFrame:
     """First running engine per tick (in engine order) with its model and throughput."""
-    return snaps.where(RUNNING).groupBy(tick).agg(
+    return snaps.where(running()).groupBy(tick).agg(
         F.min_by(F.struct(order_col, "model_name", "tokens_per_sec"), order_col).alias("_a")
     ).select(tick, F.col(f"_a.{order_col}").alias(order_col), "_a.model_name", "_a.tokens_per_sec")
 

@@ -51,7 +51,7 @@ def q_fleet_aggregate(spark, sf):
 
 @query("running_filter", SNAPS + "SELECT tick_ts, engine_key, status_type, model_name FROM engine_snapshots WHERE status_type = 'Running'")
 def q_running_filter(spark, sf):
-    return snaps(spark, sf).where(FL.RUNNING).select("tick_ts", "engine_key", "status_type", "model_name")
+    return snaps(spark, sf).where(FL.running()).select("tick_ts", "engine_key", "status_type", "model_name")
 
 
 @query("weighted_mean", SNAPS + f"""
