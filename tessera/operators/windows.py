@@ -106,3 +106,18 @@ def running_total(df: DataFrame, key: str, ts: str, tie: str, cols: list[str], c
         for c in cols
     ]
     return d.select("*", *outs).drop("_chunk", *[f"_{c}_{s}" for c in cols for s in ("in", "carry")])
+
+
+def running_max(df: DataFrame, key: str, ts: str, tie: str, cols: list[str], chunk_ms: int = DAY_MS,
+                suffix: str = "_runmax") -> DataFrame:
+    """Cumulative ``max`` (nulls skipped) over (key order by ts, tie), skew-safe like ``running_total``."""
+    d = df.withColumn("_chunk", _chunk(ts, chunk_ms))
+    w = Window.partitionBy(key, "_chunk").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    for c in cols:
+        d = d.withColumn(f"_{c}_in", F.max(c).over(w))
+    summ = d.groupBy(key, "_chunk").agg(*[F.max(c).alias(f"_{c}_tot") for c in cols])
+    w_c = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select(key, "_chunk", *[F.max(f"_{c}_tot").over(w_c).alias(f"_{c}_carry") for c in cols])
+    d = d.join(carry, [key, "_chunk"], "left")
+    outs = [F.greatest(F.col(f"_{c}_in"), F.col(f"_{c}_carry")).alias(f"{c}{suffix}") for c in cols]
+    return d.select("*", *outs).drop("_chunk", *[f"_{c}_{s}" for c in cols for s in ("in", "carry")])
