@@ -11,3 +11,4 @@ from . import maintenance_suite  # noqa: F401
 from . import streaming_suite  # noqa: F401
 from . import hardware_suite  # noqa: F401
 from . import host_suite  # noqa: F401
+from . import misc_suite  # noqa: F401
