@@ -153,3 +153,23 @@ def warmup_baseline(polls: DataFrame, skip: int = 1, chunk_ms: int = DAY_MS) ->
     for o in outs[1:]:
         res = res.unionByName(o)
     return res
+
+
+def baseline_subtract_hist(cur: DataFrame, keys: list[str], epoch: str, tick: str) -> DataFrame:
+    """Histogram buckets minus the epoch's baseline histogram, bucket by bucket (floored at 0).
+
+    ``cur``: (keys..., epoch, tick, metric, le, cum). The baseline of an
+    (key, epoch, metric) is its histogram at the epoch's first tick. A
+    histogram whose bucket bounds differ from the baseline's is dropped; one
+    without a baseline passes unchanged. Bucket-bound sets are compared as
+    sorted arrays (one histogram's bounds), everything else is joins.
+    """
+    hk = [*keys, epoch, "metric"]
+    first = cur.groupBy(*hk).agg(F.min(tick).alias("_t0"))
+    base = cur.join(first, hk).where(F.col(tick) == F.col("_t0")).select(*hk, "le", F.col("cum").alias("_base"))
+    base_set = base.groupBy(*hk).agg(F.array_sort(F.collect_list("le")).alias("_bset"))
+    cur_set = cur.groupBy(*hk, tick).agg(F.array_sort(F.collect_list("le")).alias("_cset"))
+    j = cur.join(base, [*hk, "le"], "left").join(base_set, hk, "left").join(cur_set, [*hk, tick], "inner")
+    j = j.where(F.col("_bset").isNull() | (F.col("_bset") == F.col("_cset")))
+    adj = F.when(F.col("_base").isNull(), F.col("cum")).otherwise(F.greatest(F.col("cum") - F.col("_base"), F.lit(0.0)))
+    return j.select(*keys, epoch, tick, "metric", "le", adj.alias("cum"))

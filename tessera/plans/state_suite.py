@@ -64,3 +64,24 @@ def warmup_input(spark, sf):
 @query("warmup_baseline")  # sequential state machine: rows-only check; unit-tested against a brute-force run
 def q_warmup_baseline(spark, sf):
     return ST.warmup_baseline(warmup_input(spark, sf), skip=1, chunk_ms=7 * DAY_MS)
+
+
+def _hist_cur_sql(d):
+    return (f"SELECT engine_key, {d.div('tick_ts', str(7 * DAY_MS))} AS epoch, tick_ts, metric, le, cum FROM {d.t('hist_buckets')} "
+            f"WHERE NOT ({d.div('tick_ts', '3600000')} % 5 = 0 AND le = 0.001)")
+
+
+@query("baseline_subtract", fx.duck_cte("hist_buckets").rstrip("\n") + f""",
+c AS ({_hist_cur_sql(fx.DUCK)}),
+f AS (SELECT engine_key, epoch, metric, min(tick_ts) AS t0 FROM c GROUP BY 1, 2, 3),
+b AS (SELECT c.engine_key, c.epoch, c.metric, c.le, c.cum AS base FROM c JOIN f USING (engine_key, epoch, metric) WHERE c.tick_ts = f.t0),
+bs AS (SELECT engine_key, epoch, metric, list_sort(list(le)) AS bset FROM b GROUP BY 1, 2, 3),
+cs AS (SELECT engine_key, epoch, metric, tick_ts, list_sort(list(le)) AS cset FROM c GROUP BY 1, 2, 3, 4)
+SELECT c.engine_key, c.epoch, c.tick_ts, c.metric, c.le, CASE WHEN b.base IS NULL THEN c.cum ELSE greatest(c.cum - b.base, 0.0) END AS cum
+FROM c LEFT JOIN b USING (engine_key, epoch, metric, le) LEFT JOIN bs USING (engine_key, epoch, metric)
+JOIN cs USING (engine_key, epoch, metric, tick_ts)
+WHERE bs.bset IS NULL OR bs.bset = cs.cset
+""")
+def q_baseline_subtract(spark, sf):
+    cur = spark.sql(_hist_cur_sql(fx.SPARK), hist_buckets=fx.view(spark, sf, "hist_buckets"))
+    return ST.baseline_subtract_hist(cur, ["engine_key"], "epoch", "tick_ts")
