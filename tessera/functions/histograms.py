@@ -18,46 +18,53 @@ def _sql_lit(x) -> str:
 
 
 def percentile_sql(b: str, q: str) -> str:
-    """SQL for: first bucket with cum >= total*q, linear inside it; +Inf -> nearest finite le."""
+    """SQL for: first bucket with cum >= total*q, linear inside it; +Inf -> nearest lower finite le.
+
+    One ``aggregate`` fold over the buckets carries the previous bucket and
+    the last finite bound until the target bucket is found.
+    """
     total = f"element_at({b}, -1).cum"
     target = f"({total} * {q})"
-    idx = f"array_position(transform({b}, x -> x.cum >= {target}), true)"
-    cur = f"element_at({b}, CAST({idx} AS INT))"
-    prev_le = f"(CASE WHEN {idx} = 1 THEN 0.0D ELSE element_at({b}, CAST({idx} - 1 AS INT)).le END)"
-    prev_cum = f"(CASE WHEN {idx} = 1 THEN 0.0D ELSE element_at({b}, CAST({idx} - 1 AS INT)).cum END)"
-    lower_finite = f"try_element_at(filter(slice({b}, 1, CAST(greatest({idx} - 1, 0) AS INT)), x -> x.le <> {INF}), -1).le"
+    init = ("named_struct('done', false, 'ple', 0.0D, 'pcum', 0.0D, 'lfin', CAST(NULL AS DOUBLE), "
+            "'res', CAST(NULL AS DOUBLE))")
+    hit = (f"named_struct('done', true, 'ple', acc.ple, 'pcum', acc.pcum, 'lfin', acc.lfin, 'res', "
+           f"CASE WHEN x.le = {INF} THEN acc.lfin "
+           f"WHEN x.cum - acc.pcum <= 0 OR x.le - acc.ple <= 0 THEN x.le "
+           f"ELSE acc.ple + ({target} - acc.pcum) / (x.cum - acc.pcum) * (x.le - acc.ple) END)")
+    step = (f"named_struct('done', false, 'ple', x.le, 'pcum', x.cum, "
+            f"'lfin', CASE WHEN x.le <> {INF} THEN x.le ELSE acc.lfin END, 'res', CAST(NULL AS DOUBLE))")
+    fold = (f"aggregate({b}, {init}, (acc, x) -> CASE WHEN acc.done THEN acc "
+            f"WHEN x.cum >= {target} THEN {hit} ELSE {step} END, acc -> acc.res)")
     return f"""(CASE
       WHEN {b} IS NULL OR size({b}) = 0 OR NOT ({q} BETWEEN 0.0D AND 1.0D) THEN NULL
       WHEN {total} <= 0 THEN NULL
-      WHEN {idx} = 0 THEN NULL
-      WHEN {cur}.le = {INF} THEN (CASE WHEN {idx} = 1 THEN NULL ELSE {lower_finite} END)
-      WHEN {cur}.cum - {prev_cum} <= 0 OR {cur}.le - {prev_le} <= 0 THEN {cur}.le
-      ELSE {prev_le} + ({target} - {prev_cum}) / ({cur}.cum - {prev_cum}) * ({cur}.le - {prev_le})
+      ELSE {fold}
     END)"""
 
 
 def fraction_le_sql(b: str, thr: str) -> str:
-    """SQL for the interpolated share of observations <= thr (clamped to [0, 1])."""
+    """SQL for the interpolated share of observations <= thr (clamped to [0, 1]); one fold over the buckets."""
     total = f"element_at({b}, -1).cum"
     first = f"element_at({b}, 1)"
-    idx = f"array_position(transform({b}, x -> x.le = {INF} OR x.le >= {thr}), true)"
-    cur = f"element_at({b}, CAST({idx} AS INT))"
-    prev_le = f"(CASE WHEN {idx} = 1 THEN 0.0D ELSE element_at({b}, CAST({idx} - 1 AS INT)).le END)"
-    prev_cum = f"(CASE WHEN {idx} = 1 THEN 0.0D ELSE element_at({b}, CAST({idx} - 1 AS INT)).cum END)"
 
     def clamp(x: str) -> str:
         return f"least(greatest({x}, 0.0D), 1.0D)"
 
+    init = "named_struct('done', false, 'ple', 0.0D, 'pcum', 0.0D, 'res', CAST(NULL AS DOUBLE))"
+    hit = (f"named_struct('done', true, 'ple', acc.ple, 'pcum', acc.pcum, 'res', "
+           f"CASE WHEN x.le = {INF} THEN {clamp(f'acc.pcum / {total}')} "
+           f"WHEN x.le - acc.ple <= 0 OR x.cum - acc.pcum <= 0 THEN {clamp(f'acc.pcum / {total}')} "
+           f"ELSE {clamp(f'(acc.pcum + ({thr} - acc.ple) / (x.le - acc.ple) * (x.cum - acc.pcum)) / {total}')} END)")
+    step = "named_struct('done', false, 'ple', x.le, 'pcum', x.cum, 'res', CAST(NULL AS DOUBLE))"
+    fold = (f"aggregate({b}, {init}, (acc, x) -> CASE WHEN acc.done THEN acc "
+            f"WHEN x.le = {INF} OR x.le >= {thr} THEN {hit} ELSE {step} END, acc -> coalesce(acc.res, 1.0D))")
     return f"""(CASE
       WHEN {b} IS NULL OR size({b}) = 0 OR isnan({thr}) THEN NULL
       WHEN {total} <= 0 THEN NULL
       WHEN {thr} <= {first}.le AND {first}.le <> {INF} THEN
         (CASE WHEN {first}.le <= 0 THEN 0.0D
               ELSE {clamp(f"{first}.cum * {clamp(f'{thr} / {first}.le')} / {total}")} END)
-      WHEN {idx} = 0 THEN 1.0D
-      WHEN {cur}.le = {INF} THEN {clamp(f"{prev_cum} / {total}")}
-      WHEN {cur}.le - {prev_le} <= 0 OR {cur}.cum - {prev_cum} <= 0 THEN {clamp(f"{prev_cum} / {total}")}
-      ELSE {clamp(f"({prev_cum} + ({thr} - {prev_le}) / ({cur}.le - {prev_le}) * ({cur}.cum - {prev_cum})) / {total}")}
+      ELSE {fold}
     END)"""
 
 

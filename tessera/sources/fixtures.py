@@ -218,27 +218,32 @@ FROM {d.t('events')}
 def sql_hist_buckets(d: Dialect) -> str:
     """Cumulative histogram per (engine, hour, metric): one row per bound.
 
-    Bounds are exploded from a literal list (a generator, not a join).
-    Observations are latency seconds = value * scale / 1000.
+    One aggregation pass computes every cumulative count at once
+    (``count_if(lat <= bound)`` per bound, latency seconds = value * scale /
+    1000); the per-histogram row is then unpivoted into one row per bound.
     """
     tick = f"{d.div(d.ms('ts'), '3600000')} * 3600000"
-    bounds = ", ".join(repr(b) for b in HIST_BOUNDS) + f", {d.inf()}"
+    bounds = [repr(b) for b in HIST_BOUNDS] + [d.inf()]
     metric_case = "CASE m " + " ".join(f"WHEN '{m}' THEN value * {s} / 1000" for m, s in HIST_SCALE) + " END"
     metrics = ", ".join(f"'{m}'" for m, _ in HIST_SCALE)
-    if d.name == "duckdb":
-        gen = f"CROSS JOIN (SELECT unnest([{metrics}]) AS m) ms CROSS JOIN (SELECT unnest([{bounds}]) AS le) bs"
-    else:
-        gen = f"LATERAL VIEW explode(array({metrics})) ms AS m LATERAL VIEW explode(array({bounds})) bs AS le"
-    return f"""
-SELECT engine_key, tick_ts, metric, le, CAST(sum(hit) AS DOUBLE) AS cum
-FROM (
-  SELECT 'engine-' || CAST(user_id % 8 AS STRING) AS engine_key, {tick} AS tick_ts, m AS metric, le,
-         CASE WHEN ({metric_case}) <= le THEN 1 ELSE 0 END AS hit
+    counts = ", ".join(f"count_if(lat <= {b}) AS c{i}" for i, b in enumerate(bounds))
+    gen = (f"CROSS JOIN (SELECT unnest([{metrics}]) AS m) ms" if d.name == "duckdb"
+           else f"LATERAL VIEW explode(array({metrics})) ms AS m")
+    head = f"""
+WITH obs AS (
+  SELECT 'engine-' || CAST(user_id % 8 AS STRING) AS engine_key, {tick} AS tick_ts, m AS metric, {metric_case} AS lat
   FROM {d.t('events')} {gen}
   WHERE event_type <> 'error'
-) x
-GROUP BY engine_key, tick_ts, metric, le
-""".replace("STRING", "VARCHAR" if d.name == "duckdb" else "STRING")
+),
+agg AS (SELECT engine_key, tick_ts, metric, {counts} FROM obs GROUP BY engine_key, tick_ts, metric)
+"""
+    if d.name == "duckdb":
+        body = " UNION ALL ".join(
+            f"SELECT engine_key, tick_ts, metric, {b} AS le, CAST(c{i} AS DOUBLE) AS cum FROM agg" for i, b in enumerate(bounds))
+    else:
+        pairs = ", ".join(f"CAST({b} AS DOUBLE), CAST(c{i} AS DOUBLE)" for i, b in enumerate(bounds))
+        body = f"SELECT engine_key, tick_ts, metric, stack({len(bounds)}, {pairs}) AS (le, cum) FROM agg"
+    return (head + body).replace("STRING", "VARCHAR" if d.name == "duckdb" else "STRING")
 
 
 def sql_hist_totals(d: Dialect) -> str:
