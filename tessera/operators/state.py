@@ -123,32 +123,36 @@ def warmup_baseline(polls: DataFrame, skip: int = 1, chunk_ms: int = DAY_MS) ->
     """
     spark = polls.sparkSession
     d = polls.withColumn("_chunk", F.floor(F.col("ts") / F.lit(chunk_ms)).cast("long"))
-    chunks = [r[0] for r in d.select("_chunk").distinct().orderBy("_chunk").collect()]  # one value per day
+    chunks = [r[0] for r in d.select("_chunk").distinct().orderBy("_chunk").collect()]  # one value per chunk
     state = spark.createDataFrame([], STATE_SCHEMA)
-    outs = []
-
-    def step(key, prows: pd.DataFrame, srows: pd.DataFrame):
+    out_cols = [c.split()[0] for c in WARMUP_OUT.split(", ")]
+    st_cols = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
+    # one pass per chunk emits both the output rows and the carried state row, tagged by kind
+    both_schema = "kind string, " + WARMUP_OUT + ", " + ", ".join(
+        f"st_{c}" for c in STATE_SCHEMA.split(", ") if not c.startswith("engine_key"))
+    both_cols = [c.split()[0] for c in both_schema.split(", ")]
+
+    def step(key, prows: pd.DataFrame, srows: pd.DataFrame) -> pd.DataFrame:
+        if len(prows) == 0:  # engine idle in this chunk: carry its state unchanged
+            st = srows[st_cols].rename(columns={c: f"st_{c}" for c in st_cols if c != "engine_key"})
+            st.insert(0, "kind", "state")
+            return st.reindex(columns=both_cols)
         prows = prows.sort_values(["ts", "seq"])
-        st = _state_from(srows.iloc[0] if len(srows) else None)
-        rows, new = warmup_step(prows, st, skip)
-        yield_df = pd.DataFrame(rows, columns=[c.split()[0] for c in WARMUP_OUT.split(", ")])
-        return yield_df, _state_row(prows["engine_key"].iloc[0] if len(prows) else key[0], new)
-
-    def run_out(key, prows, srows):
-        if len(prows) == 0:
-            return pd.DataFrame(columns=[c.split()[0] for c in WARMUP_OUT.split(", ")])
-        return step(key, prows, srows)[0]
-
-    def run_state(key, prows, srows):
-        if len(prows) == 0:
-            return srows[[c.split()[0] for c in STATE_SCHEMA.split(", ")]]
-        return pd.DataFrame([step(key, prows, srows)[1]], columns=[c.split()[0] for c in STATE_SCHEMA.split(", ")])
+        rows, new = warmup_step(prows, _state_from(srows.iloc[0] if len(srows) else None), skip)
+        out = pd.DataFrame(rows, columns=out_cols)
+        out.insert(0, "kind", "out")
+        srow = dict(zip(st_cols, _state_row(prows["engine_key"].iloc[0], new)))
+        st = pd.DataFrame([{"kind": "state", "engine_key": srow["engine_key"],
+                            **{f"st_{c}": srow[c] for c in st_cols if c != "engine_key"}}])
+        return pd.concat([out, st], ignore_index=True).reindex(columns=both_cols)
 
+    outs = []
     for ch in chunks:
         part = d.where(F.col("_chunk") == ch).drop("_chunk")
-        g = part.groupBy("engine_key").cogroup(state.groupBy("engine_key"))
-        outs.append(g.applyInPandas(run_out, WARMUP_OUT).checkpoint())
-        state = g.applyInPandas(run_state, STATE_SCHEMA).checkpoint()
+        both = part.groupBy("engine_key").cogroup(state.groupBy("engine_key")).applyInPandas(step, both_schema).checkpoint()
+        outs.append(both.where(F.col("kind") == "out").select(*out_cols))
+        state = both.where(F.col("kind") == "state").select(
+            "engine_key", *[F.col(f"st_{c}").alias(c) for c in st_cols if c != "engine_key"])
     res = outs[0]
     for o in outs[1:]:
         res = res.unionByName(o)

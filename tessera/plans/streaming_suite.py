@@ -25,7 +25,7 @@ def q_stream_rollup(spark, sf):
                       raw_dir, os.path.join(base, "ck-raw"))
     q.awaitTermination()
     q = SJ.stream_rollup(spark, raw_dir, hourly, os.path.join(base, "ck-rollup"), W.NOW_MS,
-                         spark.read.parquet(raw_dir).schema, max_files=3)
+                         spark.read.parquet(raw_dir).schema, max_files=30)
     q.awaitTermination()
     return spark.read.parquet(hourly)
 

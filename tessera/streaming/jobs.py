@@ -37,7 +37,9 @@ def _upsert_hourly(spark: SparkSession, batch: DataFrame, raw_dir: str, hourly_d
     touched = batch.where(F.col("ts") < cutoff).select("engine_key", bucket(F.col("ts"), HOUR_MS).alias("bucket_ts")).distinct()
     if touched.isEmpty():
         return
-    raw = spark.read.parquet(raw_dir).drop("day")
+    # the days a micro-batch touches (a handful): partition pruning on both tables
+    days = [r[0] for r in touched.select(bucket(F.col("bucket_ts"), DAY_MS).alias("d")).distinct().collect()]
+    raw = spark.read.parquet(raw_dir).where(F.col("day").isin(days)).drop("day")
     rows = raw.withColumn("bucket_ts", bucket(F.col("ts"), HOUR_MS)).join(touched, ["engine_key", "bucket_ts"], "left_semi")
     fresh = tiers.rollup_1h(rows.drop("bucket_ts"), now_ms).withColumn("day", bucket(F.col("bucket_ts"), DAY_MS))
     try:
@@ -45,8 +47,7 @@ def _upsert_hourly(spark: SparkSession, batch: DataFrame, raw_dir: str, hourly_d
     except AnalysisException:  # first batch: no table yet
         existing = None
     if existing is not None:
-        days = fresh.select("day").distinct()
-        old = existing.join(days, "day", "left_semi")
+        old = existing.where(F.col("day").isin(days))
         merged = tiers.upsert_replace(old, fresh)
     else:
         merged = fresh
