@@ -20,7 +20,8 @@ HEADLINE = [
     "rollup_1h", "rollup_1d", "summary_cascade", "timeseries_short", "timeseries_long", "bucket_agg_policy",
     "counter_rate", "running_avg_rate", "per_request_rate", "trend", "hist_percentile", "goodput", "slo_join",
     "fleet_aggregate", "provider_groups", "pid_tree", "gpu_placement", "scrape_ingest", "warmup_baseline",
-    "failure_streak", "log_lines", "launch_extract",
+    "failure_streak", "log_lines", "launch_extract", "latest_state_join", "network_totals", "memory_split",
+    "power_scale", "unpivot_series", "node_roster", "baseline_subtract", "pricing_lookup",
 ]
 
 

@@ -42,7 +42,7 @@ FROM {d.t('orders')}"""
 
 
 def disks_sql(d) -> str:
-    return _s(f"""SELECT l_orderkey AS snap_id, l_linenumber AS ord,
+    return _s(f"""SELECT l_orderkey AS snap_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS INT) AS ord,
   CASE WHEN l_linenumber = 2 THEN '' ELSE 'nvme' || CAST(l_linenumber AS STRING) || 'n1' END AS name,
   CAST(l_partkey % 4 AS BIGINT) * 1000000000000 AS total_space,
   CAST(l_partkey AS BIGINT) * 1000 AS read_bytes, CAST(l_suppkey AS BIGINT) * 1000 AS write_bytes
@@ -56,13 +56,13 @@ _NIC_ADDRS = ("10.0.0.5", "127.0.0.1", "0.0.0.0", "169.254.1.5", "::1", "fe80::1
 def nics_sql(d) -> str:
     n = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_NIC_NAMES))
     a = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_NIC_ADDRS))
-    return f"""SELECT l_orderkey AS snap_id, l_linenumber AS ord, CASE l_partkey % 8 {n} END AS name,
+    return f"""SELECT l_orderkey AS snap_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS INT) AS ord, CASE l_partkey % 8 {n} END AS name,
   CASE l_suppkey % 8 {a} END AS address, CAST(l_partkey AS BIGINT) * 100 AS rx, CAST(l_suppkey AS BIGINT) * 100 AS tx
 FROM {d.t('lineitem')}"""
 
 
 def cores_sql(d) -> str:
-    return f"""SELECT l_orderkey AS snap_id, CAST(l_linenumber - 1 AS INT) AS core_id, l_discount * 1000 AS usage_percent,
+    return f"""SELECT l_orderkey AS snap_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS INT) AS core_id, l_discount * 1000 AS usage_percent,
   CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE 'AMD EPYC 9654' END AS brand
 FROM {d.t('lineitem')}"""
 
