@@ -1,8 +1,8 @@
 """Text sources as Spark jobs: exposition-format scrapes, log chunks, worker tallies.
 
-Parsing is column expressions over exploded lines (``posexplode(split)``,
-``regexp_extract``), joined to the declared ``# TYPE`` lines on
-(body, base name); no per-body Python parser.
+Parsing is column expressions: a scrape body is split and parsed inside its
+own row with array functions (no per-body Python parser, no shuffle); log
+chunks are exploded into pieces and reassembled by line number.
 """
 
 from __future__ import annotations
@@ -25,40 +25,60 @@ def scrape_ingest(bodies: DataFrame, keys: list[str], body: str = "body") -> Dat
     ``le``); summaries are dropped; untyped names ending in
     ``_sum``/``_count``/``_total`` are counters, other untyped ones gauges;
     labels are dropped and the last sample per name (and ``le``) wins.
+
+    Each body is parsed inside its own row with array functions (the
+    ``# TYPE`` declarations are looked up within the body, duplicates are
+    resolved by sorting the body's samples), so the job is a map-only scan
+    followed by one explode: no shuffle.
     """
-    lines = bodies.select(*keys, F.posexplode(F.split(F.replace(F.col(body), F.lit("vllm:"), F.lit("vllm_")), "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.trim("line"))
-    types = lines.where(F.col("line").startswith("# TYPE ")).select(
-        *keys, F.regexp_extract("line", r"^# TYPE\s+(\S+)\s+(\S+)", 1).alias("base"),
-        F.lower(F.regexp_extract("line", r"^# TYPE\s+(\S+)\s+(\S+)", 2)).alias("declared"))
-    types = types.groupBy(*keys, "base").agg(F.last("declared").alias("declared"))
-    s = lines.where((F.length("line") > 0) & ~F.col("line").startswith("#")).select(
-        *keys, "line_no",
-        F.regexp_extract("line", NAME_RE, 1).alias("name"),
-        F.regexp_extract("line", LABELS_RE, 1).alias("labels"),
-        F.regexp_extract("line", VALUE_RE, 1).alias("raw_value"),
-    )
-    s = s.withColumn("value", F.when(F.col("raw_value") == "+Inf", F.lit(float("inf")))
-                     .when(F.col("raw_value") == "-Inf", F.lit(float("-inf"))).otherwise(F.col("raw_value").try_cast("double")))
-    s = s.where(F.col("value").isNotNull() & (F.col("name") != ""))
-    hist_base = F.regexp_extract("name", r"^(.*)_bucket$", 1)
-    s = s.withColumn("_hb", hist_base)
-    # exact declaration first (counter/gauge/summary by name), then histogram by base name
-    t_exact = types.select(*keys, F.col("base").alias("name"), F.col("declared").alias("_d_exact"))
-    t_hist = types.where(F.col("declared") == "histogram").select(*keys, F.col("base").alias("_hb"), F.lit(True).alias("_is_hist"))
-    s = s.join(t_exact, [*keys, "name"], "left").join(t_hist, [*keys, "_hb"], "left")
-    le_txt = F.regexp_extract("labels", r'(?:^|,)\s*le="([^"]*)"', 1)
-    le = F.when(le_txt == "+Inf", F.lit(float("inf"))).otherwise(le_txt.try_cast("double"))
-    untyped_kind = F.when(F.col("name").rlike("(_sum|_count|_total)$"), "counter").otherwise("gauge")
-    kind = (F.when(F.coalesce(F.col("_is_hist"), F.lit(False)) & (le_txt != ""), "histogram")
-            .when(F.col("_d_exact") == "counter", "counter")
-            .when(F.col("_d_exact") == "gauge", "gauge")
-            .when(F.col("_d_exact") == "summary", F.lit(None))
-            .otherwise(untyped_kind))
-    s = s.select(*keys, "line_no", F.when(kind == "histogram", F.col("_hb")).otherwise(F.col("name")).alias("name"),
-                 kind.alias("kind"), F.when(kind == "histogram", le).alias("le"), "value").where(F.col("kind").isNotNull())
-    # last sample per (name, le) wins; buckets stay one row per bound
-    return s.groupBy(*keys, "name", "kind", "le").agg(F.max_by("value", "line_no").alias("value"))
+    lines = F.split(F.replace(F.col(body), F.lit("vllm:"), F.lit("vllm_")), "\n")
+    b = bodies.select(*keys, lines.alias("_l"))
+    type_re = r"^#\s*TYPE\s+(\S+)\s+(\S+)"
+    idx = F.sequence(F.lit(1), F.greatest(F.size("_l"), F.lit(1)))
+    # declared types of this body as a map; a repeated declaration keeps its last kind
+    decl = F.transform(F.filter(F.transform(idx, lambda i: F.struct(F.trim(F.try_element_at(F.col("_l"), i)).alias("t"), i.alias("i"))),
+                                lambda x: x["t"].startswith("# TYPE ")),
+                       lambda x: F.struct(F.regexp_extract(x["t"], type_re, 1).alias("n"), x["i"].alias("i"),
+                                          F.lower(F.regexp_extract(x["t"], type_re, 2)).alias("k")))
+    b = b.withColumn("_d", F.array_sort(decl))
+    nd = F.size("_d")
+    last_decl = F.filter(F.sequence(F.lit(1), F.greatest(nd, F.lit(1))), lambda i: (i <= nd) & (
+        (i == nd) | (F.element_at("_d", i)["n"] != F.try_element_at("_d", i + 1)["n"])))
+    b = b.withColumn("_types", F.map_from_entries(F.transform(last_decl, lambda i: F.struct(
+        F.element_at("_d", i)["n"], F.element_at("_d", i)["k"]))))
+    # stage 1: one regex pass per sample line
+    s1 = F.transform(idx, lambda i: F.struct(i.alias("i"), F.trim(F.try_element_at(F.col("_l"), i)).alias("t")))
+    s1 = F.filter(s1, lambda x: x["t"].isNotNull() & (F.length(x["t"]) > 0) & ~x["t"].startswith("#"))
+    s1 = F.transform(s1, lambda x: F.struct(
+        x["i"].alias("i"), F.regexp_extract(x["t"], NAME_RE, 1).alias("name"),
+        F.regexp_extract(x["t"], LABELS_RE, 1).alias("labels"), F.regexp_extract(x["t"], VALUE_RE, 1).alias("rv")))
+    b = b.withColumn("_s", s1)
+
+    # stage 2: classification from the already extracted fields
+    def parse(x):
+        name, rv = x["name"], x["rv"]
+        value = F.when(rv == "+Inf", F.lit(float("inf"))).when(rv == "-Inf", F.lit(float("-inf"))).otherwise(rv.try_cast("double"))
+        hb = F.when(name.endswith("_bucket"), name.substr(F.lit(1), F.length(name) - F.lit(7)))
+        le_txt = F.regexp_extract(x["labels"], r'(?:^|,)\s*le="([^"]*)"', 1)
+        le = F.when(le_txt == "+Inf", F.lit(float("inf"))).otherwise(le_txt.try_cast("double"))
+        is_hist = F.coalesce((F.try_element_at("_types", hb) == "histogram") & (le_txt != ""), F.lit(False))
+        d = F.try_element_at("_types", name)
+        kind = (F.when(is_hist, "histogram").when(d == "counter", "counter").when(d == "gauge", "gauge")
+                .when(d == "summary", F.lit(None).cast("string"))
+                .when(name.rlike("(_sum|_count|_total)$"), "counter").otherwise("gauge"))
+        return F.struct(F.when(is_hist, hb).otherwise(name).alias("name"), kind.alias("kind"),
+                        F.when(is_hist, le).alias("le"), x["i"].alias("i"), value.alias("value"))
+
+    b = b.withColumn("_p", F.filter(F.transform("_s", parse),
+                                    lambda p: p["value"].isNotNull() & (p["name"] != "") & p["kind"].isNotNull()))
+    # last sample per (name, le) wins: sort by (name, kind, le, line) and keep the last of each run
+    b = b.withColumn("_p", F.array_sort("_p"))
+    n = F.size("_p")
+    keep = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (
+        (i == n) | (F.element_at("_p", i)["name"] != F.try_element_at("_p", i + 1)["name"])
+        | ~F.element_at("_p", i)["le"].eqNullSafe(F.try_element_at("_p", i + 1)["le"])))
+    b = b.select(*keys, F.explode(F.transform(keep, lambda i: F.element_at("_p", i))).alias("_x"))
+    return b.select(*keys, "_x.name", "_x.kind", "_x.le", "_x.value")
 
 
 def log_lines(chunks: DataFrame, keys: list[str] = ("container", "stream"), seq: str = "seq", text: str = "chunk",
