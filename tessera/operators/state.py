@@ -10,11 +10,15 @@ engine-day, never an engine's whole history.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import DAY_MS
+from ..session import ensure_checkpoint_dir
 from .windows import next_row_ts, prev_non_null, running_total
 
 STOP_AFTER = 3          # fixed value: consecutive failures before Stopped
@@ -122,7 +126,12 @@ def warmup_baseline(polls: DataFrame, skip: int = 1, chunk_ms: int = DAY_MS) ->
     chunk. Output rows of every chunk are unioned.
     """
     spark = polls.sparkSession
-    d = polls.withColumn("_chunk", F.floor(F.col("ts") / F.lit(chunk_ms)).cast("long"))
+    # the input is written once to the shared checkpoint folder, partitioned by
+    # chunk, so every step reads only its own chunk (partition pruning)
+    path = os.path.join(ensure_checkpoint_dir(spark), f"warmup-input-{uuid.uuid4().hex}")
+    polls.withColumn("_chunk", F.floor(F.col("ts") / F.lit(chunk_ms)).cast("long")) \
+        .write.partitionBy("_chunk").parquet(path)
+    d = spark.read.parquet(path)
     chunks = [r[0] for r in d.select("_chunk").distinct().orderBy("_chunk").collect()]  # one value per chunk
     state = spark.createDataFrame([], STATE_SCHEMA)
     out_cols = [c.split()[0] for c in WARMUP_OUT.split(", ")]
