@@ -66,6 +66,34 @@ def inventory_merge(proc: DataFrame, docker: DataFrame) -> DataFrame:
     )
 
 
+def inventory_merge_long(proc: DataFrame, proc_pids: DataFrame, docker: DataFrame, docker_pids: DataFrame,
+                         keys=("engine_type", "endpoint")) -> tuple[DataFrame, DataFrame]:
+    """Long-form merge: attributes one row per (type, endpoint), PIDs one row per (type, endpoint, pid).
+
+    Same rules as ``inventory_merge`` (container side wins the deployment
+    mode; model and container id only fill nulls; PID sets unioned) without
+    ever collecting an engine's PID list into one value.
+    """
+    k = list(keys)
+    p, d = proc.alias("p"), docker.alias("d")
+    cond = F.lit(True)
+    for c in k:
+        cond = cond & (F.col(f"p.{c}") == F.col(f"d.{c}"))
+    attrs = p.join(d, cond, "full_outer").select(
+        *[F.coalesce(f"p.{c}", f"d.{c}").alias(c) for c in k],
+        F.coalesce("d.deployment_mode", "p.deployment_mode").alias("deployment_mode"),
+        F.coalesce("p.served_model", "d.served_model").alias("served_model"),
+        F.coalesce("p.container_id", "d.container_id").alias("container_id"),
+    )
+    pids = proc_pids.select(*k, "pid").unionByName(docker_pids.select(*k, "pid")).distinct()
+    return attrs, pids
+
+
+def stale_pids_long(pids: DataFrame, latest_keys: DataFrame, keys=("engine_type", "endpoint")) -> DataFrame:
+    """Long form of ``stale_pids``: PID rows survive only for keys seen in the latest pass (left semi join)."""
+    return pids.join(latest_keys.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def stale_pids(engines: DataFrame, latest_keys: DataFrame, keys=("engine_type", "endpoint")) -> DataFrame:
     """Engines missing from the latest detection pass keep their row but lose their PIDs."""
     k = latest_keys.select(*keys).distinct().withColumn("_seen", F.lit(True))

@@ -73,53 +73,57 @@ def _docker_inv_sql(d) -> str:
 FROM {d.t('lineitem')} WHERE l_returnflag = 'A'""", d)
 
 
-def _inv_grouped(spark, sql):
-    df = sql
+def _inv_attrs(df):
+    """One attribute row per (type, endpoint) from per-process rows (plain aggregates, no PID list)."""
     return df.groupBy("engine_type", "endpoint").agg(
         F.first("deployment_mode").alias("deployment_mode"),
         F.min("served_model").alias("served_model"),
-        F.array_sort(F.collect_set("pid")).alias("pids"),
         F.min("container_id").alias("container_id"),
     )
 
 
 _INV_DUCK = f"""
-WITH p AS (SELECT engine_type, endpoint, first(deployment_mode) AS deployment_mode, min(served_model) AS served_model,
-             list_sort(list_distinct(list(pid))) AS pids, min(container_id) AS container_id
-           FROM ({_proc_inv_sql(fx.DUCK)}) x GROUP BY 1, 2),
+WITH pr AS ({_proc_inv_sql(fx.DUCK)}), dr AS ({_docker_inv_sql(fx.DUCK)}),
+p AS (SELECT engine_type, endpoint, first(deployment_mode) AS deployment_mode, min(served_model) AS served_model,
+             min(container_id) AS container_id FROM pr GROUP BY 1, 2),
 d AS (SELECT engine_type, endpoint, first(deployment_mode) AS deployment_mode, min(served_model) AS served_model,
-             list_sort(list_distinct(list(pid))) AS pids, min(container_id) AS container_id
-           FROM ({_docker_inv_sql(fx.DUCK)}) x GROUP BY 1, 2)
+             min(container_id) AS container_id FROM dr GROUP BY 1, 2),
+attrs AS (
+  SELECT COALESCE(p.engine_type, d.engine_type) AS engine_type, COALESCE(p.endpoint, d.endpoint) AS endpoint,
+    COALESCE(d.deployment_mode, p.deployment_mode) AS deployment_mode,
+    COALESCE(p.served_model, d.served_model) AS served_model,
+    COALESCE(p.container_id, d.container_id) AS container_id
+  FROM p FULL OUTER JOIN d ON p.engine_type = d.engine_type AND p.endpoint = d.endpoint),
+pids AS (SELECT DISTINCT engine_type, endpoint, pid FROM (SELECT engine_type, endpoint, pid FROM pr UNION ALL
+                                                          SELECT engine_type, endpoint, pid FROM dr) u)
 """
 
 
 @query("inventory_merge", _INV_DUCK + """
-SELECT COALESCE(p.engine_type, d.engine_type) AS engine_type, COALESCE(p.endpoint, d.endpoint) AS endpoint,
-  COALESCE(d.deployment_mode, p.deployment_mode) AS deployment_mode,
-  COALESCE(p.served_model, d.served_model) AS served_model,
-  array_to_string(list_sort(list_distinct(list_concat(COALESCE(p.pids, []), COALESCE(d.pids, [])))), ',') AS pids,
-  COALESCE(p.container_id, d.container_id) AS container_id
-FROM p FULL OUTER JOIN d ON p.engine_type = d.engine_type AND p.endpoint = d.endpoint
+SELECT a.*, x.pid FROM attrs a LEFT JOIN pids x USING (engine_type, endpoint)
 """)
 def q_inventory_merge(spark, sf):
     li = tables.read(spark, sf, "lineitem", "l_suppkey", "l_partkey", "l_returnflag")
-    p = _inv_grouped(spark, spark.sql(_proc_inv_sql(fx.SPARK), lineitem=li))
-    d = _inv_grouped(spark, spark.sql(_docker_inv_sql(fx.SPARK), lineitem=li))
-    m = INV.inventory_merge(p, d)
-    return m.withColumn("pids", F.array_join("pids", ","))
+    pr = spark.sql(_proc_inv_sql(fx.SPARK), lineitem=li)
+    dr = spark.sql(_docker_inv_sql(fx.SPARK), lineitem=li)
+    attrs, pids = INV.inventory_merge_long(_inv_attrs(pr), pr, _inv_attrs(dr), dr)
+    # one row per (engine, pid) with the engine's merged attributes
+    return attrs.join(pids, ["engine_type", "endpoint"], "left")
 
 
 @query("stale_pids", _INV_DUCK + """
-SELECT p.engine_type, p.endpoint,
-  CASE WHEN d.endpoint IS NOT NULL THEN array_to_string(p.pids, ',') ELSE '' END AS pids
-FROM p LEFT JOIN (SELECT DISTINCT engine_type, endpoint FROM d) d ON p.engine_type = d.engine_type AND p.endpoint = d.endpoint
+SELECT p.engine_type, p.endpoint, x.pid FROM p
+LEFT JOIN (SELECT DISTINCT engine_type, endpoint, pid FROM pr
+           WHERE (engine_type, endpoint) IN (SELECT (engine_type, endpoint) FROM d)) x USING (engine_type, endpoint)
 """)
 def q_stale_pids(spark, sf):
     li = tables.read(spark, sf, "lineitem", "l_suppkey", "l_partkey", "l_returnflag")
-    p = _inv_grouped(spark, spark.sql(_proc_inv_sql(fx.SPARK), lineitem=li))
+    pr = spark.sql(_proc_inv_sql(fx.SPARK), lineitem=li)
     latest = spark.sql(_docker_inv_sql(fx.SPARK), lineitem=li)  # the latest pass saw only these keys
-    out = INV.stale_pids(p.select("engine_type", "endpoint", "pids"), latest)
-    return out.withColumn("pids", F.array_join("pids", ","))
+    keep = INV.stale_pids_long(pr.select("engine_type", "endpoint", "pid").distinct(), latest)
+    # engines keep their row; those not seen lose their PIDs (pid null)
+    engines = pr.select("engine_type", "endpoint").distinct()
+    return engines.join(keep, ["engine_type", "endpoint"], "left")
 
 
 # ---------------------------------------------------------------- launch commands
@@ -187,15 +191,15 @@ e AS (SELECT pid, args, {_duck_pick('port')} AS port, {_duck_pick('host')} AS ho
 f AS (SELECT pid, CASE WHEN port IS NOT NULL OR host IS NOT NULL THEN 'http://' ||
     (CASE WHEN COALESCE(host, 'localhost') = '0.0.0.0' THEN 'localhost' ELSE COALESCE(host, 'localhost') END) || ':' || COALESCE(port, '8000')
     ELSE 'http://localhost:8000' END AS endpoint FROM e)
-SELECT 'vllm' AS engine_type, endpoint, count(*) AS n_pids, min(pid) AS first_pid, max(pid) AS last_pid FROM f GROUP BY endpoint
+SELECT 'vllm' AS engine_type, endpoint, count(DISTINCT pid) AS n_pids, min(pid) AS first_pid, max(pid) AS last_pid FROM f GROUP BY endpoint
 """)
 def q_engine_candidates(spark, sf):
     c = spark.sql(_launch_sql(fx.SPARK), part=tables.read(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_size"))
     cand = c.where(INV.is_inference_command("args")).select("pid", INV.endpoint_from_args("args").alias("endpoint"))
-    g = cand.groupBy("endpoint").agg(F.array_sort(F.collect_set("pid")).alias("pids"))
-    # pids are summarised (count, first, last): a hot endpoint's list is not shipped whole
-    return g.select(F.lit("vllm").alias("engine_type"), "endpoint", F.size("pids").cast("bigint").alias("n_pids"),
-                    F.element_at("pids", 1).alias("first_pid"), F.element_at("pids", -1).alias("last_pid"))
+    # per endpoint: PID count and range as plain aggregates (no PID list in one value)
+    return cand.groupBy("endpoint").agg(F.count_distinct("pid").alias("n_pids"), F.min("pid").alias("first_pid"),
+                                        F.max("pid").alias("last_pid")).select(
+        F.lit("vllm").alias("engine_type"), "endpoint", "n_pids", "first_pid", "last_pid")
 
 
 # ---------------------------------------------------------------- as-of joins
