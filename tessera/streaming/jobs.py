@@ -89,3 +89,38 @@ def tick_dedupe(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
 def tick_dedupe_stream(stream: DataFrame, keys: list[str], event_time: str, watermark: str = "10 seconds") -> DataFrame:
     """Streaming form: duplicates of (key, timestamp) dropped within the watermark."""
     return stream.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(keys)
+
+
+def warmup_stream(polls_stream: DataFrame, skip: int = 1) -> DataFrame:
+    """Streaming warm-up baselining: ``applyInPandasWithState`` keyed by engine.
+
+    Each micro-batch's polls of an engine are sorted and run through the
+    same state machine as the batch job; the state (mode, cursor, baseline
+    counters) lives in the streaming state store and survives restarts via
+    the checkpoint. Polls must arrive in time order across micro-batches.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from ..operators import state as ST
+
+    out_cols = [c.split()[0] for c in ST.WARMUP_OUT.split(", ")]
+    state_schema = "mode string, initial double, b_prompt double, b_generation double, b_requests double"
+
+    def fn(key, pdfs, gstate):
+        st = {"mode": "warming", "initial": None, "base": {}}
+        if gstate.exists:
+            mode, initial, bp, bg, br = gstate.get
+            base = {c: v for c, v in zip(ST.COUNTERS, (bp, bg, br)) if v is not None and not pd.isna(v)}
+            st = {"mode": mode, "initial": None if initial is None or pd.isna(initial) else initial, "base": base}
+        frames = [p for p in pdfs]
+        if not frames:
+            return
+        rows = pd.concat(frames, ignore_index=True).sort_values(["ts", "seq"])
+        out, new = ST.warmup_step(rows, st, skip)
+        b = new["base"]
+        gstate.update((new["mode"], new["initial"], b.get("prompt"), b.get("generation"), b.get("requests")))
+        yield pd.DataFrame(out, columns=out_cols)
+
+    return polls_stream.groupBy("engine_key").applyInPandasWithState(
+        fn, ST.WARMUP_OUT, state_schema, "append", GroupStateTimeout.NoTimeout)
