@@ -150,7 +150,7 @@ def provider_groups(spark: SparkSession, snaps: DataFrame, tick: str = "tick_ts"
     g = r.withColumn("group_key", key).withColumn("label", label).groupBy(tick, "group_key").agg(
         F.count(F.lit(1)).alias("count"), F.min_by("label", order_col).alias("label"))
     w = Window.partitionBy(tick).orderBy(F.col("count").desc(), F.col("label"))
-    return g.withColumn("pos", F.row_number().over(w) - 1)
+    return g.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
 
 
 def active_engine(snaps: DataFrame, tick: str = "tick_ts", order_col: str = "engine_key") -> DataFrame:

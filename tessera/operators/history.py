@@ -258,7 +258,7 @@ def timeseries_long(tier: DataFrame, windows: DataFrame) -> DataFrame:
 def series_order(points: DataFrame, key_cols=("engine_key", "metric"), ts_col="timestamp_ms") -> DataFrame:
     """Ascending timestamp order, materialised as a 0-based position per series."""
     w = Window.partitionBy(*key_cols).orderBy(ts_col)
-    return points.withColumn("pos", F.row_number().over(w) - 1).orderBy(*key_cols, ts_col)
+    return points.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint")).orderBy(*key_cols, ts_col)
 
 
 # --------------------------------------------------------------------------

@@ -24,8 +24,11 @@ def _wm(v: str, w: str = "total_requests", run: str = "status_type = 'Running'")
 
 def _fleet_sql() -> str:
     run = "status_type = 'Running'"
-    cols = [f"count_if({run}) AS running_count", "count(*) AS total_count"]
-    cols += [f"sum(CASE WHEN {run} THEN {c} END) AS {c}" for c in FL.SUM_FIELDS + FL.SPEC_FIELDS]
+    ints = {"active_requests", "queued_requests", "total_requests", "swapped_requests", "preemptions_total",
+            "total_prompt_tokens", "total_generation_tokens", "prefix_cache_queries_total", *FL.SPEC_FIELDS}
+    cols = [f"CAST(count_if({run}) AS BIGINT) AS running_count", "count(*) AS total_count"]
+    cols += [f"CAST(sum(CASE WHEN {run} THEN {c} END) AS BIGINT) AS {c}" if c in ints
+             else f"sum(CASE WHEN {run} THEN {c} END) AS {c}" for c in FL.SUM_FIELDS + FL.SPEC_FIELDS]
     cols += [f"{_wm('spec_decode_acceptance_rate_live', 'spec_decode_draft_tokens_total')} AS spec_decode_acceptance_rate_live"]
     cols += [f"{_wm(c)} AS {c}" for c in FL.WEIGHTED_FIELDS]
     cols += [f"avg(CASE WHEN {run} THEN {c} END) AS {c}" for c in FL.MEAN_FIELDS]

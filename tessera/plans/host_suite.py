@@ -99,7 +99,7 @@ GP = f"WITH g AS ({gpus_sql(D)})\n"
 
 
 @query("gpu_select", GP + """
-SELECT snap_id, count_if(gpu_index = 2) AS n_selected, max(CASE WHEN gpu_index = 2 THEN utilization_percent END) AS selected_util,
+SELECT snap_id, CAST(count_if(gpu_index = 2) AS BIGINT) AS n_selected, max(CASE WHEN gpu_index = 2 THEN utilization_percent END) AS selected_util,
   count(*) AS n_all FROM g GROUP BY snap_id
 """)
 def q_gpu_select(spark, sf):

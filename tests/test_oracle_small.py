@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from oracle_check import canon, rows_of  # tools/
+from oracle_check import rows_of, type_diffs  # tools/
 from tessera.plans import registry
 from tessera.sources.tables import TABLES
 
@@ -28,6 +28,7 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [d[0] for d in cur.description]
     drecs = [dict(zip(dcols, r)) for r in cur.fetchall()]
     assert sorted(sdf.columns) == sorted(dcols)
+    assert type_diffs(sdf, con, registry.oracle_sql(name)) == {}
     cols = sorted(dcols)
     assert rows_of(srecs, cols) == rows_of(drecs, cols)
 

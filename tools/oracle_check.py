@@ -53,6 +53,18 @@ def canon(v):
     return str(v)
 
 
+SPARK_TO_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+                 "BooleanType": "BOOLEAN", "FloatType": "FLOAT", "ShortType": "SMALLINT", "ByteType": "TINYINT"}
+
+
+def type_diffs(sdf, con, sql):
+    """Columns whose Spark type and DuckDB type differ (scalar types only)."""
+    st = {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__, f.dataType.simpleString()) for f in sdf.schema.fields}
+    rel = con.sql(sql)
+    dt = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (st.get(c), dt.get(c)) for c in set(st) | set(dt) if st.get(c) != dt.get(c)}
+
+
 def rows_of(records, cols):
     return Counter(tuple(canon(r[c]) for c in cols) for r in records)
 
@@ -114,6 +126,11 @@ def main():
             bad += 1
             continue
         cols = sorted(scols)
+        td_ = type_diffs(sdf, con, registry.oracle_sql(n))
+        if td_:
+            print(f"FAIL {n}: column types differ {td_}")
+            bad += 1
+            continue
         a_, b_ = rows_of(srecs, cols), rows_of(drecs, cols)
         if a_ == b_:
             print(f"OK   {n}: {len(srecs)} rows spark {ts:.1f}s duck {td:.2f}s")
