@@ -431,3 +431,30 @@ def q_upsert_replace(spark, sf):
     new = T.rollup_1h(raw, W.NOW_MS).where(F.col("bucket_ts") >= (EARLIER // HOUR_MS) * HOUR_MS - DAY_MS).select(
         "engine_key", "bucket_ts", "sample_count")
     return T.upsert_replace(old, new)
+
+
+# ---------------------------------------------------------------- chart metric sets
+
+def _avg_cfg(m):
+    return (f"{m}_avg", [m], None)
+
+
+def _perreq_cfg(m):
+    return (f"{m}_per_req", [m, "active_requests"], None)
+
+
+# chart configurations of the throughput charts: direct series plus derived ones
+CHART_CONFIGS = ["prompt_tps", _avg_cfg("prompt_tps"), _perreq_cfg("prompt_tps"),
+                 "decode_tps", _avg_cfg("decode_tps"), _perreq_cfg("decode_tps"), "ttft_ms", "itl_ms"]
+
+
+@query("metric_set", W.tier_cte() + f""", hp AS ({_unpivot_tier_sql('snapshots_1h')})
+SELECT engine_key, metric, timestamp_ms, value,
+  CASE metric WHEN 'prompt_tps' THEN 0 WHEN 'active_requests' THEN 1 WHEN 'decode_tps' THEN 2 WHEN 'ttft_ms' THEN 3 WHEN 'itl_ms' THEN 4 END AS metric_order
+FROM hp WHERE metric IN ('prompt_tps', 'active_requests', 'decode_tps', 'ttft_ms', 'itl_ms')
+""")
+def q_metric_set(spark, sf):
+    from .charts import collect_needed_metrics, fetch_metrics
+    needed = collect_needed_metrics(CHART_CONFIGS)
+    assert needed == ["prompt_tps", "active_requests", "decode_tps", "ttft_ms", "itl_ms"]
+    return fetch_metrics(W.hourly(spark, sf), needed)
