@@ -35,7 +35,7 @@ def q_liveness(spark, sf):
 
 
 @query("status_effective", _STREAK_SQL + """
-SELECT engine_key, ts, seq, CASE WHEN success THEN status_type WHEN stopped THEN 'Stopped' ELSE 'Error' END AS status FROM s
+SELECT engine_key, ts, seq, CASE WHEN success THEN status_type WHEN stopped THEN 'Stopped' ELSE 'Running' END AS status FROM s
 """)
 def q_status_effective(spark, sf):
     s = streaks(spark, sf)
