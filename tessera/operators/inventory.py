@@ -158,6 +158,24 @@ def is_inference_command(args: str) -> Column:
     return F.expr(f"exists({args}, a -> a = 'vllm' OR endswith(a, '/vllm') OR contains(a, 'vllm.entrypoints'))")
 
 
+def engine_candidates(procs: DataFrame, host: str = "host", args: str = "args") -> DataFrame:
+    """Inference-server candidates per host: one row per (host, endpoint).
+
+    Processes whose binary name is ``vllm`` are used; only on hosts with none
+    of those are command lines scanned for an inference entry point. PIDs are
+    summarised as count and range (no per-endpoint list); the served model
+    comes from the endpoint's first (lowest) PID.
+    """
+    name = F.substring_index(F.try_element_at(F.col(args), F.lit(1)), "/", -1)
+    p = procs.where(F.size(args) > 0).withColumn("_bin", F.coalesce(name == "vllm", F.lit(False)))
+    hosts = p.groupBy(host).agg(F.max(F.col("_bin").cast("int")).alias("_has_bin"))
+    p = p.join(hosts, host).where(F.when(F.col("_has_bin") == 1, F.col("_bin")).otherwise(is_inference_command(args)))
+    p = p.select(host, "pid", endpoint_from_args(args).alias("endpoint"), model_from_args(args).alias("model"))
+    return p.groupBy(host, "endpoint").agg(
+        F.count_distinct("pid").alias("n_pids"), F.min("pid").alias("first_pid"), F.max("pid").alias("last_pid"),
+        F.min_by("model", "pid").alias("served_model"))
+
+
 def port_from_command(cmd: Column) -> Column:
     """``--port N`` / ``--port=N`` from a command string; must fit an unsigned 16-bit port."""
     v = F.regexp_extract(cmd, r"--port[= ](\d+)", 1)

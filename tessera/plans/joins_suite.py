@@ -185,21 +185,24 @@ def q_launch_extract(spark, sf):
 
 
 @query("engine_candidates", f"""
-WITH c AS ({_launch_sql(fx.DUCK)}),
-e AS (SELECT pid, args, {_duck_pick('port')} AS port, {_duck_pick('host')} AS host FROM c
-      WHERE len(list_filter(args, lambda a: a = 'vllm' OR ends_with(a, '/vllm') OR contains(a, 'vllm.entrypoints'))) > 0),
-f AS (SELECT pid, CASE WHEN port IS NOT NULL OR host IS NOT NULL THEN 'http://' ||
-    (CASE WHEN COALESCE(host, 'localhost') = '0.0.0.0' THEN 'localhost' ELSE COALESCE(host, 'localhost') END) || ':' || COALESCE(port, '8000')
+WITH c AS (SELECT pid, pid % 16 AS host, args FROM ({_launch_sql(fx.DUCK)}) x WHERE len(args) > 0),
+b AS (SELECT *, COALESCE(split_part(args[1], '/', -1) = 'vllm', FALSE) AS bin FROM c),
+h AS (SELECT host, max(CAST(bin AS INT)) AS has_bin FROM b GROUP BY host),
+e AS (SELECT b.pid, b.host, b.args, {_duck_pick('port')} AS port, {_duck_pick('host')} AS hst, {_duck_model()} AS model
+      FROM b JOIN h USING (host)
+      WHERE CASE WHEN h.has_bin = 1 THEN b.bin
+                 ELSE len(list_filter(b.args, lambda a: a = 'vllm' OR ends_with(a, '/vllm') OR contains(a, 'vllm.entrypoints'))) > 0 END),
+f AS (SELECT host, pid, model, CASE WHEN port IS NOT NULL OR hst IS NOT NULL THEN 'http://' ||
+    (CASE WHEN COALESCE(hst, 'localhost') = '0.0.0.0' THEN 'localhost' ELSE COALESCE(hst, 'localhost') END) || ':' || COALESCE(port, '8000')
     ELSE 'http://localhost:8000' END AS endpoint FROM e)
-SELECT 'vllm' AS engine_type, endpoint, count(DISTINCT pid) AS n_pids, min(pid) AS first_pid, max(pid) AS last_pid FROM f GROUP BY endpoint
+SELECT host, endpoint, count(DISTINCT pid) AS n_pids, min(pid) AS first_pid, max(pid) AS last_pid,
+  arg_min({{'m': model}}, pid).m AS served_model
+FROM f GROUP BY host, endpoint
 """)
 def q_engine_candidates(spark, sf):
     c = spark.sql(_launch_sql(fx.SPARK), part=tables.read(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_size"))
-    cand = c.where(INV.is_inference_command("args")).select("pid", INV.endpoint_from_args("args").alias("endpoint"))
-    # per endpoint: PID count and range as plain aggregates (no PID list in one value)
-    return cand.groupBy("endpoint").agg(F.count_distinct("pid").alias("n_pids"), F.min("pid").alias("first_pid"),
-                                        F.max("pid").alias("last_pid")).select(
-        F.lit("vllm").alias("engine_type"), "endpoint", "n_pids", "first_pid", "last_pid")
+    # a host per part key modulo 16: every host runs one launch pattern
+    return INV.engine_candidates(c.withColumn("host", F.col("pid") % 16))
 
 
 # ---------------------------------------------------------------- as-of joins
