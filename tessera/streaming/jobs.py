@@ -124,3 +124,49 @@ def warmup_stream(polls_stream: DataFrame, skip: int = 1) -> DataFrame:
 
     return polls_stream.groupBy("engine_key").applyInPandasWithState(
         fn, ST.WARMUP_OUT, state_schema, "append", GroupStateTimeout.NoTimeout)
+
+
+LIVENESS_OUT = "engine_key string, event string, ts long"
+
+
+def liveness_stream(probes_stream: DataFrame, event_time: str = "event_time", watermark: str = "1 minute") -> DataFrame:
+    """Streaming liveness keyed by engine with an event-time timer.
+
+    State: consecutive failures and the time the engine entered Stopped.
+    Emits ``stopped`` at the third consecutive failure, ``recovered`` on the
+    next success, and ``removed`` when the watermark passes 30 s after the
+    stop without a recovery (strictly later, as in the batch operator).
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from ..operators.state import REMOVE_AFTER_MS, STOP_AFTER
+
+    def fn(key, pdfs, gstate):
+        engine = key[0]
+        if gstate.hasTimedOut:
+            fails, stopped_at = gstate.get
+            gstate.remove()
+            yield pd.DataFrame([(engine, "removed", int(stopped_at) + REMOVE_AFTER_MS + 1)], columns=["engine_key", "event", "ts"])
+            return
+        fails, stopped_at = gstate.get if gstate.exists else (0, None)
+        stopped_at = None if stopped_at is None or pd.isna(stopped_at) else int(stopped_at)
+        out = []
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"])
+        for r in rows.itertuples(index=False):
+            if r.success:
+                if stopped_at is not None:
+                    out.append((engine, "recovered", int(r.ts)))
+                fails, stopped_at = 0, None
+            else:
+                fails += 1
+                if fails >= STOP_AFTER and stopped_at is None:
+                    stopped_at = int(r.ts)
+                    out.append((engine, "stopped", stopped_at))
+        gstate.update((int(fails), stopped_at))
+        if stopped_at is not None:
+            gstate.setTimeoutTimestamp(stopped_at + REMOVE_AFTER_MS + 1)
+        yield pd.DataFrame(out, columns=["engine_key", "event", "ts"])
+
+    return (probes_stream.withWatermark(event_time, watermark).groupBy("engine_key")
+            .applyInPandasWithState(fn, LIVENESS_OUT, "fails long, stopped_at long", "append", GroupStateTimeout.EventTimeTimeout))

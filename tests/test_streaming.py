@@ -62,3 +62,32 @@ def test_dedupe_and_conflate_stream(spark):
     want = raw.groupBy("engine_key", F.window("event_time", "2 seconds").start.alias("start")).agg(F.max("ts").alias("ts"))
     got = set(_rows(cf, ["engine_key", "start", "ts"]))
     assert got and got <= set(_rows(want, ["engine_key", "start", "ts"]))
+
+
+def test_liveness_stream_stops_like_batch(spark):
+    from tessera.operators import state as ST
+    from tessera.sources import fixtures as fx
+
+    base = tempfile.mkdtemp(prefix="liveness-stream-")
+    probes = fx.view(spark, SF, "probes").select("engine_key", "ts", "seq", "success")
+    probes = probes.withColumn("event_time", F.timestamp_millis("ts")).withColumn("day", F.floor(F.col("ts") / DAY_MS))
+    src = os.path.join(base, "src")
+    for (d,) in probes.select("day").distinct().orderBy("day").collect():
+        probes.where(F.col("day") == d).drop("day").coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.01)
+    stream = spark.readStream.schema(probes.drop("day").schema).option("maxFilesPerTrigger", 2).parquet(src)
+    out = os.path.join(base, "out")
+    q = (SJ.liveness_stream(stream).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", os.path.join(base, "ck")).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    ev = spark.read.parquet(out)
+    got = set(_rows(ev.where("event = 'stopped'"), ["engine_key", "ts"]))
+    batch = ST.failure_streak(probes.drop("day", "event_time")).where(F.col("streak") == 3)
+    want = set(_rows(batch.select("engine_key", F.col("stopped_at").alias("ts")), ["engine_key", "ts"]))
+    assert got == want and got
+    # every removal comes strictly more than 30 s after a stop of the same engine
+    rem = _rows(ev.where("event = 'removed'"), ["engine_key", "ts"])
+    stops = {}
+    for k, t in got:
+        stops.setdefault(k, []).append(t)
+    assert all(any(t - s > 30_000 for s in stops[k]) for k, t in rem)
