@@ -57,3 +57,19 @@ def test_report_windows_are_broadcast(spark):
     w = H.windows_df(spark, [(1, 0, W.NOW_MS)])
     p = plan(H.summary_raw(W.raw(spark, SF), w))
     assert "BroadcastExchange" in p or "BroadcastNestedLoopJoin" in p
+
+
+def test_no_cartesian_products_or_row_udfs(spark):
+    """No registered query plans a Cartesian product or a row-at-a-time Python UDF."""
+    from tessera.plans import registry
+    registry.load_all()
+    skip = {"stream_rollup", "raw_append", "warmup_baseline", "rate_state_reset", "pid_tree"}  # run jobs eagerly
+    bad = {}
+    for n in sorted(registry.QUERIES):
+        if n in skip:
+            continue
+        p = plan(registry.run(n, spark, SF))
+        hits = [k for k in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython") if k in p]
+        if hits:
+            bad[n] = hits
+    assert bad == {}
