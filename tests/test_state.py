@@ -34,3 +34,21 @@ def test_warmup_transition_and_regression():
     assert out[1][5:] == (0.0, 0.0, 0.0)                     # and returns zeros
     assert out[2][5:] == (250.0, 20.0, 3.0)                  # deltas against the baseline
     assert out[3][3] is True and st["mode"] == "warming"     # regression -> warming again
+
+
+def test_warmup_skip_zero_and_missing_trigger():
+    rows = pd.DataFrame({"engine_key": ["e"] * 3, "ts": [1, 2, 3], "seq": [1, 2, 3],
+                         "prompt": [50.0, 60.0, 70.0], "generation": [5.0, 6.0, 7.0], "requests": [2.0, None, 4.0]})
+    out, st = ST.warmup_step(rows, {"mode": "warming", "initial": None, "base": {}}, 0)
+    assert out[0][4] is True and out[0][5:] == (0.0, 0.0, 0.0)   # skip 0: the first poll is the baseline
+    assert out[1][5:] == (10.0, 1.0, None)                        # missing counter stays missing
+    assert out[2][5:] == (20.0, 2.0, 2.0)
+    assert st["mode"] == "active"
+
+
+def test_warmup_cursor_reset_while_warming():
+    rows = pd.DataFrame({"engine_key": ["e"] * 3, "ts": [1, 2, 3], "seq": [1, 2, 3],
+                         "prompt": [10.0, 1.0, 5.0], "generation": [1.0, 1.0, 2.0], "requests": [10.0, 3.0, 5.0]})
+    out, st = ST.warmup_step(rows, {"mode": "warming", "initial": None, "base": {}}, 5)
+    # requests fell below the cursor (restart) -> cursor moves to 3; 5 - 3 < 5 keeps warming
+    assert [o[3] for o in out] == [True, True, True] and st["initial"] == 3 and st["mode"] == "warming"
