@@ -55,3 +55,20 @@ def test_power_average_and_missing_rollup_column(spark):
             tier = tier.withColumn(c, F.lit(None).cast("double"))
     pts = H.unpivot_tier(tier, ["power_watts", "mem_used_pct"]).collect()
     assert [(p.metric, p.value) for p in pts] == [("power_watts", 100.0)]
+
+
+def test_calendar_presets(spark):
+    from datetime import datetime, timezone
+
+    def ms(*a):
+        return int(datetime(*a, tzinfo=timezone.utc).timestamp() * 1000)
+
+    now = ms(2024, 3, 15, 10, 0)  # a Friday; local (UTC-4) 06:00
+    df = spark.createDataFrame([(now, -4)], "now_ms long, off int")
+    got = {r.preset: (r.since_ms, r.until_ms) for r in H.calendar_windows(df, F.col("off")).collect()}
+    assert got["today"] == (ms(2024, 3, 15, 4), now)
+    assert got["this_week"] == (ms(2024, 3, 10, 4), now)          # Sunday start
+    assert got["this_month"] == (ms(2024, 3, 1, 4), now)
+    assert got["last_month"] == (ms(2024, 2, 1, 4), ms(2024, 3, 1, 4))
+    assert got["this_year"] == (ms(2024, 1, 1, 4), now)
+    assert got["all_time"] == (0, now)
