@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import exact_dedup, mixing, near_dedup
+from . import bpe, exact_dedup, mixing, near_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -74,3 +76,21 @@ FROM s LEFT JOIN m USING (doc_id)
 """)
 def setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op8_prefix_dp_bpe")
+def prefix_dp_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE), BYTE_BPE)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_toxicity_chain")
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", F.col("p_junk"), F.col("p_toxic"), F.col("is_toxic").alias("toxic"), (~F.col("is_toxic")).alias("kept"))
