@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import bpe, exact_dedup, mixing, near_dedup, toxicity
+from . import bpe, exact_dedup, mixing, near_dedup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -94,3 +94,8 @@ def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     out = toxicity.score(docs, model)
     return out.select("doc_id", F.col("p_junk"), F.col("p_toxic"), F.col("is_toxic").alias("toxic"), (~F.col("is_toxic")).alias("kept"))
+
+
+@query("op2_mcd_quality")
+def mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
