@@ -9,7 +9,7 @@ go; the rest are confirmed on the full sets.
 
 Work is done on classes of equal sets, so copies never meet each other. Within a band's bucket a few members
 (probes) are compared with the others, and only across components: pairs already connected are
-never compared, and buckets shrink by their probes until one component is left. So every
+never compared, and buckets shrink by their probes (more each round) until one component is left. So every
 candidate pair is compared or connected, and a bucket of near copies costs about one comparison a member.
 
 Defined results: fewer words than ``width`` make one shingle of the whole sequence; null texts and texts
@@ -45,7 +45,7 @@ class Sketch:
     base: float = 1.001
     rate: float = 20.0
     similar: int = 75
-    sure: float = 30.0
+    sure: float = 20.0
 
     @property
     def m(self) -> int:
@@ -192,8 +192,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, s: Sketch) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) with the smallest node of the component, for every node of the links (a, b).
 
-    Large-star and small-star steps (Kiveris et al., 2014) by minima and joins, until nothing changes.
+    Large-star and small-star steps (Kiveris et al., 2014) by minima and joins, until all links are stars.
     """
+
     def step(e: DataFrame, large: bool) -> DataFrame:
         near = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
         least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
@@ -204,17 +205,31 @@ def components(links: DataFrame) -> DataFrame:
             out = out.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(least.select("a", F.col("low").alias("b")))
         return out.where("a != b").distinct()
 
-    e = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    before = None
+    e = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
     while True:
+        parents = e.groupBy("a").agg(F.count("*").alias("n"))
+        inner = e.select("b").distinct().join(parents.select(F.col("a").alias("b")), "b", "left_semi")
+        if parents.where("n > 1").select(F.col("a").alias("b")).unionByName(inner).isEmpty():
+            break  # every node has one link to a node that has none: all stars
         e = written(step(step(e, True), False), "links")
-        now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before:
-            break
-        before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
+def _of(comps: DataFrame, df: DataFrame, column: str) -> DataFrame:
+    """Adds ``c<column>``, the component of the class in ``column``."""
+    own = comps.select(F.col("class").alias(column), F.col("comp").alias("_comp"))
+    return df.join(own, column, "left").withColumn(f"c{column}", F.coalesce("_comp", column)).drop("_comp")
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (class, comp) after further links (a, b): components of components."""
+    ends = _of(comps, _of(comps, links, "a"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = components(ends).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+    moved = comps.join(merged, "comp", "left").select("class", F.coalesce("into", "comp").alias("comp"))
+    new = merged.join(comps.select("comp").distinct(), "comp", "left_anti").select(F.col("comp").alias("class"), F.col("into").alias("comp"))
+    return written(moved.unionByName(new), "comps")
+
+
 def _linked(classes: DataFrame, texts: DataFrame, s: Sketch) -> DataFrame:
     """(class, comp) for the classes that have a link."""
     spark = classes.sparkSession
@@ -231,7 +246,6 @@ def _linked(classes: DataFrame, texts: DataFrame, s: Sketch) -> DataFrame:
     sets = written(touched.mapInArrow(_by_batch(full, pa.schema([("class", pa.int64()), ("shingles", pa.binary())]), 400), "class long, shingles binary"), "sets")
 
     comps = spark.createDataFrame([], "class long, comp long")
-    links = spark.createDataFrame([], "a long, b long")
     probes = 1
     while True:
         sized = comps.join(comps.groupBy("comp").agg(F.count("*").alias("many")), "comp")
@@ -247,17 +261,19 @@ def _linked(classes: DataFrame, texts: DataFrame, s: Sketch) -> DataFrame:
         met = ranked.join(chosen, "bucket").where("comp != its and (own is null or own > at)")
         pairs = met.select(F.greatest("class", "probe").alias("a"), F.least("class", "probe").alias("b")).distinct()
         left = written(_possible(pairs, classes, s), "possible")
+        tries = 1
         while not left.isEmpty():
-            # Most likely links first, one a member: what they connect need not be compared any more.
+            # Most likely links first: what they connect need not be compared any more. Each time more for a member.
             best = Window.partitionBy("a").orderBy(F.desc("estimate"), "b")
-            tried = written(left.withColumn("at", F.row_number().over(best)).where("at = 1").select("a", "b"), "tried")
-            links = written(links.unionByName(_confirmed(tried, sets, s)), "links")
-            comps = written(components(links).select(F.col("node").alias("class"), "comp"), "comps")
-            of = lambda x: comps.select(F.col("class").alias(x), F.col("comp").alias(f"c{x}"))
-            rest = left.join(tried, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-            left = written(rest.where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b", "estimate"), "possible")
+            turn = left.withColumn("at", F.row_number().over(best))
+            links = written(_confirmed(turn.where(F.col("at") <= tries), sets, s), "confirmed")
+            if not links.isEmpty():
+                comps = _joined(comps, links)
+            rest = _of(comps, _of(comps, turn.where(F.col("at") > tries), "a"), "b")
+            left = written(rest.where("ca != cb").select("a", "b", "estimate"), "possible")
+            tries *= 4
         members = written(ranked.where("own is null").select("bucket", "class"), "members")
-        probes *= 2
+        probes *= 4
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, s: Sketch, whole: bool) -> tuple[DataFrame, DataFrame]:

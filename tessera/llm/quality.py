@@ -43,7 +43,7 @@ class Settings:
     half: float = 0.75
     factor: float = 1.49
     inner: float = 11.14
-    floors: tuple[float, ...] = (0.1, 0.3, 0.5, 0.5)
+    floors: tuple[float, ...] = (0.1, 0.5, 0.5, 0.5)
     cutoff: float = 36.0
 
 
