@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality, toxicity
+from . import bpe, exact_dedup, mixing, near_dedup, quality, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,3 +99,25 @@ def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_mcd_quality")
 def mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
+
+
+def _url_sql() -> str:
+    """Brute force: every rule against every URL."""
+    values = ", ".join(f"({i}, '{r.verdict}', '{r.pattern}', {repr(r.text) if r.text else 'NULL'})" for i, r in enumerate(url_filter.HOST_RULES + url_filter.WORD_RULES))
+    return rf"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r(number, verdict, pattern, rule) AS (VALUES {values}),
+m AS (SELECT p.page_id, r.* FROM p JOIN r ON regexp_matches(p.host || p.path, r.pattern)),
+b AS (SELECT page_id, arg_max(rule, length(rule)) FILTER (rule IS NOT NULL) AS rule, arg_max(verdict, length(rule)) FILTER (rule IS NOT NULL) AS own,
+             bool_or(rule IS NULL AND verdict = 'block') AS blocked FROM m GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN b USING (page_id)
+"""
+
+
+@query("op4_rarest_token_url_filter", _url_sql())
+def rarest_token_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
