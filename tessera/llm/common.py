@@ -9,7 +9,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
@@ -69,3 +69,19 @@ def n_words(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def running(df: DataFrame, keys: list[str], chunk: str, order: list[Column], value: str, out: str) -> DataFrame:
+    """``out``: the sum of ``value`` in the rows before, in the order (chunk, order), for each key.
+
+    The chunks are summed first, so one window has a chunk's rows or one row per chunk.
+    """
+    before = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys, chunk).agg(F.sum(value).alias("_sum"))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(chunk).alias("_chunk"), F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_carry"))
+    on = F.col(chunk) == F.col("_chunk")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    inner = df.withColumn("_in", F.coalesce(F.sum(value).over(before), F.lit(0)))
+    return inner.join(carry, on).withColumn(out, F.col("_in") + F.col("_carry")).drop("_in", "_chunk", "_carry", *[f"_{k}" for k in keys])

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words, packed, written
+from .common import WORD, n_words, packed, running, written
 
 WEIGHTS = (3, 1, 2)
 #: Words in a block, slots in an output shard, rounds of the permutation.
@@ -45,26 +45,10 @@ class Mix:
     block: int
 
 
-def _running(df: DataFrame, keys: list[str], chunk: str, order: list[Column], value: str, out: str) -> DataFrame:
-    """``out``: the sum of ``value`` in the rows before, in the order (chunk, order), for each key.
-
-    The chunks are summed first, so one window has a chunk's rows or one row per chunk.
-    """
-    before = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*keys, chunk).agg(F.sum(value).alias("_sum"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(chunk).alias("_chunk"), F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_carry"))
-    on = F.col(chunk) == F.col("_chunk")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    inner = df.withColumn("_in", F.coalesce(F.sum(value).over(before), F.lit(0)))
-    return inner.join(carry, on).withColumn(out, F.col("_in") + F.col("_carry")).drop("_in", "_chunk", "_carry", *[f"_{k}" for k in keys])
-
-
 def _ranked(sizes: DataFrame) -> DataFrame:
     """Sources numbered from 0 in code-point order, null last: sorted ranges, numbered apart, then shifted."""
     parts = written(sizes.repartitionByRange(F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()).withColumn("one", F.lit(1)), "sources")
-    return _running(parts, [], "part", [F.asc_nulls_last("source")], "one", "rank").drop("part", "one")
+    return running(parts, [], "part", [F.asc_nulls_last("source")], "one", "rank").drop("part", "one")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -113,7 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # About 5,000 documents to a chunk, whatever the number of documents.
     chunks = slim.count() // 5000 + 1
     slim = slim.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(chunks)))
-    placed = _running(slim, ["source"], "chunk", [F.asc_nulls_last("id"), F.col("size"), F.col("tie"), F.col("uid")], "size", "start").drop("chunk", "tie")
+    placed = running(slim, ["source"], "chunk", [F.asc_nulls_last("id"), F.col("size"), F.col("tie"), F.col("uid")], "size", "start").drop("chunk", "tie")
     placed = written(placed, "mix-placed")
 
     sources = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
@@ -131,14 +115,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slots = spark.range(total).select(F.expr(f"id div {shard}").alias("shard"), F.col("id").alias("slot"))
     slots = slots.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "slot"), F.lit(max(1, total))))
     drawn = written(_pick(slots, "draw", ranges.select("rank", "quota", "lo", "hi"), shard).select("shard", "slot", "rank", "quota").withColumn("one", F.lit(1)), "mix-draws")
-    counted = _running(drawn, ["rank"], "shard", [F.col("slot")], "one", "k").select("shard", "slot", "rank", "quota", "k")
+    counted = running(drawn, ["rank"], "shard", [F.col("slot")], "one", "k").select("shard", "slot", "rank", "quota", "k")
     # Slots above a quota fill the sources below theirs, in order.
     have = drawn.groupBy("rank").agg(F.count("*").alias("have"))
     short = sources.select("rank", "quota").join(have, "rank", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     short = short.where("quota > have").withColumn("lo", F.coalesce(F.sum(F.expr("quota - have")).over(w), F.lit(0)))
     short = short.select(F.col("rank").alias("to"), "have", "lo", (F.col("lo") + F.col("quota") - F.col("have")).alias("hi"))
     over = counted.where("k >= quota").select("shard", "slot", F.lit(1).alias("one"))
-    moved = _pick(_running(over, [], "shard", [F.col("slot")], "one", "x"), "x", short, 1024)
+    moved = _pick(running(over, [], "shard", [F.col("slot")], "one", "x"), "x", short, 1024)
     settled = counted.where("k < quota").select("shard", "slot", "rank", "k").unionByName(
         moved.select("shard", "slot", F.col("to").alias("rank"), (F.col("have") + F.col("x") - F.col("lo")).alias("k")))
 

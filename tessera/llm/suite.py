@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality, toxicity, url_filter
+from . import bpe, exact_dedup, mixing, near_dedup, quality, rans, toxicity, url_filter
+from .common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -78,6 +79,7 @@ def setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -121,3 +123,10 @@ FROM p LEFT JOIN b USING (page_id)
 @query("op4_rarest_token_url_filter", _url_sql())
 def rarest_token_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+@query("op3_rans_token_files")
+def rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "rans")
+    shards = rans.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, WORD_BPE)
+    return rans.read(shards, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
