@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality, rans, toxicity, url_filter
+from . import bpe, chat, exact_dedup, mixing, near_dedup, quality, rans, toxicity, url_filter, warc
 from .common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,50 @@ def rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "rans")
     shards = rans.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, WORD_BPE)
     return rans.read(shards, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
+@query("op10_warc_source", r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''),
+    lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', c) - 3, 4)), '') AS bits
+  FROM pages),
+d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, CAST(5 * i + 1 AS INT), 1) AS INT) + 8 * CAST(substr(bits, CAST(5 * i + 2 AS INT), 1) AS INT)
+      + 4 * CAST(substr(bits, CAST(5 * i + 3 AS INT), 1) AS INT) + 2 * CAST(substr(bits, CAST(5 * i + 4 AS INT), 1) AS INT) + CAST(substr(bits, CAST(5 * i + 5 AS INT), 1) AS INT), 1)), '') AS payload_digest
+  FROM p),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+""")
+def warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    # Payloads are inflated to verify them, and stay in the reader.
+    records = warc.load(spark, folder, payload="false").where(F.col("record_type").isin("response", "revisit"))
+    return records.select(F.col("page_id").cast("long").alias("page_id"), F.col("payload_length").cast("long").alias("payload_bytes"),
+                          F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op1_perspective_rotation", r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS pos
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+s AS (
+  SELECT conv_id, perspective, pos, speaker = perspective AS own, text,
+         CASE WHEN speaker = 'system' THEN '<|system|>' WHEN speaker = perspective THEN '<|assistant|>' ELSE '<|user name=' || speaker || '|>' END || chr(10) AS head
+  FROM t JOIN p USING (conv_id)),
+o AS (
+  SELECT *, coalesce(sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, perspective ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM s)
+SELECT conv_id, perspective, CAST(0 AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS n_turns, string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered,
+       string_agg(CAST(before + length(head) AS BIGINT) || '-' || CAST(before + length(head) + length(text) + 7 AS BIGINT), ',' ORDER BY pos) FILTER (own) AS mask
+FROM o GROUP BY conv_id, perspective
+""")
+def perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.rotated(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return out.select("conv_id", "perspective", "part", "n_turns", "rendered", mask.alias("mask"))
