@@ -16,15 +16,17 @@ VERSION_NAMES = {
 }
 
 
-def version_fallback(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: each canonical metric from its first present exposition name (``coalesce(m[a], m[b])``).
+def version_fallback(samples: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Per key: each canonical metric from its first present exposition name.
 
-    Samples are collected into one name -> value map per scrape (bounded by
-    the metric count of one body), then looked up.
+    One conditional aggregate per wanted name. Of a repeated name the last
+    sample counts (by ``order``; the largest value where no order is given).
     """
-    m = samples.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_m"))
-    cols = [F.coalesce(*[F.try_element_at("_m", F.lit(n)) for n in names]).alias(c) for c, names in VERSION_NAMES.items()]
-    return m.select(*keys, *cols)
+    def pick(name: str) -> Column:
+        own = F.when(F.col("name") == name, F.col("value"))
+        return F.max_by(own, F.when(F.col("name") == name, F.col(order))) if order else F.max(own)
+
+    return samples.groupBy(*keys).agg(*[F.coalesce(*map(pick, names)).alias(c) for c, names in VERSION_NAMES.items()])
 
 
 def mapping_table(spark: SparkSession) -> DataFrame:

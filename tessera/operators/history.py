@@ -265,6 +265,7 @@ def series_order(points: DataFrame, key_cols=("engine_key", "metric"), ts_col="t
 # calendar windows
 # --------------------------------------------------------------------------
 
+# Preset names.
 PRESETS = ("today", "this_week", "this_month", "last_month", "this_year", "all_time")
 
 

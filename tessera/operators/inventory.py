@@ -10,10 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 10_000  # safety stop; each level must add at least one new (root, pid)
 
-
-def pid_tree(roots: DataFrame, procs: DataFrame, root_col: str = "root", max_levels: int = MAX_LEVELS) -> DataFrame:
+def pid_tree(roots: DataFrame, procs: DataFrame, root_col: str = "root") -> DataFrame:
     """(root, pid) for every root and all of its descendants (the root included).
 
     ``roots``: (root, pid) seeds; ``procs``: (pid, parent). Distinct pairs;
@@ -24,7 +22,7 @@ def pid_tree(roots: DataFrame, procs: DataFrame, root_col: str = "root", max_lev
     edges = procs.where(F.col("parent").isNotNull()).select(F.col("parent").alias("_par"), F.col("pid").alias("_child"))
     visited = roots.select(root_col, "pid").distinct().checkpoint()
     frontier = visited
-    for _ in range(max_levels):
+    while True:  # ends: every round but the last adds at least one pair
         nxt = (
             frontier.join(edges, frontier["pid"] == edges["_par"], "inner")
             .select(root_col, F.col("_child").alias("pid"))
@@ -109,17 +107,19 @@ def _arg(args: str, i: str) -> str:
 
 def endpoint_from_args(args: str, default: str = "'http://localhost:8000'") -> Column:
     """Endpoint from ``--port``/``--port=``/``--host``/``--host=`` (last wins); 0.0.0.0 -> localhost; default port 8000."""
-    n = f"size({args})"
-
     def pick(flag: str) -> str:
-        # value at i: "--flag X" (X consumed) or "--flag=X"; skip tokens consumed as a value
+        # Flags are paired left to right: a token taken as a flag's value is no flag itself.
+        def step(got: str) -> str:
+            return f"named_struct('pending', '', 'port', {got if flag == 'port' else 's.port'}, 'host', {got if flag == 'host' else 's.host'})"
+
+        own, eq = f"--{flag}", f"--{flag}="
         return (
-            f"try_element_at(filter(transform(sequence(1, greatest({n}, 1)), i -> "
-            f"CASE WHEN i > {n} THEN NULL "
-            f"WHEN i > 1 AND {_arg(args, 'i - 1')} IN ('--port', '--host') THEN NULL "
-            f"WHEN {_arg(args, 'i')} = '--{flag}' AND i < {n} THEN {_arg(args, 'i + 1')} "
-            f"WHEN startswith({_arg(args, 'i')}, '--{flag}=') THEN substring({_arg(args, 'i')}, {len(flag) + 4}) END), "
-            f"x -> x IS NOT NULL), -1)"
+            f"aggregate({args}, named_struct('pending', '', 'port', CAST(NULL AS STRING), 'host', CAST(NULL AS STRING)), (s, a) -> "
+            f"CASE WHEN s.pending = '{own}' THEN {step('a')} "
+            f"WHEN s.pending <> '' THEN named_struct('pending', '', 'port', s.port, 'host', s.host) "
+            f"WHEN a IN ('--port', '--host') THEN named_struct('pending', a, 'port', s.port, 'host', s.host) "
+            f"WHEN startswith(a, '{eq}') THEN {step(f'substring(a, {len(eq) + 1})')} "
+            f"ELSE s END, s -> s.{flag})"
         )
 
     port, host = pick("port"), pick("host")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..sources import fixtures as fx
 from ..sources import tables
 
-# Above this many distinct lookup keys the key side is no longer broadcast.
-BROADCAST_KEYS_MAX = 200_000
+# Characters of the leading key that candidates for containment must share.
+KEY_CHARS = 8
 
 
 def request_union(spans: DataFrame, span_ms: int = 300_000) -> DataFrame:
@@ -18,9 +18,20 @@ def request_union(spans: DataFrame, span_ms: int = 300_000) -> DataFrame:
     return spans.crossJoin(latest).where(F.col("end_ms") >= F.col("_latest") - span_ms).drop("_latest")
 
 
-def _guarded_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count is below ``BROADCAST_KEYS_MAX``."""
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS_MAX else df
+def _containing(outer: DataFrame, inner: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of distinct texts where ``outer.a`` contains ``inner.b``, by an equality join.
+
+    A contained text's first ``KEY_CHARS`` characters (all, if it is shorter)
+    are a substring of the containing one. So the outer texts are exploded
+    into their substrings of at most that length, joined by equality, and the
+    candidates verified. An empty text is contained in every text.
+    """
+    text, n = F.col(a), F.length(a)
+    keys = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.transform(
+        F.sequence(F.lit(0), F.least(F.lit(KEY_CHARS), n - i)), lambda k: F.substr(text, i + 1, k))))
+    o = outer.select(a).distinct().withColumn("_key", F.explode(F.array_distinct(keys)))
+    i = inner.select(b).distinct().withColumn("_key", F.substring(F.col(b), 1, KEY_CHARS))
+    return o.join(i, "_key").where(F.col(a).contains(F.col(b))).select(a, b)
 
 
 def pricing_lookup(models: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -29,22 +40,20 @@ def pricing_lookup(models: DataFrame, catalogue: DataFrame) -> DataFrame:
     Pass 1: first catalogue row (by ``seq``) whose id equals, is contained
     in, or contains the model id; pass 2: first row containing the short
     name. Rows lacking either price string are skipped; an unparsable
-    price is 0. The model list (one row per served model) is the broadcast
-    side of a nested-loop join streamed over the catalogue.
+    price is 0. The catalogue is first reduced to the first row of each id;
+    containment goes by equality joins on leading keys, so no side is
+    broadcast by assumption and no plan compares all with all.
     """
     m = models.select(F.lower("model_id").alias("model_id")).distinct()
     m = m.withColumn("short", F.substring_index("model_id", "/", -1))
-    cat = catalogue.where(F.col("prompt").isNotNull() & F.col("completion").isNotNull()).select(
-        "seq", F.lower("id").alias("id"),
-        (F.coalesce(F.col("prompt").try_cast("double"), F.lit(0.0)) * 1e6).alias("prompt_rate"),
-        (F.coalesce(F.col("completion").try_cast("double"), F.lit(0.0)) * 1e6).alias("gen_rate"),
-    )
-    mb = _guarded_broadcast(m)
-    p1 = cat.join(mb, (cat["id"] == mb["model_id"]) | mb["model_id"].contains(cat["id"]) | cat["id"].contains(mb["model_id"]))
-    p1 = p1.groupBy("model_id").agg(F.min_by(F.struct("prompt_rate", "gen_rate"), "seq").alias("p1"))
-    p2 = cat.join(mb, cat["id"].contains(mb["short"]))
-    p2 = p2.groupBy("model_id").agg(F.min_by(F.struct("prompt_rate", "gen_rate"), "seq").alias("p2"))
-    j = m.join(p1, "model_id", "left").join(p2, "model_id", "left")
+    rate = lambda c: (F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) * 1e6)
+    cat = catalogue.where(F.col("prompt").isNotNull() & F.col("completion").isNotNull())
+    cat = cat.groupBy(F.lower("id").alias("id")).agg(
+        F.min("seq").alias("seq"), F.min_by(F.struct(rate("prompt").alias("prompt_rate"), rate("completion").alias("gen_rate")), "seq").alias("rates"))
+    both = _containing(m, cat, "model_id", "id").unionByName(_containing(cat, m, "id", "model_id"))
+    p1 = both.join(cat, "id").groupBy("model_id").agg(F.min_by("rates", "seq").alias("p1"))
+    p2 = _containing(cat, m, "id", "short").join(cat, "id").groupBy("short").agg(F.min_by("rates", "seq").alias("p2"))
+    j = m.join(p1, "model_id", "left").join(p2, "short", "left")
     return j.select(
         "model_id",
         F.coalesce("p1.prompt_rate", "p2.prompt_rate").alias("prompt_rate"),
@@ -95,15 +104,15 @@ def route_resolve(requests: DataFrame, served: DataFrame) -> DataFrame:
     """Outcome per request: ``missing_model`` 400, ``model_not_found`` 404, else ``upstream`` 200.
 
     The model comes from the JSON body, with a regex fallback for loose
-    JSON; lookup is case-insensitive against the served-model list
-    (broadcast: one row per served model).
+    JSON; lookup is case-insensitive against the served-model list, whose
+    size Spark's own estimate judges for a broadcast.
     """
     js = F.get_json_object("body", "$.model")
     rx = F.regexp_extract("body", MODEL_RE, 1)
     model = F.coalesce(js, F.when(rx != "", rx))
     r = requests.withColumn("model_lc", F.lower(model))
     s = served.select(F.lower("model").alias("model_lc")).distinct().withColumn("_served", F.lit(True))
-    j = r.join(F.broadcast(s), "model_lc", "left")
+    j = r.join(s, "model_lc", "left")
     outcome = (F.when(F.col("model_lc").isNull(), "missing_model")
                .when(F.col("_served").isNull(), "model_not_found").otherwise("upstream"))
     status = F.when(F.col("model_lc").isNull(), 400).when(F.col("_served").isNull(), 404).otherwise(200)

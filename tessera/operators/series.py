@@ -129,13 +129,16 @@ def series_merge(points: DataFrame, keys: list[str], series_col: str, series_ids
     return g.select(*keys, ts, *[F.col(f"`{sid}`").alias(f"s{i}") for i, sid in enumerate(series_ids)])
 
 
-def series_sum(a: DataFrame, b: DataFrame, keys: list[str], ts: str = "timestamp_ms", value: str = "value") -> DataFrame:
-    """Outer sum of two series by timestamp; a missing side counts 0."""
-    return (
-        a.select(*keys, ts, F.col(value).alias("_a"))
-        .join(b.select(*keys, ts, F.col(value).alias("_b")), [*keys, ts], "full_outer")
-        .select(*keys, ts, (F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))).alias(value))
-    )
+def series_sum(a: DataFrame, b: DataFrame, keys: list[str], ts: str = "timestamp_ms", value: str = "value",
+               order: str | None = None) -> DataFrame:
+    """Sum of two series by timestamp, one row each; a missing side counts 0.
+
+    Of repeated timestamps the first series gives its last point (by ``order``;
+    the largest value where no order is given) and the second all its points.
+    """
+    last = F.max_by(value, order) if order else F.max(value)
+    both = a.groupBy(*keys, ts).agg(last.alias(value)).unionByName(b.select(*keys, ts, value))
+    return both.groupBy(*keys, ts).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias(value))
 
 
 def per_request_rate(tps: DataFrame, reqs: DataFrame, key: str, ts: str = "timestamp_ms", value: str = "value") -> DataFrame:

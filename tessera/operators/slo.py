@@ -21,7 +21,8 @@ def parse_thresholds(raw: Column) -> Column:
     JSON parse fail for the record, which rejects it too.
     """
     p = F.from_json(raw, _BLOB_SCHEMA)
-    has_tpot = F.get_json_object(raw, "$.tpotMs").isNotNull()
+    # Presence of the key, not of a value: an explicit null is present and invalid.
+    has_tpot = F.coalesce(F.map_contains_key(F.from_json(raw, "map<string,string>"), "tpotMs"), F.lit(False))
 
     def ok(c: Column) -> Column:
         return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))) & (c > 0)
@@ -61,7 +62,7 @@ def slo_thresholds(engines: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def slo_join(snapshots: DataFrame, thresholds: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Engine rows joined to their thresholds; goodput recomputed from histogram buckets,
+    """Engine rows joined to their thresholds (the defaults where there is no row); goodput recomputed from histogram buckets,
     falling back to the stored percentage when buckets are missing.
 
     ``thresholds`` has one row per (engine, model) -- a catalogue-sized table;
@@ -72,7 +73,9 @@ def slo_join(snapshots: DataFrame, thresholds: DataFrame, buckets: DataFrame) ->
         F.col("engine_key").alias("_ek"), F.col("model_name").alias("_mn"), "is_customized",
         *[F.col(f"{m}_ms").alias(f"slo_{m}_ms") for m in DEFAULT_SLO],
     )
-    s = snapshots.join(th, snapshots["engine_key"].eqNullSafe(th["_ek"]) & snapshots["model_name"].eqNullSafe(th["_mn"]), "inner")
+    s = snapshots.join(th, snapshots["engine_key"].eqNullSafe(th["_ek"]) & snapshots["model_name"].eqNullSafe(th["_mn"]), "left")
+    s = s.withColumns({f"slo_{m}_ms": F.coalesce(f"slo_{m}_ms", F.lit(v)) for m, v in DEFAULT_SLO.items()})
+    s = s.withColumn("is_customized", F.coalesce("is_customized", F.lit(False)))
     s = s.join(per, ["engine_key", "tick_ts"], "left")
 
     def gp(m: str) -> Column:

@@ -10,15 +10,13 @@ engine-day, never an engine's whole history.
 
 from __future__ import annotations
 
-import os
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import DAY_MS
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_dir
 from .windows import next_row_ts, prev_non_null, running_total
 
 STOP_AFTER = 3          # fixed value: consecutive failures before Stopped
@@ -133,7 +131,7 @@ def warmup_baseline(polls: DataFrame, skip: int = 1, chunk_ms: int = DAY_MS) ->
     spark = polls.sparkSession
     # the input is written once to the shared checkpoint folder, partitioned by
     # chunk, so every step reads only its own chunk (partition pruning)
-    path = os.path.join(ensure_checkpoint_dir(spark), f"warmup-input-{uuid.uuid4().hex}")
+    path = scratch_dir(spark, "warmup-input")
     polls.withColumn("_chunk", F.floor(F.col("ts") / F.lit(chunk_ms)).cast("long")) \
         .write.partitionBy("_chunk").parquet(path)
     d = spark.read.parquet(path)
@@ -177,14 +175,14 @@ def baseline_subtract_hist(cur: DataFrame, keys: list[str], epoch: str, tick: st
     """Histogram buckets minus the epoch's baseline histogram, bucket by bucket (floored at 0).
 
     ``cur``: (keys..., epoch, tick, metric, le, cum). The baseline of an
-    (key, epoch, metric) is its histogram at the epoch's first tick. A
+    (key, epoch) is the snapshot at the epoch's first tick. A
     histogram whose bucket bounds differ from the baseline's is dropped; one
-    without a baseline passes unchanged. Bucket-bound sets are compared as
+    that is not in that snapshot passes unchanged. Bucket-bound sets are compared as
     sorted arrays (one histogram's bounds), everything else is joins.
     """
     hk = [*keys, epoch, "metric"]
-    first = cur.groupBy(*hk).agg(F.min(tick).alias("_t0"))
-    base = cur.join(first, hk).where(F.col(tick) == F.col("_t0")).select(*hk, "le", F.col("cum").alias("_base"))
+    first = cur.groupBy(*keys, epoch).agg(F.min(tick).alias("_t0"))
+    base = cur.join(first, [*keys, epoch]).where(F.col(tick) == F.col("_t0")).select(*hk, "le", F.col("cum").alias("_base"))
     base_set = base.groupBy(*hk).agg(F.array_sort(F.collect_list("le")).alias("_bset"))
     cur_set = cur.groupBy(*hk, tick).agg(F.array_sort(F.collect_list("le")).alias("_cset"))
     j = cur.join(base, [*hk, "le"], "left").join(base_set, hk, "left").join(cur_set, [*hk, tick], "inner")

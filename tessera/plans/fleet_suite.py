@@ -47,8 +47,6 @@ def _fleet_sql() -> str:
 
 @query("fleet_aggregate", _fleet_sql())
 def q_fleet_aggregate(spark, sf):
-    for c in FL.SUM_FIELDS:  # sums of integer counters stay integers
-        pass
     return FL.fleet_aggregate(snaps(spark, sf))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from ..operators import nodes as ND
 from ..operators import series as S
 from ..operators import tiers as T
 from ..operators.counters import counter_rate
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_dir
 from ..sources import fixtures as fx
 from ..sources import tables
 from ..streaming import jobs as SJ
@@ -43,6 +42,7 @@ ENGINE_SERIES = (
     ("e2eP95", "e2e_p95_ms"), ("e2eP99", "e2e_p99_ms"), ("activeRequests", "active_requests"),
     ("queuedRequests", "queued_requests"), ("totalRequests", "total_requests"),
 )
+# GPU series names.
 GPU_SERIES = (("gpuUtil", "utilization_percent"), ("gpuTemp", "temperature_celsius"), ("gpuPower", "power_watts"))
 # Host-level series names.
 SYSTEM_SERIES = ("gpuUtil", "gpuTemp", "gpuPower", "gpuClockGraphics", "cpuAggregate", "memoryUsedPercent",
@@ -405,7 +405,7 @@ def q_catalog_merge(spark, sf):
 
 @query("raw_append", W.tier_cte() + "SELECT *, (ts // 86400000) * 86400000 AS day FROM snapshots_1s")
 def q_raw_append(spark, sf):
-    base = os.path.join(ensure_checkpoint_dir(spark), f"raw-append-{uuid.uuid4().hex}")
+    base = scratch_dir(spark, "raw-append")
     raw = W.raw(spark, sf)
     raw.repartition(4, "engine_key").write.parquet(os.path.join(base, "src"))
     q = SJ.raw_append(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(os.path.join(base, "src")),

@@ -73,8 +73,8 @@ def _hist_cur_sql(d):
 
 @query("baseline_subtract", fx.duck_cte("hist_buckets").rstrip("\n") + f""",
 c AS ({_hist_cur_sql(fx.DUCK)}),
-f AS (SELECT engine_key, epoch, metric, min(tick_ts) AS t0 FROM c GROUP BY 1, 2, 3),
-b AS (SELECT c.engine_key, c.epoch, c.metric, c.le, c.cum AS base FROM c JOIN f USING (engine_key, epoch, metric) WHERE c.tick_ts = f.t0),
+f AS (SELECT engine_key, epoch, min(tick_ts) AS t0 FROM c GROUP BY 1, 2),
+b AS (SELECT c.engine_key, c.epoch, c.metric, c.le, c.cum AS base FROM c JOIN f USING (engine_key, epoch) WHERE c.tick_ts = f.t0),
 bs AS (SELECT engine_key, epoch, metric, list_sort(list(le)) AS bset FROM b GROUP BY 1, 2, 3),
 cs AS (SELECT engine_key, epoch, metric, tick_ts, list_sort(list(le)) AS cset FROM c GROUP BY 1, 2, 3, 4)
 SELECT c.engine_key, c.epoch, c.tick_ts, c.metric, c.le, CASE WHEN b.base IS NULL THEN c.cum ELSE greatest(c.cum - b.base, 0.0) END AS cum

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_dir
 from ..streaming import jobs as SJ
 from . import world as W
 from .registry import query
@@ -16,7 +15,7 @@ from .registry import query
 @query("stream_rollup", W.tier_cte() + "SELECT *, (bucket_ts // 86400000) * 86400000 AS day FROM hourly_all")
 def q_stream_rollup(spark, sf):
     """Raw tier written by a streaming append, rolled up by a streaming foreachBatch upsert; final table."""
-    base = os.path.join(ensure_checkpoint_dir(spark), f"stream-rollup-{uuid.uuid4().hex}")
+    base = scratch_dir(spark, "stream-rollup")
     src, raw_dir, hourly = (os.path.join(base, p) for p in ("src", "raw", "hourly"))
     raw = W.raw(spark, sf)
     # feed: the raw rows as several files so the stream sees several micro-batches
@@ -37,7 +36,7 @@ UNION
 SELECT * FROM snapshots_1s QUALIFY row_number() OVER (PARTITION BY engine_key ORDER BY ts, total_requests, power_watts) = 1
 """)
 def q_conflate_latest(spark, sf):
-    return SJ.conflate_latest(W.raw(spark, sf), "engine_key", "ts")
+    return SJ.conflate_latest(W.raw(spark, sf), "engine_key", "ts", ties=("total_requests", "power_watts"))
 
 
 @query("tick_dedupe", W.tier_cte() + """

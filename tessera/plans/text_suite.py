@@ -74,7 +74,7 @@ def _chunks_sql(d) -> str:
            else "LATERAL VIEW explode(sequence(0, CAST(ceil(length(text) / 200.0) AS BIGINT) - 1)) g AS i")
     s = f"""SELECT 'ctr-' || CAST(doc_id % 5 AS STRING) AS container,
   CASE WHEN doc_id % 3 = 0 THEN 'stderr' ELSE 'stdout' END AS stream,
-  doc_id * 100000 + i AS seq, substring(text, CAST(i * {CHUNK} + 1 AS INT), {CHUNK}) AS chunk
+  doc_id * 1000000000 + i AS seq, substring(text, CAST(i * {CHUNK} + 1 AS INT), {CHUNK}) AS chunk
 FROM {d.t('documents')} {gen} WHERE length(text) > 0"""
     return s.replace("STRING", "VARCHAR" if d.name == "duckdb" else "STRING")
 

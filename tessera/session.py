@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -15,8 +16,7 @@ DEFAULT_CONF = {
     # Partition overwrite is per-partition for tier upserts.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcast only what the size estimate proves small; joins against
-    # catalogue tables are hinted explicitly and checked in plans.broadcast.
+    # Broadcast only what the size estimate proves small.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
@@ -34,21 +34,38 @@ def build(master: str | None = None, app: str = "tessera", conf: dict | None = N
     return spark
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting points at shared storage and is only read here.
-    Only when it is unset (local tests) is a private scratch folder chosen.
+    On a cluster the setting must be given: each executor would write to its
+    own disk otherwise, so a missing setting is an error there. Only a local
+    master, where all tasks share one machine, gets a private folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # core conf may be read-only at runtime
-            pass
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="tessera-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder, removed when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+@atexit.register
+def _release_scratch() -> None:
+    for spark, path in _scratch:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended already; the cluster's own cleaning applies
+            return

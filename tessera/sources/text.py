@@ -14,7 +14,7 @@ from ..operators.windows import running_total
 
 NAME_RE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)"
 LABELS_RE = r"^[a-zA-Z_:][a-zA-Z0-9_:]*\{(.*)\}"
-VALUE_RE = r"\s(\S+)\s*$"
+VALUE_RE = r"^[a-zA-Z_:][a-zA-Z0-9_:]*(?:\{.*\})?\s+(\S+)(?:\s+[-+]?\d+)?\s*$"  # value, then perhaps a timestamp
 
 
 def scrape_ingest(bodies: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
@@ -24,7 +24,8 @@ def scrape_ingest(bodies: DataFrame, keys: list[str], body: str = "body") -> Dat
     kind; histogram ``_bucket`` lines become ``histogram`` rows (one per
     ``le``); summaries are dropped; untyped names ending in
     ``_sum``/``_count``/``_total`` are counters, other untyped ones gauges;
-    labels are dropped and the last sample per name (and ``le``) wins.
+    labels are dropped and the last sample per name wins; of a histogram the
+    buckets of one label set are kept, the one that its last line has.
 
     Each body is parsed inside its own row with array functions (the
     ``# TYPE`` declarations are looked up within the body, duplicates are
@@ -66,11 +67,20 @@ def scrape_ingest(bodies: DataFrame, keys: list[str], body: str = "body") -> Dat
         kind = (F.when(is_hist, "histogram").when(d == "counter", "counter").when(d == "gauge", "gauge")
                 .when(d == "summary", F.lit(None).cast("string"))
                 .when(name.rlike("(_sum|_count|_total)$"), "counter").otherwise("gauge"))
-        return F.struct(F.when(is_hist, hb).otherwise(name).alias("name"), kind.alias("kind"),
-                        F.when(is_hist, le).alias("le"), x["i"].alias("i"), value.alias("value"))
+        others = F.regexp_replace(F.concat(F.lit(","), x["labels"]), r',\s*le="[^"]*"', "")
+        return F.struct(F.when(is_hist, hb).otherwise(name).alias("name"), kind.alias("kind"), F.when(is_hist, le).alias("le"),
+                        x["i"].alias("i"), value.alias("value"), F.when(is_hist, others).alias("others"))
 
     b = b.withColumn("_p", F.filter(F.transform("_s", parse),
                                     lambda p: p["value"].isNotNull() & (p["name"] != "") & p["kind"].isNotNull()))
+    # one label set per histogram: that of its last line, by the greatest (line, labels) of each name
+    hist = F.array_sort(F.transform(F.filter("_p", lambda p: p["others"].isNotNull()), lambda p: F.struct(p["name"].alias("n"), p["i"].alias("i"), p["others"].alias("o"))))
+    b = b.withColumn("_h", hist)
+    nh = F.size("_h")
+    last_hist = F.filter(F.sequence(F.lit(1), F.greatest(nh, F.lit(1))), lambda i: (i <= nh) & (
+        (i == nh) | (F.element_at("_h", i)["n"] != F.try_element_at("_h", i + 1)["n"])))
+    b = b.withColumn("_sets", F.map_from_entries(F.transform(last_hist, lambda i: F.struct(F.element_at("_h", i)["n"], F.element_at("_h", i)["o"]))))
+    b = b.withColumn("_p", F.filter("_p", lambda p: p["others"].isNull() | (p["others"] == F.try_element_at("_sets", p["name"]))))
     # last sample per (name, le) wins: sort by (name, kind, le, line) and keep the last of each run
     b = b.withColumn("_p", F.array_sort("_p"))
     n = F.size("_p")
@@ -94,8 +104,7 @@ def log_lines(chunks: DataFrame, keys: list[str] = ("container", "stream"), seq:
     p = chunks.select(*keys, seq, F.posexplode(F.split(F.col(text), "\n", -1)).alias("_i", "_piece"))
     p = p.withColumn("_nl_before", F.when(F.col("_i") > 0, 1).otherwise(0))
     p = p.withColumn("_k", F.concat_ws("\u0001", *[F.col(k) for k in keys]))
-    p = p.withColumn("_ord", F.col(seq) * F.lit(1 << 20) + F.col("_i"))
-    p = running_total(p, "_k", "_ord", "_i", ["_nl_before"], chunk_ms=seq_chunk << 20)
+    p = running_total(p, "_k", seq, "_i", ["_nl_before"], chunk_ms=seq_chunk)
     g = p.groupBy(*keys, F.col("_nl_before_run").alias("line_no")).agg(
         F.array_sort(F.collect_list(F.struct(F.col(seq), F.col("_i"), F.col("_piece")))).alias("_ps"))
     g = g.select(*keys, "line_no", F.array_join(F.transform("_ps", lambda x: x["_piece"]), "").alias("line"))

@@ -65,12 +65,17 @@ def stream_rollup(spark: SparkSession, raw_dir: str, hourly_dir: str, checkpoint
     return q
 
 
-def conflate_latest(df: DataFrame, key: str, ts: str, every_ms: int = 2000) -> DataFrame:
-    """Newest row per key per flush interval; the first row of each key also passes at once."""
+def conflate_latest(df: DataFrame, key: str, ts: str, every_ms: int = 2000, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Newest row per key per flush interval; the first row of each key also passes at once.
+
+    ``ties`` orders rows of equal time. Both ends of an interval come from one
+    aggregation; a key's first row is not repeated if it is its interval's newest.
+    """
     b = bucket(F.col(ts), every_ms)
-    newest = df.groupBy(key, b.alias("_flush")).agg(F.max_by(F.struct(*df.columns), F.col(ts)).alias("_r")).select("_r.*")
-    first = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.col(ts)).alias("_r")).select("_r.*")
-    return newest.unionByName(first).distinct()
+    row, at = F.struct(*df.columns), F.struct(ts, *ties)
+    ends = df.groupBy(key, b.alias("_flush")).agg(F.max_by(row, at).alias("_new"), F.min_by(row, at).alias("_old"))
+    first = ends.groupBy(key).agg(F.min_by(F.struct("_old", "_new"), "_flush").alias("_f")).where(~F.col("_f._old").eqNullSafe(F.col("_f._new")))
+    return ends.select("_new.*").unionByName(first.select("_f._old.*"))
 
 
 def conflate_stream(stream: DataFrame, key: str, event_time: str, every: str = "2 seconds", watermark: str = "10 seconds") -> DataFrame:
@@ -154,6 +159,10 @@ def liveness_stream(probes_stream: DataFrame, event_time: str = "event_time", wa
         out = []
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"])
         for r in rows.itertuples(index=False):
+            if stopped_at is not None and int(r.ts) > stopped_at + REMOVE_AFTER_MS:
+                # the engine was gone before this row came
+                out.append((engine, "removed", stopped_at + REMOVE_AFTER_MS + 1))
+                fails, stopped_at = 0, None
             if r.success:
                 if stopped_at is not None:
                     out.append((engine, "recovered", int(r.ts)))
@@ -163,9 +172,13 @@ def liveness_stream(probes_stream: DataFrame, event_time: str = "event_time", wa
                 if fails >= STOP_AFTER and stopped_at is None:
                     stopped_at = int(r.ts)
                     out.append((engine, "stopped", stopped_at))
+        due = None if stopped_at is None else stopped_at + REMOVE_AFTER_MS + 1
+        if due is not None and due <= gstate.getCurrentWatermarkMs():  # a timer must lie ahead of the watermark
+            out.append((engine, "removed", due))
+            fails, stopped_at, due = 0, None, None
         gstate.update((int(fails), stopped_at))
-        if stopped_at is not None:
-            gstate.setTimeoutTimestamp(stopped_at + REMOVE_AFTER_MS + 1)
+        if due is not None:
+            gstate.setTimeoutTimestamp(due)
         yield pd.DataFrame(out, columns=["engine_key", "event", "ts"])
 
     return (probes_stream.withWatermark(event_time, watermark).groupBy("engine_key")
