@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .state import failure_streak
 
 STALE_AFTER_POLLS = 10  # fixed value: consecutive failures before a node's snapshot is dropped
 
@@ -32,21 +31,22 @@ def node_roster(roster: DataFrame, polls: DataFrame, url: str = "url") -> DataFr
     success; the snapshot is dropped after >= 10 consecutive failures; nodes
     never seen are offline with last_seen 0 and hostname = url.
     """
-    s = failure_streak(polls.withColumnRenamed(url, "engine_key")).withColumnRenamed("engine_key", url)
     order = F.struct(F.col("ts"), F.col("seq"))
-    g = s.groupBy(url).agg(
-        F.max_by(F.struct("success", "streak"), order).alias("_last"),
-        F.max_by(F.struct("ts", "hostname", "gpu_power", "gpu_util"), F.when(F.col("success"), order)).alias("_ok"),
-    )
+    g = polls.groupBy(url).agg(
+        F.max_by("success", order).alias("_online"), F.max(F.when(F.col("success"), order)).alias("_at"),
+        F.max_by(F.struct("ts", "hostname", "gpu_power", "gpu_util"), F.when(F.col("success"), order)).alias("_ok"))
+    # rows after the last success, all failures: counted map-side against one row per node
+    after = polls.select(url, order.alias("_order")).join(g.select(url, "_at"), url).where(F.col("_at").isNull() | (F.col("_order") > F.col("_at")))
+    g = g.join(after.groupBy(url).agg(F.count("*").alias("_streak")), url, "left")
     j = roster.select(url).distinct().join(g, url, "left")
-    has_snap = F.col("_ok").isNotNull() & (F.coalesce(F.col("_last.streak"), F.lit(0)) < STALE_AFTER_POLLS)
+    has_snap = F.col("_ok").isNotNull() & (F.coalesce("_streak", F.lit(0)) < STALE_AFTER_POLLS)
     return j.select(
         url,
         F.coalesce(F.col("_ok.hostname"), F.col(url)).alias("hostname"),
-        F.coalesce(F.col("_last.success"), F.lit(False)).alias("online"),
+        F.coalesce("_online", F.lit(False)).alias("online"),
         F.coalesce(F.col("_ok.ts"), F.lit(0).cast("bigint")).alias("last_seen_ms"),
         F.when(has_snap, F.col("_ok.gpu_power")).alias("snapshot_gpu_power"),
-        F.coalesce(F.col("_last.streak"), F.lit(0).cast("bigint")).alias("failures"),
+        F.coalesce("_streak", F.lit(0).cast("bigint")).alias("failures"),
     )
 
 

@@ -1,7 +1,7 @@
 """Keyed state over ordered polls: failure streaks, liveness, staleness, warm-up baselines.
 
-Streaks are relational: running totals of failures (skew-safe chunked
-windows) minus the total at the last success. The warm-up state machine is
+Streaks are relational: one chunked window pass and what the chunks'
+summaries carry into each other. The warm-up state machine is
 genuinely sequential (a restart is judged against the baseline, not the
 previous poll), so it runs as ``applyInPandas`` per (engine, day) with the
 per-engine state carried from one day chunk to the next; a group is one
@@ -12,32 +12,55 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import DAY_MS
+from ..functions.timeutil import DAY_MS, idiv
 from ..session import scratch_dir
-from .windows import next_row_ts, prev_non_null, running_total
+from .windows import next_row_ts
 
 STOP_AFTER = 3          # fixed value: consecutive failures before Stopped
 REMOVE_AFTER_MS = 30_000  # fixed value: Stopped engines are removed after 30 s (strict >)
 STALE_MS = 5_000        # fixed value: a stream is stale after 5 s without a message
 
 
-def failure_streak(probes: DataFrame, key: str = "engine_key", ts: str = "ts", tie: str = "seq") -> DataFrame:
-    """Consecutive failures since the last success; ``stopped`` at >= 3 with the time of the third failure."""
-    d = probes.withColumn("_f", F.when(F.col("success"), 0).otherwise(1))
-    d = running_total(d, key, ts, tie, ["_f"])
-    d = d.withColumn("_f_at_ok", F.when(F.col("success"), F.col("_f_run")))
-    d = prev_non_null(d, key, ts, tie, ["_f_at_ok"], suffix="_prev")
-    base = F.coalesce(F.col("_f_at_ok"), F.col("_f_at_ok_prev"), F.lit(0))
-    d = d.withColumn("streak", (F.col("_f_run") - base).cast("bigint"))
-    d = d.withColumn("_third", F.when(F.col("streak") == STOP_AFTER, F.col(ts)))
-    d = prev_non_null(d, key, ts, tie, ["_third"], suffix="_prev")
-    stopped = F.col("streak") >= STOP_AFTER
-    d = d.withColumn("stopped", stopped).withColumn(
-        "stopped_at", F.when(stopped, F.coalesce(F.col("_third"), F.col("_third_prev"))))
-    return d.drop("_f", "_f_run", "_f_at_ok", "_f_at_ok_prev", "_third", "_third_prev")
+def failure_streak(probes: DataFrame, key: str = "engine_key", ts: str = "ts", tie: str = "seq",
+                   chunk_ms: int = DAY_MS) -> DataFrame:
+    """Consecutive failures since the last success; ``stopped`` at >= 3 with the time of the third failure.
+
+    One window pass over (key, chunk) gives each row its streak within the
+    chunk. A chunk's summary holds its closing streak and the times of its
+    first failures; from the summaries in order follows what a streak brings
+    into each chunk, and that is joined back.
+    """
+    cols = probes.columns
+    w = Window.partitionBy(key, "_chunk").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    d = probes.withColumn("_chunk", idiv(F.col(ts), chunk_ms)).withColumn("_run", F.sum(F.when(F.col("success"), 0).otherwise(1)).over(w))
+    d = d.withColumn("_at_ok", F.last(F.when(F.col("success"), F.col("_run")), ignorenulls=True).over(w))
+    # open: no success in the chunk yet, so a streak from before goes on
+    d = d.withColumn("_open", F.col("_at_ok").isNull()).withColumn("_n", F.col("_run") - F.coalesce("_at_ok", F.lit(0)))
+    d = d.withColumn("_third", F.last(F.when((F.col("_n") == STOP_AFTER) & ~F.col("success"), F.col(ts)), ignorenulls=True).over(w))
+
+    first = [F.min(F.when(F.col("_open") & (F.col("_n") == i), F.col(ts))).alias(f"_t{i}") for i in range(1, STOP_AFTER + 1)]
+    last = F.max_by(F.struct(F.col("_n").alias("n"), F.col("_third").alias("third"), F.col("_open").alias("open")), F.struct(ts, tie)).alias("_end")
+    c = d.groupBy(key, "_chunk").agg(last, *first)
+    order = Window.partitionBy(key).orderBy("_chunk")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_cum", F.sum("_end.n").over(upto))
+    c = c.withColumn("_base", F.when(~F.col("_end.open"), F.col("_cum") - F.col("_end.n")))
+    brought = F.coalesce(F.max("_cum").over(before), F.lit(0)) - F.coalesce(F.last("_base", ignorenulls=True).over(before), F.lit(0))
+    c = c.withColumn("_in", brought)
+    # the third failure of a streak that was brought in, if it lies among the chunk's first failures
+    lead = F.coalesce(*[F.when(F.col("_in") == STOP_AFTER - i, F.col(f"_t{i}")) for i in range(1, STOP_AFTER + 1)])
+    c = c.withColumn("_lead", lead).withColumn("_closing", F.when(F.col("_end.open"), F.col("_lead")).otherwise(
+        F.when(F.col("_end.n") >= STOP_AFTER, F.col("_end.third"))))
+    c = c.withColumn("_carried", F.last("_closing", ignorenulls=True).over(before)).select(key, "_chunk", "_in", "_lead", "_carried")
+
+    d = d.join(c, [key, "_chunk"])
+    streak = F.col("_n") + F.when(F.col("_open"), F.col("_in")).otherwise(0)
+    stopped_at = F.when(F.col("_open"), F.when(F.col("_in") >= STOP_AFTER, F.col("_carried")).otherwise(F.col("_lead"))).otherwise(F.col("_third"))
+    d = d.withColumn("streak", streak.cast("bigint")).withColumn("stopped", F.col("streak") >= STOP_AFTER)
+    return d.withColumn("stopped_at", F.when(F.col("stopped"), stopped_at)).select(*cols, "streak", "stopped", "stopped_at")
 
 
 def liveness(streaks: DataFrame, ts: str = "ts") -> DataFrame:
