@@ -91,3 +91,24 @@ def test_liveness_stream_stops_like_batch(spark):
     for k, t in got:
         stops.setdefault(k, []).append(t)
     assert all(any(t - s > 30_000 for s in stops[k]) for k, t in rem)
+
+
+def test_liveness_stream_survives_late_failures(spark):
+    """A failure after the watermark has passed the removal time must not set a timer in the past."""
+    base = tempfile.mkdtemp(prefix="liveness-late-")
+    src, t0 = os.path.join(base, "src"), 1_700_000_000_000
+    steps = [[(t0 + i * 1000, i, i == 0) for i in range(5)], [(t0 + 3_600_000, 5, True)], [(t0 + 3_600_000 + i * 1000, 5 + i, False) for i in range(1, 5)],
+             [(t0 + 9_000_000, 20, False), (t0 + 9_001_000, 21, True)], [(t0 + 9_300_000, 22, True)]]
+    schema = "engine_key string, ts long, seq long, success boolean"
+    for rows in steps:
+        df = spark.createDataFrame([("e", *r) for r in rows], schema).withColumn("event_time", F.timestamp_millis("ts"))
+        df.coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.01)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = os.path.join(base, "out")
+    q = (SJ.liveness_stream(stream).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", os.path.join(base, "ck")).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert q.exception() is None
+    got = sorted((r.ts - t0, r.event) for r in spark.read.parquet(out).collect())
+    assert got == [(3_000, "stopped"), (33_001, "removed"), (3_603_000, "stopped"), (3_633_001, "removed")]
