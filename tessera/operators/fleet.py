@@ -97,18 +97,12 @@ def _org_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "org string, slug string")
 
 
-def _keyword_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, k, s, a) for i, (k, s, a) in enumerate(KEYWORDS)],
-                                 "kw_order int, keyword string, kw_slug string, kw_alt string")
-
-
 def provider_resolve(spark: SparkSession, df: DataFrame, id_col: str, name_col: str) -> DataFrame:
     """Adds ``provider_slug``, ``provider_alt`` and ``raw_prefix`` for a model-name column.
 
     With an ``Org/`` prefix the org alone decides (alias, else identity,
     else null, label = raw prefix); without one, the first keyword contained
-    in the lower-cased name wins. The keyword scan is a broadcast
-    nested-loop join against the 13 fixed keywords, then ``min_by`` order.
+    in the lower-cased name wins: one conditional per fixed keyword, in order.
     """
     name = F.trim(F.col(name_col))
     slash = F.instr(name, "/")
@@ -117,11 +111,8 @@ def provider_resolve(spark: SparkSession, df: DataFrame, id_col: str, name_col:
     ).withColumn("_has_slash", F.coalesce(slash > 1, F.lit(False)))
     orgs = F.broadcast(_org_table(spark))
     d = d.join(orgs, F.lower(d["raw_prefix"]) == orgs["org"], "left").drop("org")
-    kw = F.broadcast(_keyword_table(spark))
-    cand = d.where(~F.col("_has_slash") & (F.length("_nm") > 0)).select(id_col, "_nm").join(
-        kw, F.lower(F.col("_nm")).contains(kw["keyword"]), "inner"
-    ).groupBy(id_col).agg(F.min_by(F.struct("kw_slug", "kw_alt"), "kw_order").alias("_kw"))
-    d = d.join(cand, id_col, "left")
+    kw = F.coalesce(*[F.when(F.lower(F.col("_nm")).contains(k), F.struct(F.lit(sl).alias("kw_slug"), F.lit(al).cast("string").alias("kw_alt"))) for k, sl, al in KEYWORDS])
+    d = d.withColumn("_kw", F.when(~F.col("_has_slash") & (F.length("_nm") > 0), kw))
     slug = F.when(F.col("_has_slash"), F.when(F.col("raw_prefix") != "", F.col("slug"))).otherwise(F.col("_kw.kw_slug"))
     alt = F.when(F.col("_has_slash"), F.when((F.col("raw_prefix") != "") & F.col("slug").isNotNull(), F.col("raw_prefix"))).otherwise(
         F.col("_kw.kw_alt"))

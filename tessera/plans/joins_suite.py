@@ -20,7 +20,7 @@ def _s(sql: str, d) -> str:
 # ---------------------------------------------------------------- pid tree
 
 def _roots_sql(d) -> str:
-    return f"SELECT p_partkey AS root, p_partkey AS pid FROM {d.t('part')} WHERE p_size = 50"
+    return f"SELECT p_partkey AS root, p_partkey AS pid FROM {d.t('part')}"
 
 
 @query("pid_tree", f"""
@@ -41,7 +41,7 @@ def q_pid_tree(spark, sf):
 # ---------------------------------------------------------------- GPU placement
 
 def _gpu_procs_sql(d) -> str:
-    return f"SELECT CAST(p_size % 8 AS INT) AS gpu_index, p_partkey AS pid FROM {d.t('part')} WHERE p_size % 3 = 0"
+    return f"SELECT CASE WHEN p_size % 3 = 0 THEN CAST(p_size % 8 AS INT) END AS gpu_index, p_partkey AS pid FROM {d.t('part')}"
 
 
 @query("gpu_placement", fx.duck_cte("engine_pids").rstrip("\n") + f""",
@@ -63,14 +63,14 @@ def _proc_inv_sql(d) -> str:
   'native' AS deployment_mode,
   CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE 'model-' || CAST(l_suppkey % 5 AS STRING) END AS served_model,
   l_partkey AS pid, CAST(NULL AS STRING) AS container_id
-FROM {d.t('lineitem')} WHERE l_returnflag = 'R'""", d)
+FROM {d.t('lineitem')} WHERE l_returnflag <> 'A'""", d)
 
 
 def _docker_inv_sql(d) -> str:
     return _s(f"""SELECT 'vllm' AS engine_type, 'http://localhost:' || CAST(8000 + l_suppkey % 70 AS STRING) AS endpoint,
   'docker' AS deployment_mode, 'cmodel-' || CAST(l_suppkey % 4 AS STRING) AS served_model,
   l_partkey AS pid, 'ctr-' || CAST(l_suppkey % 70 AS STRING) AS container_id
-FROM {d.t('lineitem')} WHERE l_returnflag = 'A'""", d)
+FROM {d.t('lineitem')} WHERE l_returnflag <> 'R'""", d)
 
 
 def _inv_attrs(df):

@@ -11,30 +11,36 @@ from ..sources import text as TX
 from .registry import query
 
 K = ["engine_key", "tick_ts"]
+# Exposition names of the histograms.
+HIST_NAMES = {"ttft": "vllm:time_to_first_token_seconds", "itl": "vllm:inter_token_latency_seconds",
+              "e2e": "vllm:e2e_request_latency_seconds", "tpot": "vllm:request_time_per_output_token_seconds"}
+_HIST_SQL = "CASE metric " + " ".join(f"WHEN '{k}' THEN '{v.replace(':', '_')}'" for k, v in HIST_NAMES.items()) + " END"
 
 
 def scrape_bodies(spark, sf):
     """Exposition bodies per (engine, hour) assembled from the snapshot and histogram views."""
     s = fx.engine_snapshots(spark, sf).select(*K, "model_name", "active_requests", "total_prompt_tokens", "n_events")
-    hb = HG.collect_buckets(fx.view(spark, sf, "hist_buckets").where(F.col("metric") == "ttft"), K)
-    ht = fx.view(spark, sf, "hist_totals").where(F.col("metric") == "ttft").select(*K, "sum_s", "count")
-    d = s.join(hb, K, "left").join(ht, K, "left")
-    lab = F.concat(F.lit('model_name="'), F.coalesce("model_name", F.lit("none")), F.lit('"'))
+    hk = [*K, "metric"]
+    hist = HG.collect_buckets(fx.view(spark, sf, "hist_buckets"), hk).join(fx.view(spark, sf, "hist_totals"), hk)
+    hist = hist.join(s.select(*K, F.coalesce("model_name", F.lit("none")).alias("model")), K)
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in HIST_NAMES.items() for x in kv]), F.col("metric"))
+    own = F.concat(F.lit('model_name="'), F.col("model"), F.lit('"'))
     le_txt = lambda x: F.when(x["le"] == F.lit(float("inf")), F.lit("+Inf")).otherwise(x["le"].cast("string"))
-    buckets = F.transform(F.coalesce("buckets", F.array().cast("array<struct<le:double,cum:double>>")), lambda x: F.concat(
-        F.lit("vllm:time_to_first_token_seconds_bucket{le=\""), le_txt(x), F.lit("\","), lab, F.lit("} "), x["cum"].cast("bigint").cast("string")))
-    hist_tail = F.when(F.col("count").isNotNull(), F.array(
-        F.concat(F.lit("vllm:time_to_first_token_seconds_sum{"), lab, F.lit("} "), F.col("sum_s").cast("string")),
-        F.concat(F.lit("vllm:time_to_first_token_seconds_count{"), lab, F.lit("} "), F.col("count").cast("bigint").cast("string")),
-    )).otherwise(F.array().cast("array<string>"))
+    hist = hist.select(*K, F.concat(
+        F.array(F.concat(F.lit("# TYPE "), name, F.lit(" histogram"))),
+        F.transform("buckets", lambda x: F.concat(name, F.lit('_bucket{le="'), le_txt(x), F.lit('",'), own, F.lit("} "), x["cum"].cast("bigint").cast("string"))),
+        F.array(F.concat(name, F.lit("_sum{"), own, F.lit("} "), F.col("sum_s").cast("string")),
+                F.concat(name, F.lit("_count{"), own, F.lit("} "), F.col("count").cast("bigint").cast("string")))).alias("h"))
+    hist = hist.groupBy(*K).agg(F.flatten(F.collect_list("h")).alias("hists"))  # four histograms at most
+    d = s.join(hist, K, "left")
+    lab = F.concat(F.lit('model_name="'), F.coalesce("model_name", F.lit("none")), F.lit('"'))
     lines = F.concat(
         F.array(F.lit("# HELP vllm:num_requests_running Number of requests running."),
                 F.lit("# TYPE vllm:num_requests_running gauge"),
                 F.concat(F.lit("vllm:num_requests_running{"), lab, F.lit("} "), F.col("active_requests").cast("string")),
                 F.lit("# TYPE vllm:prompt_tokens_total counter"),
-                F.concat(F.lit("vllm:prompt_tokens_total{"), lab, F.lit("} "), F.col("total_prompt_tokens").cast("string")),
-                F.lit("# TYPE vllm:time_to_first_token_seconds histogram")),
-        buckets, hist_tail,
+                F.concat(F.lit("vllm:prompt_tokens_total{"), lab, F.lit("} "), F.col("total_prompt_tokens").cast("string"), F.lit(" 1700000000000"))),
+        F.coalesce("hists", F.array().cast("array<string>")),
         F.array(F.concat(F.lit("process_cpu_seconds_total "), F.col("n_events").cast("string")),
                 F.lit('python_info{version="3.12"} 1'),
                 F.lit("# TYPE rpc_latency summary"), F.lit('rpc_latency{quantile="0.5"} 1.5'),
@@ -43,19 +49,19 @@ def scrape_bodies(spark, sf):
     return d.select(*K, F.array_join(lines, "\n").alias("body"))
 
 
-_SCRAPE_SQL = fx.duck_cte("engine_snapshots", "hist_buckets", "hist_totals") + """
+_SCRAPE_SQL = fx.duck_cte("engine_snapshots", "hist_buckets", "hist_totals") + f"""
 SELECT engine_key, tick_ts, 'vllm_num_requests_running' AS name, 'gauge' AS kind, NULL::DOUBLE AS le, CAST(active_requests AS DOUBLE) AS value FROM engine_snapshots
 UNION ALL SELECT engine_key, tick_ts, 'vllm_prompt_tokens_total', 'counter', NULL, CAST(total_prompt_tokens AS DOUBLE) FROM engine_snapshots
 UNION ALL SELECT engine_key, tick_ts, 'process_cpu_seconds_total', 'counter', NULL, CAST(n_events AS DOUBLE) FROM engine_snapshots
 UNION ALL SELECT engine_key, tick_ts, 'python_info', 'gauge', NULL, 1.0 FROM engine_snapshots
 UNION ALL SELECT engine_key, tick_ts, 'rpc_latency_sum', 'counter', NULL, 3.0 FROM engine_snapshots
 UNION ALL SELECT engine_key, tick_ts, 'rpc_latency_count', 'counter', NULL, 2.0 FROM engine_snapshots
-UNION ALL SELECT h.engine_key, h.tick_ts, 'vllm_time_to_first_token_seconds', 'histogram', le, CAST(CAST(cum AS BIGINT) AS DOUBLE)
-  FROM hist_buckets h JOIN engine_snapshots s USING (engine_key, tick_ts) WHERE metric = 'ttft'
-UNION ALL SELECT h.engine_key, h.tick_ts, 'vllm_time_to_first_token_seconds_sum', 'counter', NULL, sum_s
-  FROM hist_totals h JOIN engine_snapshots s USING (engine_key, tick_ts) WHERE metric = 'ttft'
-UNION ALL SELECT h.engine_key, h.tick_ts, 'vllm_time_to_first_token_seconds_count', 'counter', NULL, CAST(CAST(count AS BIGINT) AS DOUBLE)
-  FROM hist_totals h JOIN engine_snapshots s USING (engine_key, tick_ts) WHERE metric = 'ttft'
+UNION ALL SELECT h.engine_key, h.tick_ts, {_HIST_SQL}, 'histogram', le, CAST(CAST(cum AS BIGINT) AS DOUBLE)
+  FROM hist_buckets h JOIN engine_snapshots s USING (engine_key, tick_ts)
+UNION ALL SELECT h.engine_key, h.tick_ts, {_HIST_SQL} || '_sum', 'counter', NULL, sum_s
+  FROM hist_totals h JOIN engine_snapshots s USING (engine_key, tick_ts)
+UNION ALL SELECT h.engine_key, h.tick_ts, {_HIST_SQL} || '_count', 'counter', NULL, CAST(CAST(count AS BIGINT) AS DOUBLE)
+  FROM hist_totals h JOIN engine_snapshots s USING (engine_key, tick_ts)
 """
 
 

@@ -24,7 +24,6 @@ from . import tables
 # "Now" of the fixture world: 2024-01-30 12:30:00 UTC. Operators never read
 # the wall clock; they take this as a parameter.
 NOW_MS = 1_706_617_800_000
-N_ENGINES = 8
 
 # Model name served by engine k (k = user_id % 8), in order.
 MODEL_NAMES = (
@@ -249,16 +248,13 @@ agg AS (SELECT engine_key, tick_ts, metric, {counts} FROM obs GROUP BY engine_ke
 def sql_hist_totals(d: Dialect) -> str:
     """Histogram _sum (seconds) and _count per (engine, hour, metric)."""
     tick = f"{d.div(d.ms('ts'), '3600000')} * 3600000"
-    parts = []
-    for m, s in HIST_SCALE:
-        parts.append(
-            f"SELECT 'engine-' || CAST(user_id % 8 AS STRING) AS engine_key, {tick} AS tick_ts, '{m}' AS metric, "
-            f"sum(CAST(floor(value * {s} * 1000) AS BIGINT)) AS sum_us, count(*) AS cnt "
-            f"FROM {d.t('events')} WHERE event_type <> 'error' GROUP BY 1, 2"
-        )
+    metrics = ", ".join(f"'{m}'" for m, _ in HIST_SCALE)
+    us = "CASE m " + " ".join(f"WHEN '{m}' THEN floor(value * {s} * 1000)" for m, s in HIST_SCALE) + " END"
+    gen = f"CROSS JOIN (SELECT unnest([{metrics}]) AS m) ms" if d.name == "duckdb" else f"LATERAL VIEW explode(array({metrics})) ms AS m"
     return f"""
 SELECT engine_key, tick_ts, metric, CAST(sum_us AS DOUBLE) / 1000000.0 AS sum_s, CAST(cnt AS DOUBLE) AS count
-FROM ({' UNION ALL '.join(parts)}) u
+FROM (SELECT 'engine-' || CAST(user_id % 8 AS STRING) AS engine_key, {tick} AS tick_ts, m AS metric, sum(CAST({us} AS BIGINT)) AS sum_us, count(*) AS cnt
+      FROM {d.t('events')} {gen} WHERE event_type <> 'error' GROUP BY 1, 2, 3) u
 """.replace("STRING", "VARCHAR" if d.name == "duckdb" else "STRING")
 
 
