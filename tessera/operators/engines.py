@@ -48,6 +48,8 @@ WARMUP_MASKED = (
     "avg_prompt_tokens_per_sec", "per_request_prompt_tps", "queue_time_ms", "inter_token_latency_ms", "avg_batch_size",
     "ttft_p50_ms", "ttft_p95_ms", "ttft_p99_ms", "itl_p50_ms", "itl_p95_ms", "itl_p99_ms", "e2e_p50_ms", "e2e_p95_ms",
     "e2e_p99_ms", "ttft_goodput_pct", "itl_goodput_pct", "e2e_goodput_pct", "spec_decode_acceptance_rate_live",
+    "tpot_ms", "tpot_p50_ms", "tpot_p95_ms", "tpot_p99_ms", "tpot_goodput_pct",
+    "ttft_buckets", "itl_buckets", "e2e_buckets", "tpot_buckets",
 )
 
 

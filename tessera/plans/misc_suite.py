@@ -41,6 +41,7 @@ ENGINE_SERIES = (
     ("itlP50", "itl_p50_ms"), ("itlP95", "itl_p95_ms"), ("itlP99", "itl_p99_ms"), ("e2eP50", "e2e_p50_ms"),
     ("e2eP95", "e2e_p95_ms"), ("e2eP99", "e2e_p99_ms"), ("activeRequests", "active_requests"),
     ("queuedRequests", "queued_requests"), ("totalRequests", "total_requests"),
+    ("tpot", "tpot_ms"), ("tpotP50", "tpot_p50_ms"), ("tpotP95", "tpot_p95_ms"), ("tpotP99", "tpot_p99_ms"),
 )
 # GPU series names.
 GPU_SERIES = (("gpuUtil", "utilization_percent"), ("gpuTemp", "temperature_celsius"), ("gpuPower", "power_watts"))
@@ -220,15 +221,18 @@ def q_model_descriptors(spark, sf):
 
 # ---------------------------------------------------------------- warm-up mask, derived series, rate reset
 
+MASKED = tuple(c for c in EN.WARMUP_MASKED if not c.endswith("_buckets"))  # the fixture has its buckets in a view of their own
+
+
 @query("warmup_mask", fx.duck_cte("engine_snapshots") + "SELECT " + ", ".join(
-    f"CASE WHEN NOT (n_events % 4 = 0) THEN {c} END AS {c}" for c in EN.WARMUP_MASKED) + """,
+    f"CASE WHEN NOT (n_events % 4 = 0) THEN {c} END AS {c}" for c in MASKED) + """,
   tick_ts, engine_key, active_requests, queued_requests, kv_cache_percent, total_requests, swapped_requests,
   prefix_cache_hit_rate, preemptions_total, total_prompt_tokens, total_generation_tokens, spec_decode_draft_tokens_total
 FROM engine_snapshots
 """)
 def q_warmup_mask(spark, sf):
     s = fx.engine_snapshots(spark, sf).select(
-        "tick_ts", "engine_key", *EN.WARMUP_MASKED, "active_requests", "queued_requests", "kv_cache_percent", "total_requests",
+        "tick_ts", "engine_key", *MASKED, "active_requests", "queued_requests", "kv_cache_percent", "total_requests",
         "swapped_requests", "prefix_cache_hit_rate", "preemptions_total", "total_prompt_tokens", "total_generation_tokens",
         "spec_decode_draft_tokens_total", "n_events")
     return EN.warmup_mask(s, F.col("n_events") % 4 == 0).drop("n_events")

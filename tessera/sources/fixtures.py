@@ -127,7 +127,8 @@ SELECT tick_ts, engine_key, engine_type, endpoint, status_type, model_name,
   avg_batch_size, kv_cache_percent, prefix_cache_hit_rate,
   ttft_p50_ms, ttft_p95_ms, ttft_p99_ms, itl_p50_ms, itl_p95_ms, itl_p99_ms,
   e2e_p50_ms, e2e_p95_ms, e2e_p99_ms,
-  ttft_goodput_pct, itl_goodput_pct, e2e_goodput_pct, n_events
+  ttft_goodput_pct, itl_goodput_pct, e2e_goodput_pct, n_events,
+  tpot_ms, tpot_p50_ms, tpot_p95_ms, tpot_p99_ms, tpot_goodput_pct
 FROM (
 SELECT
   {tick} AS tick_ts,
@@ -170,6 +171,11 @@ SELECT
   CASE WHEN {k} % 2 = 1 THEN min(value) / 10 END AS itl_p50_ms,
   CASE WHEN {k} % 2 = 1 THEN max(value) / 10 END AS itl_p95_ms,
   CASE WHEN {k} % 2 = 1 AND count_if(event_type = 'view') = 0 THEN max(value) / 10 + 1 END AS itl_p99_ms,
+  CASE WHEN count_if(event_type = 'error') = 0 THEN min(value) / 8 END AS tpot_ms,
+  CASE WHEN {k} % 3 = 1 THEN min(value) / 8 END AS tpot_p50_ms,
+  CASE WHEN {k} % 3 = 1 THEN max(value) / 8 END AS tpot_p95_ms,
+  CASE WHEN {k} % 3 = 1 AND count_if(event_type = 'view') = 0 THEN max(value) / 8 + 1 END AS tpot_p99_ms,
+  CASE WHEN {k} % 3 = 1 THEN CAST(max(event_id % 90) AS DOUBLE) END AS tpot_goodput_pct,
   CASE WHEN {k} % 4 = 1 THEN min(value) * 7 END AS e2e_p50_ms,
   CASE WHEN {k} % 4 = 1 THEN max(value) * 7 END AS e2e_p95_ms,
   CASE WHEN {k} % 4 = 1 THEN max(value) * 7 + 1 END AS e2e_p99_ms,

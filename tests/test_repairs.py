@@ -97,3 +97,9 @@ def test_a_cluster_without_shared_folder_is_an_error():
     fake = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(fake)
+
+
+def test_warmup_masks_buckets_and_tpot(spark):
+    df = spark.createDataFrame([(1, 2.0, [1.0], 3.0)], "active_requests int, tpot_p95_ms double, tpot_buckets array<double>, ttft_ms double")
+    assert tuple(engines.warmup_mask(df, F.lit(True)).first()) == (1, None, None, None)
+    assert tuple(engines.warmup_mask(df, F.lit(False)).first()) == (1, 2.0, [1.0], 3.0)
