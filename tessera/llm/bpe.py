@@ -20,7 +20,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import packed
 
 #: Cached runs of each of a worker's two generations.
-CACHE = 300_000
+CACHE = 200_000
 
 _TWO = re.compile(r"\s\s")
 
@@ -93,18 +93,24 @@ class Bpe:
             self.pair[p] = r
             if self.parts[i] is None:
                 self.rank[i], self.parts[i] = r, p
-        self.apart: dict[tuple[int, int], bool] = {}
-        own = [False] * top
-        self.ends = ahocorasick.Automaton()
-        for t, i in sorted(vocab.items(), key=lambda x: self.rank[x[1]]):
+        self.vocab, self.apart = vocab, {}
+        mark = _alphabet()[0x20]
+        self.bare, self.spaced = Cache(lambda w: self._word(w, "", "")), Cache(lambda w: self._word(w, " ", mark))
+        self.piece = Cache(lambda s: array("I", self.encode_piece(s)).tobytes())
+
+    @cached_property
+    def ends(self) -> ahocorasick.Automaton:
+        """Reports the tokens that end at each position; made by the first encoding, decoding doesn't need it."""
+        own = [False] * len(self.token)
+        ends = ahocorasick.Automaton()
+        for t, i in sorted(self.vocab.items(), key=lambda x: self.rank[x[1]]):
             p = self.parts[i]
             # Only tokens that are their own encoding can stand in one.
             own[i] = len(t) == 1 if p is None else own[p[0]] and own[p[1]] and self._stays(*p, True)
             if own[i]:
-                self.ends.add_word(t, (i, len(t)))
-        self.ends.make_automaton()
-        self.bare, self.spaced = Cache(lambda w: self._word(w, "", "")), Cache(lambda w: self._word(w, " ", _alphabet()[0x20]))
-        self.piece = Cache(lambda s: array("I", self.encode_piece(s)).tobytes())
+                ends.add_word(t, (i, len(t)))
+        ends.make_automaton()
+        return ends
 
     def _stays(self, left: int, right: int, made: bool = False) -> bool:
         """True if merging the bytes of left + right leaves a boundary between them.
