@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import packed
 
-#: Cached runs of each of a worker's two generations.
-CACHE = 200_000
+#: Cached runs in each of a worker's two generations, and cached pair tests.
+CACHE = 300_000
 
 _TWO = re.compile(r"\s\s")
 
@@ -96,7 +96,7 @@ class Bpe:
         self.vocab, self.apart = vocab, {}
         mark = _alphabet()[0x20]
         self.bare, self.spaced = Cache(lambda w: self._word(w, "", "")), Cache(lambda w: self._word(w, " ", mark))
-        self.piece = Cache(lambda s: array("I", self.encode_piece(s)).tobytes())
+        self.piece = Cache(lambda s: array("I", self.encode_piece(s)).tobytes(), CACHE // 3)
 
     @cached_property
     def ends(self) -> ahocorasick.Automaton:
@@ -146,7 +146,7 @@ class Bpe:
                 key = (last[start], t)
                 ok = apart.get(key)
                 if ok is None:
-                    if len(apart) > 1_000_000:
+                    if len(apart) > CACHE:
                         apart.clear()
                     ok = apart[key] = self._stays(*key)
                 if not ok:
@@ -163,9 +163,9 @@ class Bpe:
         """Ids of a run; plain ASCII words, also before a comma or full stop, are pieces as they stand."""
         if word.isascii():
             if word.isalpha():
-                return self.piece[mark + word]
+                return array("I", self.encode_piece(mark + word)).tobytes()
             if word[-1:] in (",", ".") and word[:-1].isalpha():
-                return self.piece[mark + word[:-1]] + self.piece[word[-1]]
+                return (self.spaced if space else self.bare)[word[:-1]] + self.piece[word[-1]]
         return self._run(space + word)
 
     def _run(self, text: str) -> bytes:
