@@ -10,32 +10,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
-from tessera.llm.common import written
+from tessera.llm.common import stage, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't call toxic. Labels of documents that are gone aren't used."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where("not is_toxic").select(*docs.columns)
 
 
+@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return near_dedup.drop_near_copies(docs)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each document, once for each pass over its source."""
     return mixing.mixed_texts(mixing.mix(docs, whole=True), docs.columns)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text's ids, and the text that they decode to."""
     return bpe.decode(bpe.encode(docs, BYTE_BPE), BYTE_BPE).select("doc_id", "lang", "source", "ids", "decoded")
@@ -49,6 +54,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    for name, f in STAGES:
+        docs = written(f(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs

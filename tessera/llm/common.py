@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts reach Python tasks by the thousand: a batch of long ones still fits."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back: a cut of the lineage."""
     spark = df.sparkSession
@@ -42,6 +48,27 @@ def release(path: str, spark: SparkSession) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_stage: list[tuple[SparkSession, str]] = []
+
+
+def stage(f):
+    """A pipeline stage. Before it runs, the intermediate tables of the stage before go: whoever calls stages
+    writes each one's result before calling the next."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for s, path in _stage:
+            release(path, s)
+        _made[:] = [x for x in _made if x not in _stage]
+        small_batches(spark)
+        start = len(_made)
+        out = f(spark, docs, sf_dir)
+        _stage[:] = _made[start:]
+        return out
+
+    return run
+
+
 @atexit.register
 def _release_all() -> None:
     for spark, path in _made:

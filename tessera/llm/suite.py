@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.session import ensure_checkpoint_dir
 
 from . import bpe, chat, exact_dedup, mixing, near_dedup, quality, rans, toxicity, url_filter, warc
-from .common import scratch
+from .common import scratch, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,6 +21,7 @@ def query(name: str, sql: str | None = None):
     def put(f: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_checkpoint_dir(spark)
+            small_batches(spark)
             return f(spark, sf_dir)
 
         QUERIES[name] = run
