@@ -46,7 +46,8 @@ def corpus():
             rows.append((1000 + 100 * g + k, base, "en", "a"))
             base = changed(base, 0.01 * (g + 1), 31 * g + k)
     hot = prose(77, 100)
-    rows += [(3000 + i, changed(hot, 0.02, i), "en", "a") for i in range(120)]
+    rows += [(3000 + i, changed(hot, 0.005 * (i % 12), i), "en", "a") for i in range(240)]
+    rows += [(3300 + i, " ".join(hot.split()[: 40 + i]), "en", "a") for i in range(60)]
     rows += [(4000 + i, prose(500 + i, 3 + i % 5), "en", "b") for i in range(30)]
     shared = prose(88, 60)
     return rows + [(5000 + i, prose(900 + i, 150) + " " + shared, "en", "c") for i in range(40)]
@@ -59,7 +60,7 @@ def test_groups_equal_brute_force(spark):
 
 
 def test_drop_keeps_one_of_each_group(spark):
-    rows = [r for r in corpus() if r[0] not in (None, 14) and r[0] < 3100]  # 14 stands for two texts
+    rows = [r for r in corpus() if r[0] not in (None, 14) and r[0] < 3200]  # 14 stands for two texts
     df = documents(spark, rows)
     got = N.drop_near_copies(df)
     assert got.columns == df.columns
@@ -100,3 +101,10 @@ def test_components(spark):
     links = [(1, 2), (3, 2), (4, 3), (10, 11), (12, 11), (20, 21), (5, 4), (30, 29), (29, 28), (28, 27), (27, 26), (7, 7)]
     got = {r.node: r.comp for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 10: 10, 11: 10, 12: 10, 20: 20, 21: 20, **{i: 26 for i in range(26, 31)}}
+
+
+def test_divided_buckets_lose_no_link(spark):
+    """Every bucket counts as large."""
+    rows = corpus()
+    got = N.near_groups(documents(spark, rows).repartition(4), sketch=N.Sketch(large=2)).collect()
+    assert Counter(tuple(r) for r in got) == brute(rows)

@@ -60,7 +60,7 @@ def test_tokens_equal_the_library():
 
     library, own, rng = Tokenizer.from_file(PATH), rans.WordTokenizer(PATH), random.Random(4)
     for _ in range(4000):
-        t = "".join(rng.choice(PARTS + ["<|startoftext|>", "İ", "Σ", "ς", "ǅ", "ﬁ", "Å"]) for _ in range(rng.randint(0, 14)))
+        t = "".join(rng.choice(PARTS + ["<|startoftext|>", "İ", "Σ", "ς", "ǅ", "ﬁ", "Å", "Ñandú", "straße", "ŉ", "ª", "µ", "ĳ", "ſ"]) for _ in range(rng.randint(0, 14)))
         assert np.frombuffer(own.encode(t.encode()), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
