@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .bpe import Cache
+from .bpe import Cache, _alphabet
 from .common import running, written
 
 #: The frequencies add up to 2 ** SCALE. States are kept in [2 ** 31, 2 ** 63).
@@ -46,6 +46,10 @@ _WORD = np.uint64(32)
 _HEAD, _FOOT = struct.Struct("<4s6I"), struct.Struct("<3QI4s")
 
 
+#: End of the Latin blocks: letters below it are composed and have lower-case forms without context.
+LATIN = "\u0130"
+
+
 class WordTokenizer:
     """The ids that the tokenizers library gives, with a cache of the runs between ASCII white space.
 
@@ -61,18 +65,23 @@ class WordTokenizer:
         if pieces != ["a", "b", "c", "d"]:
             raise ValueError(f"{path}: a tokenizer that drops white space is expected")
         self.model = self.tokenizer.model
-        self.runs = Cache(self._run)
-        self.word = Cache(lambda w: array("I", [t.id for t in self.model.tokenize(w)]).tobytes())
+        self.alphabet = _alphabet()
+        self.runs, self.word = Cache(self._run, 500_000), Cache(self._word, 300_000)
 
     def _run(self, run: bytes) -> bytes:
         text = run.decode("utf-8", "replace")
-        if text.isascii():  # a lower-case word, and a mark after it, are pieces as they stand
-            if text.isalpha():
-                return self.word[text.lower()]
-            if text[-1] in ",." and text[:-1].isalpha():
-                return self.word[text[:-1].lower()] + self.word[text[-1]]
+        # A word of Latin letters, and a mark after it, are pieces as they stand: composed and without context.
+        if text.isalpha() and max(text) < LATIN:
+            return self.word[text.lower()]
+        if text[-1] in ",." and text[:-1].isalpha() and max(text) < LATIN:
+            return self.word[text[:-1].lower()] + self.word[text[-1]]
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _word(self, piece: str) -> bytes:
+        """Ids of a lower-case piece, by the library's model."""
+        mapped = piece if piece.isascii() else "".join([self.alphabet[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
     def encode(self, text: bytes) -> bytes:
         """Ids (u32, little-endian) of a UTF-8 text."""
         runs = self.runs
