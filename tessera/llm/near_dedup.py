@@ -9,8 +9,9 @@ go; the rest are confirmed on the full sets.
 
 Work is done on classes of equal sets, so copies never meet each other. Within a band's bucket a few members
 (probes) are compared with the others, and only across components: pairs already connected are
-never compared, and buckets shrink by their probes (more each round) until one component is left. So every
-candidate pair is compared or connected, and a bucket of near copies costs about one comparison a member.
+never compared, and buckets shrink by their probes (more each round) until one component is left. Large
+band buckets are compared with one member first, and what is still open is found by the shingles that this one hasn't. So every
+candidate pair is compared, connected or ruled out, and a bucket of near copies costs about one comparison a member.
 
 Defined results: fewer words than ``width`` make one shingle of the whole sequence; null texts and texts
 without words have an empty set and are linked with nothing. Null ids come after all others when the
@@ -37,7 +38,8 @@ from .common import packed, unpacked, written
 class Sketch:
     """width: words in a shingle. bands x rows registers on the scale of powers of base, rate: see the paper.
     similar: links have at least so many hundredths of shared shingles. sure: twice the
-    log-likelihood by which the registers must speak against a link to drop a candidate."""
+    log-likelihood by which the registers must speak against a link to drop a candidate. large: buckets with more members are
+    divided by what their best known member hasn't, instead of being compared pair by pair."""
 
     width: int = 5
     bands: int = 32
@@ -45,7 +47,8 @@ class Sketch:
     base: float = 1.001
     rate: float = 20.0
     similar: int = 75
-    sure: float = 20.0
+    sure: float = 16.0
+    large: int = 64
 
     @property
     def m(self) -> int:
@@ -152,6 +155,20 @@ def sketched(df: DataFrame, s: Sketch) -> DataFrame:
     return df.select("uid", "id", "text").mapInArrow(_by_batch(f, schema, 400), f"uid long, id {kind}, n long, class_key binary, regs binary")
 
 
+def _sided(pairs: DataFrame, facts: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The pairs (a, b) with the facts of both classes, under the new names followed by a or b.
+
+    Each side is joined with the pairs, which are small, and then the sides: so Spark may broadcast
+    the pairs, and of the facts only those move that pairs need.
+    """
+
+    def side(x: str) -> DataFrame:
+        own = facts.select(F.col("class").alias(x), *[F.col(c).alias(f"{n}{x}") for c, n in names.items()])
+        return pairs.select("a", "b").join(own, x)
+
+    return side("a").join(side("b"), ["a", "b"])
+
+
 def _possible(pairs: DataFrame, classes: DataFrame, s: Sketch) -> DataFrame:
     """Of the pairs (a, b) those whose registers allow a link, with the estimate."""
 
@@ -165,8 +182,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, s: Sketch) -> DataFrame:
         keep = pa.array(fits & (evidence <= s.sure))
         return {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep), "estimate": pa.array(best).filter(keep)}
 
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
+    both = _sided(pairs, classes.select("class", "n", "regs"), {"n": "n", "regs": "r"})
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("estimate", pa.float64())])
     return both.mapInArrow(_by_batch(f, schema, 2000), "a long, b long, estimate double")
 
@@ -184,8 +200,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, s: Sketch) -> DataFrame:
                 out["b"].append(b)
         return out
 
-    side = lambda x: sets.select(F.col("class").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+    both = _sided(pairs, sets, {"shingles": "s"})
     return both.mapInArrow(_by_batch(f, pa.schema([("a", pa.int64()), ("b", pa.int64())]), 200), "a long, b long")
 
 
@@ -246,34 +261,95 @@ def _linked(classes: DataFrame, texts: DataFrame, s: Sketch) -> DataFrame:
     sets = written(touched.mapInArrow(_by_batch(full, pa.schema([("class", pa.int64()), ("shingles", pa.binary())]), 400), "class long, shingles binary"), "sets")
 
     comps = spark.createDataFrame([], "class long, comp long")
-    probes = 1
+    # A class that meets many others in its bands' buckets is likely to be what they were made from.
+    many = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    known = written(members.join(many, "bucket").groupBy("class").agg(F.sum("n").alias("known")), "known")
+    divided, probes = False, 1
     while True:
         sized = comps.join(comps.groupBy("comp").agg(F.count("*").alias("many")), "comp")
-        m = members.join(sized, "class", "left").select("bucket", "class", F.coalesce("comp", "class").alias("comp"), F.coalesce("many", F.lit(1)).alias("many"))
-        open_ = m.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
+        m = members.join(known, "class").join(sized, "class", "left")
+        m = m.select("bucket", "class", "known", F.coalesce("comp", "class").alias("comp"), F.coalesce("many", F.lit(1)).alias("many"))
+        open_ = m.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
         m = written(m.join(open_, "bucket"), "open")
         if m.isEmpty():
             return comps
-        # Members of the smallest components first: what is left of a bucket of near copies is strays.
-        first = Window.partitionBy("bucket").orderBy("many", "class")
-        chosen = written(m.withColumn("at", F.row_number().over(first)).where(F.col("at") <= probes).select("bucket", F.col("class").alias("probe"), F.col("comp").alias("its"), "at"), "probes")
-        ranked = m.join(chosen.select("bucket", F.col("probe").alias("class"), F.col("at").alias("own")), ["bucket", "class"], "left")
-        met = ranked.join(chosen, "bucket").where("comp != its and (own is null or own > at)")
-        pairs = met.select(F.greatest("class", "probe").alias("a"), F.least("class", "probe").alias("b")).distinct()
-        left = written(_possible(pairs, classes, s), "possible")
-        tries = 1
-        while not left.isEmpty():
-            # Most likely links first: what they connect need not be compared any more. Each time more for a member.
-            best = Window.partitionBy("a").orderBy(F.desc("estimate"), "b")
-            turn = left.withColumn("at", F.row_number().over(best))
-            links = written(_confirmed(turn.where(F.col("at") <= tries), sets, s), "confirmed")
-            if not links.isEmpty():
-                comps = _joined(comps, links)
-            rest = _of(comps, _of(comps, turn.where(F.col("at") > tries), "a"), "b")
-            left = written(rest.where("ca != cb").select("a", "b", "estimate"), "possible")
-            tries *= 4
-        members = written(ranked.where("own is null").select("bucket", "class"), "members")
-        probes *= 4
+        if divided:
+            comps, members = _probed(m, comps, classes, sets, probes, s)
+            probes *= 8
+        else:
+            comps, found = _divided(m.where(F.col("n") > s.large), comps, classes, sets, s)
+            members = m.where(F.col("n") <= s.large).select("bucket", "class").unionByName(found)
+            divided = True
+        members = written(members, "members")
+
+
+def _tried(left: DataFrame, comps: DataFrame, sets: DataFrame, s: Sketch) -> DataFrame:
+    """The components after the links among the possible pairs (a, b, estimate)."""
+    tries = 1
+    while not left.isEmpty():
+        # Most likely links first: what they connect need not be compared any more. Each time more for a member.
+        best = Window.partitionBy("a").orderBy(F.desc("estimate"), "b")
+        turn = left.withColumn("at", F.row_number().over(best))
+        links = written(_confirmed(turn.where(F.col("at") <= tries), sets, s), "confirmed")
+        if not links.isEmpty():
+            comps = _joined(comps, links)
+        rest = _of(comps, _of(comps, turn.where(F.col("at") > tries), "a"), "b")
+        left = written(rest.where("ca != cb").select("a", "b", "estimate"), "possible")
+        tries *= 16
+    return comps
+
+
+def _probed(m: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, probes: int, s: Sketch) -> tuple[DataFrame, DataFrame]:
+    """Compares a few members of each bucket with the others; the components then, and the buckets without those."""
+    # Members of the smallest components first: what is left of a bucket of near copies is strays. Then the best known.
+    first = Window.partitionBy("bucket").orderBy("many", F.desc("known"), "class")
+    chosen = written(m.withColumn("at", F.row_number().over(first)).where(F.col("at") <= probes).select("bucket", F.col("class").alias("probe"), F.col("comp").alias("its"), "at"), "probes")
+    ranked = m.join(chosen.select("bucket", F.col("probe").alias("class"), F.col("at").alias("own")), ["bucket", "class"], "left")
+    met = ranked.join(chosen, "bucket").where("comp != its and (own is null or own > at)")
+    pairs = met.select(F.greatest("class", "probe").alias("a"), F.least("class", "probe").alias("b")).distinct()
+    left = written(_possible(pairs, classes, s), "possible")
+    comps = _tried(left, comps, sets, s)
+    return comps, ranked.where("own is null").select("bucket", "class")
+
+
+def _divided(m: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, s: Sketch) -> tuple[DataFrame, DataFrame]:
+    """Compares each large bucket's best known member, its hub, with the others; the components then, and
+    smaller buckets for what may still be linked.
+
+    Two linked sets x and y of a bucket either share a shingle that the hub h hasn't: they meet in a bucket for
+    it. Or their common part lies in h. Then |x & h| and |y & h| are at least the common part that their link
+    needs, 3/7 (|x| + |y|) for a similarity of 3/4; and one of them, x, isn't linked with h, else they are
+    connected. So x asks for the y of each size that its |x & h| allows, and those pairs are compared here.
+    """
+    first = Window.partitionBy("bucket").orderBy(F.desc("known"), "class")
+    hubs = m.withColumn("at", F.row_number().over(first)).where("at = 1").select("bucket", F.col("class").alias("b"))
+    pairs = m.join(hubs, "bucket").where("class != b").select(F.col("class").alias("a"), "b").distinct()
+
+    def compared(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"a": [], "b": [], "n": [], "hub": [], "both": [], "rest": []}
+        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb"))):
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            rest = np.setdiff1d(p, q, assume_unique=True)
+            for k, v in zip(out, (a, b, len(p), len(q), len(p) - len(rest), rest.view(np.int64).tolist())):
+                out[k].append(v)
+        return out
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("hub", pa.int64()), ("both", pa.int64()), ("rest", pa.list_(pa.int64()))])
+    both = _sided(pairs, sets, {"shingles": "s"}).mapInArrow(_by_batch(compared, schema, 200), "a long, b long, n long, hub long, both long, rest array<long>")
+    both = written(both.withColumn("linked", 100 * F.col("both") >= s.similar * (F.col("n") + F.col("hub") - F.col("both"))), "hubs")
+    links = both.where("linked").select("a", "b")
+    if not links.isEmpty():
+        comps = _joined(comps, links)
+    least = F.expr(f"({s.similar} * n + 99) div 100")
+    most = F.expr(f"(both * {100 + s.similar}) div {s.similar} - n")
+    ask = both.where(~F.col("linked") & (most >= least)).select("b", F.col("a").alias("x"), F.explode(F.sequence(least, most)).alias("n"))
+    told = both.where(100 * F.col("both") >= s.similar * F.col("n")).select("b", F.col("a").alias("y"), "n")
+    met = _of(comps, _of(comps, ask.join(told, ["b", "n"]).where("x != y"), "x"), "y").where("cx != cy")
+    pairs = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    comps = _tried(written(_possible(pairs, classes, s), "possible"), comps, sets, s)
+    new = both.select(F.col("a").alias("class"), "b", F.explode("rest").alias("key")).select(F.xxhash64("b", "key").alias("bucket"), "class")
+    shared = new.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    return comps, new.join(shared, "bucket")
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, s: Sketch, whole: bool) -> tuple[DataFrame, DataFrame]:
