@@ -4,9 +4,13 @@ Every participant of a conversation gets a rendering of it with that speaker as
 named users and system turns as they are, and the spans of characters that a loss covers: the assistant's
 words with their end mark.
 
-A conversation is rendered in parts of at most ``turns`` turns, so that no row grows with the conversation;
-spans count from the beginning of their part. Turns are numbered from sorted ranges of the whole table, not
-in one task for a conversation.
+:func:`whole` gives one rendering for each participant, with spans counted from the dialogue's beginning, at
+any number of turns. Only a rendering of more than ``WHOLE`` characters is kept in several rows, since a row
+must fit into memory: their texts follow one another, and their spans too count from the dialogue's beginning.
+
+:func:`rotated` is the storage form that the renderings are put together from: parts of at most ``turns``
+turns, with spans counted from the beginning of their part. Turns are numbered from sorted ranges of the whole
+table, and the parts' offsets are running sums of their lengths, not made in one task for a conversation.
 
 Defined results: turns are ordered by turn, role and text, nulls last; repeated rows are turns of their own;
 a null role is the speaker ``unknown``, a null text is empty, and turns with null conversation id form one
@@ -26,6 +30,8 @@ SYSTEM, UNKNOWN = "system", "unknown"
 #: Most turns in a part; copies of the participants in the salted join.
 TURNS, SALTS = 64, 8
 END = "<|end|>\n"
+#: Characters of a rendering before another row begins; parts whose lengths are summed in one window.
+WHOLE, NEAR = 1 << 26, 64
 
 
 def _head(speaker: Column, me: Column) -> Column:
@@ -63,3 +69,19 @@ def rotated(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", ro
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
     spans = F.aggregate("turns", empty, add, lambda x: x["spans"])
     return both.select(F.col("conv").alias(conv_col), me.alias("perspective"), "part", F.size("turns").cast("long").alias("n_turns"), rendered.alias("rendered"), spans.alias("spans"))
+
+
+def whole(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", turns: int = TURNS, limit: int = WHOLE) -> DataFrame:
+    """One row for each conversation and participant: conv_id, perspective, part, n_turns, rendered and spans, all
+    of the whole dialogue. ``part`` is 0; it counts on where a rendering has more than ``limit`` characters."""
+    stored = rotated(df, conv_col, turn_col, role_col, text_col, turns)
+    stored = stored.select(F.col(f"`{conv_col}`").alias("conv"), F.col("perspective").alias("me"), F.col("part").alias("at"), "n_turns", "rendered", "spans", F.length("rendered").cast("long").alias("size"))
+    stored = written(stored, "renderings")
+    sizes = stored.select("conv", "me", "at", "size").withColumn("chunk", F.expr(f"at div {NEAR}"))
+    before = running(sizes, ["conv", "me"], "chunk", [F.col("at")], "size", "before").select(F.col("conv").alias("_conv"), F.col("me").alias("_me"), F.col("at").alias("_at"), "before")
+    placed = stored.join(before, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("me") == F.col("_me")) & (F.col("at") == F.col("_at")))
+    moved = F.transform("spans", lambda x: F.struct((x["start"] + F.col("before")).alias("start"), (x["end"] + F.col("before")).alias("end")))
+    rows = placed.withColumn("part", F.expr(f"before div {limit}")).groupBy("conv", "me", "part").agg(
+        F.sum("n_turns").alias("n_turns"), F.sort_array(F.collect_list(F.struct("at", "rendered", moved.alias("spans")))).alias("parts"))
+    rendered, spans = F.array_join(F.transform("parts", lambda x: x["rendered"]), ""), F.flatten(F.transform("parts", lambda x: x["spans"]))
+    return rows.select(F.col("conv").alias(conv_col), F.col("me").alias("perspective"), "part", "n_turns", rendered.alias("rendered"), spans.alias("spans"))

@@ -175,6 +175,6 @@ SELECT conv_id, perspective, CAST(0 AS BIGINT) AS part, CAST(count(*) AS BIGINT)
 FROM o GROUP BY conv_id, perspective
 """)
 def perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chat.rotated(table(spark, sf_dir, "conversations"))
+    out = chat.whole(table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
     return out.select("conv_id", "perspective", "part", "n_turns", "rendered", mask.alias("mask"))

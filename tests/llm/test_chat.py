@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
-from tessera.llm import chat
+import duckdb
+from tessera.llm import chat, suite
 
 SCHEMA = "conv_id long, turn long, role string, text string, part string, me string, uid string"
 
@@ -48,3 +49,36 @@ def test_spans_cover_the_speakers_words(spark):
 
 def test_empty_table(spark):
     assert chat.rotated(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_whole_renderings_at_any_length(spark):
+    df = spark.createDataFrame(cases(), SCHEMA).repartition(4)
+    want = brute(cases(), turns=10_000)
+    for turns in (64, 3):
+        got = chat.whole(df, turns=turns).collect()
+        assert Counter((r.conv_id, r.perspective, r.part, r.n_turns, r.rendered, tuple(map(tuple, r.spans))) for r in got) == want
+    rows = defaultdict(list)
+    for r in chat.whole(df, turns=3, limit=500).collect():
+        rows[r.conv_id, r.perspective].append((r.part, r.n_turns, r.rendered, [tuple(x) for x in r.spans]))
+    assert max(map(len, rows.values())) > 5
+    joined = Counter()
+    for (c, me), own in rows.items():
+        own.sort()
+        joined[(c, me, 0, sum(r[1] for r in own), "".join(r[2] for r in own), tuple(x for r in own for x in r[3]))] += 1
+    assert joined == want
+
+
+def test_query_equals_sql_on_long_conversations(spark, tmp_path):
+    rows = [(c, i, "system" if i == 0 else "abc"[i % (2 if i > 70 else 3)], f"turn {i} <| é" * (i % 4)) for c, n in ((1, 64), (2, 65), (3, 128), (4, 700), (5, 5)) for i in range(n)]
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(suite.ORACLE_SQL["op1_perspective_rotation"])
+    names = [d[0] for d in want.description]
+    got = suite.QUERIES["op1_perspective_rotation"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) == 15
+
+
+def test_whole_of_an_empty_table(spark):
+    assert chat.whole(spark.createDataFrame([], SCHEMA)).collect() == []
