@@ -9,8 +9,17 @@ squared Mahalanobis distance exceeds ``cutoff`` are rejected.
 
 A step is one aggregation: distances fall into bins on a logarithmic scale, each bin keeps the count, sums
 and products of its vectors, and the bins up to the wanted share of the documents give the next estimate. Vectors
-are whole thousandths and sums are exact, so reruns agree. Variances have a floor, since in clean text most
-statistics are constant.
+are whole thousandths and sums are exact, so reruns agree.
+
+In clean text most statistics are constant, so a group's covariance may be degenerate. The search has floors for
+that. In the result a variance that is smaller than the spread pooled over all groups (from the 99th percentile of
+the distances from the own centre, of documents that count in the reweighting) is raised to it; ``units`` are the
+least deviations, so that alone one symbol, repeated line or repeated phrase in the shortest document judged
+is no outlier.
+
+Text with tables is judged by other text with tables: documents whose symbols are mostly cell marks (bars that
+stand alone) are groups of their own, if at least ``marked`` of their source's documents are such. Elsewhere,
+and where these groups are too small for an estimate, they are judged with the other documents.
 
 Groups with fewer than ``least`` documents are pooled by language, and these, if still small, together; a
 pool that is too small has no estimate and rejects nothing.
@@ -35,8 +44,10 @@ DIMS = 4
 @dataclass(frozen=True)
 class Settings:
     """half: share of the documents that an estimate rests on. factor: makes its covariance consistent for normal
-    vectors. inner: squared distance up to which documents count in the reweighting. floors: least standard
-    deviations. cutoff: squared distance beyond which a document goes (1 in 2 million normal vectors)."""
+    vectors. inner: squared distance up to which documents count in the reweighting. floors: standard deviations
+    added in the search for these documents. units: least standard deviations of the result. marked: least share
+    of documents with tables in a source that has them. cutoff: squared distance beyond which a document goes (1 in
+    2 million normal vectors)."""
 
     least: int = 50
     steps: int = 8
@@ -44,6 +55,8 @@ class Settings:
     factor: float = 1.49
     inner: float = 11.14
     floors: tuple[float, ...] = (0.1, 0.5, 0.5, 0.5)
+    units: tuple[float, ...] = (0.05, 0.2, 0.2, 0.45)
+    marked: float = 0.01
     cutoff: float = 36.0
 
 
@@ -71,7 +84,7 @@ def _repeated(words: Column) -> Column:
 
 
 def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` without the text, with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long)."""
+    """``df`` without the text, with n_words, word_chars, n_symbols, n_cells, n_dup_lines and n_repeat_words (long)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WS}]"))
@@ -79,6 +92,7 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
         "n_words": F.regexp_count(text, F.lit(WORD)),
         "word_chars": F.length(F.regexp_replace(text, f"[{WS}]+", "")),
         "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")),
+        "n_cells": F.size(F.filter(words, lambda x: x == "|")),
         "n_dup_lines": _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
         "n_repeat_words": _repeated(words),
     }
@@ -93,18 +107,35 @@ def _vector() -> list[Column]:
     return [F.round(1000 * c).cast("long").alias(f"x{i}") for i, c in enumerate(x)]
 
 
-def _pooled(rows: DataFrame, s: Settings) -> DataFrame:
-    """Column ``pool``: the group whose estimate judges a document (null: none)."""
-    own = F.to_json(F.struct(F.lit(1).alias("level"), "lang", "source"))
-    tongue = F.to_json(F.struct(F.lit(2).alias("level"), "lang"))
-    groups = rows.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n"))
+def _chained(groups: DataFrame, kind: str, s: Settings) -> DataFrame:
+    """(lang, source, pool) of groups (lang, source, n): their own pool, the language's, one for all, or null."""
+    own = F.to_json(F.struct(F.lit(kind).alias("kind"), "lang", "source"))
+    tongue = F.to_json(F.struct(F.lit(kind).alias("kind"), F.lit(2).alias("level"), "lang"))
     groups = groups.withColumn("pool", F.when(F.col("n") >= s.least, own).otherwise(tongue))
-    for wider in (F.lit("all"), F.lit(None).cast("string")):
+    for wider in (F.lit(f"all {kind}"), F.lit(None).cast("string")):
         many = groups.groupBy(F.col("pool").alias("_pool")).agg(F.sum("n").alias("_n"))
         groups = groups.join(many, F.col("pool") == F.col("_pool")).withColumn("pool", F.when(F.col("_n") >= s.least, F.col("pool")).otherwise(wider)).drop("_pool", "_n")
-    groups = written(groups.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "pool"), "pools")
+    return groups.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "pool", "n")
+
+
+def _pooled(rows: DataFrame, s: Settings) -> DataFrame:
+    """Column ``pool``: the group whose estimate judges a document (null: none)."""
+    rows = rows.withColumn("cells", (F.col("n_cells") > 0) & (2 * F.col("n_cells") >= F.col("n_symbols")))
     on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    return rows.join(groups, on).drop("_lang", "_source")
+    groups = rows.groupBy("lang", "source", "cells").agg(F.count_if(~F.col("base_failed")).alias("n"))
+    whole = Window.partitionBy("source")
+    share = F.sum(F.when(F.col("cells"), F.col("n")).otherwise(0)).over(whole) / F.sum("n").over(whole)
+    groups = written(groups.withColumn("tables", F.col("cells") & F.coalesce(share >= s.marked, F.lit(False))), "groups")
+    tables = _chained(groups.where("tables").select("lang", "source", "n"), "tables", s).withColumn("_tables", F.lit(True))
+    # Few tables beside a language's large groups of them are judged with the largest.
+    largest = F.max_by("pool", F.when(F.col("pool").isNotNull(), F.struct("n", "pool"))).over(Window.partitionBy("_lang"))
+    tables = tables.withColumn("pool", F.coalesce("pool", largest)).drop("n")
+    groups = groups.join(tables, on & (F.col("tables") == F.col("_tables")), "left").drop("_lang", "_source", "_tables")
+    groups = written(groups.withColumnRenamed("pool", "table_pool"), "groups")
+    others = _chained(groups.where("table_pool is null").groupBy("lang", "source").agg(F.sum("n").alias("n")), "text", s).drop("n")
+    groups = groups.join(others, on, "left").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("cells").alias("_cells"), F.coalesce("table_pool", "pool").alias("pool"))
+    groups = written(groups, "pools")
+    return rows.join(groups, on & (F.col("cells") == F.col("_cells"))).drop("_lang", "_source", "_cells", "cells")
 
 
 def _sums() -> list[Column]:
@@ -118,11 +149,16 @@ def _summed() -> list[Column]:
     return [F.sum(c).alias(c) for c in names]
 
 
-def _estimate(sums: DataFrame, keys: list[str], factor: float, s: Settings) -> DataFrame:
-    """keys, centre m*, the Cholesky factor l** of the covariance (with floors) and its log-determinant."""
-    df = sums.select(*keys, *[(F.col(f"s{i}") / F.col("n") / 1000.0).alias(f"m{i}") for i in range(DIMS)],
+def _estimate(sums: DataFrame, keys: list[str], factor: float, variance) -> DataFrame:
+    """keys, centre m*, the Cholesky factor l** of the covariance and its log-determinant. ``variance``: of i and
+    the variance of the sums, the one to use."""
+    df = sums.select("*", *[(F.col(f"s{i}") / F.col("n") / 1000.0).alias(f"m{i}") for i in range(DIMS)],
                      *[(F.col(f"q{i}{j}") / F.col("n") / 1e6).alias(f"e{i}{j}") for i in range(DIMS) for j in range(i + 1)])
-    cov = lambda i, j: (F.col(f"e{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * factor + (s.floors[i] ** 2 if i == j else 0.0)
+
+    def cov(i: int, j: int) -> Column:
+        found = (F.col(f"e{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * factor
+        return variance(i, found) if i == j else found
+
     return _factored(df, keys, cov)
 
 
@@ -132,7 +168,7 @@ def _factored(df: DataFrame, keys: list[str], cov) -> DataFrame:
             rest = cov(i, j)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            # The floors keep the pivots positive; the bound is for rounding.
+            # The least variances keep the pivots positive; the bound is for rounding.
             df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}{j}"))
     logdet = sum((2 * F.log(f"l{i}{i}") for i in range(1, DIMS)), 2 * F.log("l00"))
     return df.select(*keys, *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)], logdet.alias("logdet"))
@@ -167,11 +203,17 @@ def estimates(rows: DataFrame, s: Settings) -> DataFrame:
         bins = far.groupBy(*keys, "bin").agg(*_sums())
         bins = bins.withColumn("all", F.sum("n").over(full)).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
         near = bins.where(F.col("before") < F.ceil(s.half * F.col("all"))).groupBy(*keys).agg(*_summed())
-        params = written(_estimate(near, keys, s.factor, s), "mcd")
+        params = written(_estimate(near, keys, s.factor, lambda i, v: v + s.floors[i] ** 2), "mcd")
     best = params.groupBy("pool").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     params = params.join(best, keys).drop("start")
-    inner = _distance(rows.join(params, "pool")).where(F.col("d2") <= s.inner).groupBy("pool").agg(*_sums())
-    return written(_estimate(inner, ["pool"], 1.0, s), "mcd")
+    inner = _distance(rows.join(params, "pool")).where(F.col("d2") <= s.inner).select("pool", *[f"x{i}" for i in range(DIMS)])
+    inner = written(inner, "inner")
+    sums = written(inner.groupBy("pool").agg(*_sums()), "sums")
+    centres = sums.select("pool", *[F.round(F.col(f"s{i}") / F.col("n")).cast("long").alias(f"c{i}") for i in range(DIMS)])
+    # The 99th percentile of normal distances is 2.576 deviations.
+    spread = inner.join(centres, "pool").agg(*[(F.percentile(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.99) / 2576.0).alias(f"p{i}") for i in range(DIMS)])
+    least = lambda i, v: F.greatest(v, F.pow(F.col(f"p{i}"), 2), F.lit(s.units[i] ** 2))
+    return written(_estimate(sums.crossJoin(F.broadcast(spread)), ["pool"], 1.0, least), "mcd")
 
 
 def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", s: Settings = Settings()) -> DataFrame:

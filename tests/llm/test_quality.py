@@ -77,3 +77,23 @@ def test_reruns_agree_and_small_groups_are_pooled(spark):
 
 def test_empty_table(spark):
     assert quality.judged(documents(spark, [])).collect() == []
+
+
+def symbols(text, share, cells=False):
+    """``text`` with so many symbols for a hundred word characters, in words or as cell marks."""
+    words = text.split(" ")
+    n = math.ceil(sum(map(len, text.split())) * share / (100 - share))
+    for k in range(n):
+        at = (k * 7919) % len(words)
+        words[at] = words[at] + " |" if cells else words[at] + "#$%&"[k % 4]
+    return " ".join(words)
+
+
+def test_symbols_go_where_a_source_has_none(spark):
+    rows = [(i, clean(i), "en", "plain") for i in range(300)]
+    junk = [(5000 + 100 * share + i, symbols(clean(400 + i), share, cells), "en", "plain") for share in (6, 10, 15) for i, cells in enumerate((False, False, False, share == 6))]
+    tables = [(7000 + i, symbols(clean(500 + i), 6 + i % 8, True), "en", "tables") for i in range(150)]
+    mixed = [(8000 + i, symbols(clean(700 + i), 8 + i % 5, True) if i % 25 == 0 else clean(700 + i), "en", "some tables") for i in range(300)]
+    kept = {r.doc_id: r.kept for r in quality.judged(documents(spark, rows + junk + tables + mixed).repartition(3)).collect()}
+    assert [r[0] for r in junk if kept[r[0]]] == []
+    assert [r[0] for r in rows + tables + mixed if not kept[r[0]]] == []
