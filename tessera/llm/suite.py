@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir
 
-from . import bpe, chat, exact_dedup, mixing, near_dedup, quality, rans, toxicity, url_filter, warc
-from .common import scratch, small_batches
+from . import bpe, chat, exact_dedup, fim, mixing, near_dedup, periodic, prefix_hash, quality, rans, toxicity, url_filter, warc
+from .common import scratch, small_batches, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -178,3 +178,83 @@ def perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.whole(table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
     return out.select("conv_id", "perspective", "part", "n_turns", "rendered", mask.alias("mask"))
+
+
+@query("op11_prefix_polynomial_fingerprint")
+def prefix_polynomial_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.neighbour_edits(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_seekable_frame_fim", r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s
+  FROM documents),
+h AS (
+  SELECT *, len(units) AS n, CAST('0x' || substr(s, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(s, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(s, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(s, 25, 8) AS BIGINT) AS h4
+  FROM u),
+c AS (
+  SELECT doc_id, text, CAST(n AS BIGINT) AS n, units, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (
+  SELECT doc_id, n, form, text, array_to_string(units[1:lo], '') AS prefix, array_to_string(units[lo + 1:hi], '') AS middle, array_to_string(units[hi + 1:n], '') AS suffix
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+""")
+def seekable_frame_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = written(fim.store(table(spark, sf_dir, "documents")), "frames")
+    done = fim.transformed(stored)
+    return done.select(F.col("id").cast("long").alias("doc_id"), *[c for c in done.columns if c != "id"])
+
+
+def replanted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): one text in ten, by the id's checksum, repeats a stretch of its words to its end. Null ids don't."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n, g = F.size("words"), F.expr("h div 10")
+    placed = chosen.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn("p", F.expr("cast(1 + (size(words) - a) div (3 + (h div 10) % 8) as int)"))
+    again = F.expr("concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast(1 + (size(words) - a) div p as int))), 1, size(words) - a))")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_maximal_pair_runs", r"""
+WITH h AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w0,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS h
+  FROM documents),
+g AS (
+  SELECT doc_id, w0, CAST(len(w0) AS BIGINT) AS n, coalesce(h % 10 = 0, false) AND len(w0) > 0 AS planted, (h // 10) % len(w0) AS a, h // 10 AS g FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+w AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w0 END AS ws FROM p),
+e AS (
+  SELECT doc_id, n, unnest(range(n - 4)) AS i, unnest(list_transform(range(n - 4), lambda i: array_to_string(ws[i + 1:i + 5], ' '))) AS x FROM w WHERE n >= 6),
+q AS (
+  SELECT a.doc_id, a.i, b.i - a.i AS q FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM q),
+r AS (SELECT doc_id, min(i) AS start, count(*) + 4 + q AS length, q FROM s GROUP BY doc_id, q, island HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM r GROUP BY doc_id, start, length),
+k AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+         max({'length': length, 'start': -start, 'period': -period}) AS best FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed
+  FROM (SELECT doc_id, unnest(range(n)) AS i, unnest(ws) AS word FROM w) t
+  WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.doc_id = t.doc_id AND t.i >= runs.start + runs.period AND t.i < runs.start + runs.length)
+  GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, -best.start AS start, best.length AS length, -best.period AS period, (1000 * best.length) // -best.period AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def maximal_pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(replanted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("id", "collapsed", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), listed.alias("listed"))
+    return rows.select(F.col("id").alias("doc_id"), "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+                       F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
