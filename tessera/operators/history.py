@@ -1,8 +1,8 @@
 """Window summaries and time-series queries over the three tiers.
 
-Windows are given as a small DataFrame ``(window_id, since_ms, until_ms)``
-(a parameter list, never data-sized) and broadcast into a range join, so
-many report windows are answered in one scan of a tier. Tier choice by
+Windows ``(window_id, since_ms, until_ms)`` are a list of parameters or a
+table (see ``in_windows``); many report windows are answered in one scan of
+a tier. Tier choice by
 range is decided in Python from the literals (``choose_tier``).
 """
 
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import DAY_MS, HOUR_MS, bucket
+from ..functions.timeutil import DAY_MS, HOUR_MS, bucket, idiv
+from ..sources.tier_store import bounded
 
 # Metric -> (raw column, rollup column or None).
 METRIC_COLUMNS = {
@@ -64,13 +65,26 @@ def windows_df(spark: SparkSession, windows: list[tuple[int, int, int]]) -> Data
     return spark.createDataFrame(windows, "window_id int, since_ms long, until_ms long")
 
 
-def in_windows(df: DataFrame, ts_col: str, windows: DataFrame) -> DataFrame:
-    """Rows of ``df`` tagged with every window containing ``ts_col`` (both ends inclusive).
+def in_windows(df: DataFrame, ts_col: str, windows: list[tuple[int, int, int]] | DataFrame) -> DataFrame:
+    """Rows of ``df`` tagged with every window (window_id, since_ms, until_ms) containing ``ts_col`` (both ends inclusive).
 
-    The window list is a parameter (a handful of rows), broadcast explicitly.
+    A list is a parameter: its bounds become literals of the scan (and, on a stored tier, of its days), and rows are
+    tagged where they are. A table of windows is cut into days and joined on them; the day that bounds a comparison
+    is a key, so neither side is broadcast by assumption, and a stored tier's days are pruned by the join.
     """
-    w = F.broadcast(windows)
-    return df.join(w, (F.col(ts_col) >= w["since_ms"]) & (F.col(ts_col) <= w["until_ms"]), "inner")
+    t = F.col(ts_col)
+    if not isinstance(windows, DataFrame):
+        df = bounded(df, ts_col, [(s, u) for _, s, u in windows])
+        listed = F.array(*[F.struct(F.lit(w).cast("int").alias("window_id"), F.lit(s).cast("bigint").alias("since_ms"), F.lit(u).cast("bigint").alias("until_ms"))
+                           for w, s, u in windows])
+        return df.select("*", F.inline(F.filter(listed, lambda w: t.between(w["since_ms"], w["until_ms"]))))
+    rows = df if "day" in df.columns else df.withColumn("day", idiv(t, DAY_MS).cast("int"))
+    ends = rows.agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"))  # one row
+    a = F.greatest(idiv(F.col("since_ms"), DAY_MS), F.col("_lo")).cast("int")
+    b = F.least(idiv(F.col("until_ms"), DAY_MS), F.col("_hi")).cast("int")
+    daily = windows.crossJoin(ends).where(a <= b).select(*windows.columns, F.explode(F.sequence(a, b)).alias("day"))
+    out = rows.join(daily, "day").where(t.between(F.col("since_ms"), F.col("until_ms")))
+    return out.select(*df.columns, *windows.columns)
 
 
 # --------------------------------------------------------------------------
@@ -88,7 +102,7 @@ def _z(c: Column, zero) -> Column:
     return F.coalesce(c, F.lit(zero))
 
 
-def summary_raw(raw: DataFrame, windows: DataFrame) -> DataFrame:
+def summary_raw(raw: DataFrame, windows: list | DataFrame) -> DataFrame:
     """Per (window, engine) summary from the raw tier: one row = one second."""
     t = in_windows(raw, "ts", windows)
     return (
@@ -111,7 +125,7 @@ def summary_raw(raw: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def summary_weighted(tier: DataFrame, windows: DataFrame) -> DataFrame:
+def summary_weighted(tier: DataFrame, windows: list | DataFrame) -> DataFrame:
     """Per (window, engine) summary from a rollup tier, averages weighted by sample_count.
 
     Parity: a null average still counts in the denominator.
@@ -139,7 +153,7 @@ def summary_weighted(tier: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def summary_cascade(raw: DataFrame, hourly: DataFrame, daily: DataFrame, windows: DataFrame) -> DataFrame:
+def summary_cascade(raw: DataFrame, hourly: DataFrame, daily: DataFrame, windows: list | DataFrame) -> DataFrame:
     """First tier (daily, hourly, raw) with any non-zero token/request count; tiers never mix."""
     parts = [
         summary_weighted(daily, windows).withColumn("tier_rank", F.lit(1)).withColumn("source_table", F.lit("daily")),
@@ -188,8 +202,8 @@ def cost_savings(summary: DataFrame, settings_row: DataFrame) -> DataFrame:
 # time series
 # --------------------------------------------------------------------------
 
-def unpivot_tier(tier: DataFrame, metrics=None) -> DataFrame:
-    """Rollup tier -> (engine_key, metric, timestamp_ms, value) through the metric map.
+def unpivot_tier(tier: DataFrame, metrics=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rollup tier -> (keep, engine_key, metric, timestamp_ms, value) through the metric map.
 
     Power is shown as sum / sample_count; metrics without a rollup column are
     absent. Null values become 0 (parity).
@@ -205,8 +219,8 @@ def unpivot_tier(tier: DataFrame, metrics=None) -> DataFrame:
             c = c / F.nullif(F.col("sample_count"), F.lit(0))
         arms.append(F.struct(F.lit(m).alias("metric"), c.alias("value")))
     return tier.select(
-        "engine_key", F.col("bucket_ts").alias("timestamp_ms"), F.explode(F.array(*arms)).alias("_m")
-    ).select("engine_key", "_m.metric", "timestamp_ms", F.coalesce("_m.value", F.lit(0.0)).alias("value"))
+        *keep, "engine_key", F.col("bucket_ts").alias("timestamp_ms"), F.explode(F.array(*arms)).alias("_m")
+    ).select(*keep, "engine_key", "_m.metric", "timestamp_ms", F.coalesce("_m.value", F.lit(0.0)).alias("value"))
 
 
 def bucket_raw(raw: DataFrame, bucket_ms: int, metrics=None) -> DataFrame:
@@ -225,10 +239,10 @@ def bucket_raw(raw: DataFrame, bucket_ms: int, metrics=None) -> DataFrame:
     return g.select("engine_key", "metric", "timestamp_ms", F.coalesce(val, F.lit(0.0)).alias("value"))
 
 
-def timeseries_short(raw_remainder: DataFrame, hourly: DataFrame, windows: DataFrame, range_ms: int) -> DataFrame:
+def timeseries_short(raw_remainder: DataFrame, hourly: DataFrame, windows: list | DataFrame, range_ms: int) -> DataFrame:
     """Range <= 1 h: hourly buckets in range UNION ALL raw buckets of ``max(range/360, 1 s)``."""
     b = bucket_size_ms(range_ms)
-    hours = in_windows(unpivot_tier(hourly), "timestamp_ms", windows).withColumn("source", F.lit("hourly"))
+    hours = unpivot_tier(in_windows(hourly, "bucket_ts", windows), keep=("window_id",)).withColumn("source", F.lit("hourly"))
     raw_w = in_windows(raw_remainder, "ts", windows)
     pts = (
         bucket_raw_windowed(raw_w, b)
@@ -249,9 +263,9 @@ def bucket_raw_windowed(raw_w: DataFrame, bucket_ms: int) -> DataFrame:
     return g.select("window_id", "engine_key", "metric", "timestamp_ms", F.coalesce(val, F.lit(0.0)).alias("value"))
 
 
-def timeseries_long(tier: DataFrame, windows: DataFrame) -> DataFrame:
+def timeseries_long(tier: DataFrame, windows: list | DataFrame) -> DataFrame:
     """Range > 1 h: projection of the chosen rollup tier (``choose_tier``)."""
-    pts = in_windows(unpivot_tier(tier), "timestamp_ms", windows)
+    pts = unpivot_tier(in_windows(tier, "bucket_ts", windows), keep=("window_id",))
     return pts.select("window_id", "engine_key", "metric", "timestamp_ms", "value")
 
 

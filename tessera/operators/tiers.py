@@ -40,7 +40,7 @@ def _sum0(c: str) -> Column:
     return F.sum(F.coalesce(F.col(c), F.lit(0))).cast("bigint")
 
 
-def _hour_aggs() -> list[Column]:
+def hour_aggs() -> list[Column]:
     # Latency columns keep their *_p95 names although they hold averages.
     return [
         _sum0("total_prompt_tokens").alias("total_prompt_tokens"),
@@ -70,7 +70,7 @@ def _hour_aggs() -> list[Column]:
     ]
 
 
-def _day_aggs() -> list[Column]:
+def day_aggs() -> list[Column]:
     # Daily averages are unweighted means of hourly averages (parity).
     return [
         _sum0("total_prompt_tokens").alias("total_prompt_tokens"),
@@ -106,7 +106,7 @@ def rollup_1h(raw: DataFrame, now_ms: int) -> DataFrame:
     return (
         raw.where(F.col("ts") < F.lit(cutoff))
         .groupBy("engine_key", bucket(F.col("ts"), HOUR_MS).alias("bucket_ts"))
-        .agg(*_hour_aggs())
+        .agg(*hour_aggs())
         .select(*TIER_COLUMNS)
     )
 
@@ -117,7 +117,7 @@ def rollup_1d(hourly: DataFrame, now_ms: int) -> DataFrame:
     return (
         hourly.where(F.col("bucket_ts") < F.lit(cutoff))
         .groupBy("engine_key", bucket(F.col("bucket_ts"), DAY_MS).alias("bucket_ts"))
-        .agg(*_day_aggs())
+        .agg(*day_aggs())
         .select(*TIER_COLUMNS)
     )
 

@@ -10,6 +10,7 @@ from ..operators import tiers as T
 from ..operators.windows import prev_row
 from ..sources import fixtures as fx
 from ..sources import tables
+from ..sources import tier_store as TS
 from . import world as W
 from .registry import query
 
@@ -25,7 +26,6 @@ SUMMARY_WINDOWS = [
 SHORT_WINDOWS = [(1, NOW - HOUR_MS, NOW), (2, W.HOUR_CUT - HOUR_MS, W.HOUR_CUT)]
 LONG_HOURLY_WINDOWS = [(1, NOW - DAY_MS, NOW)]
 LONG_DAILY_WINDOWS = [(2, 0, NOW)]
-SCAN_RANGE = (W.DAY_CUT - 7 * DAY_MS, NOW)
 MONTH_BUCKET = H.bucket_size_ms(30 * DAY_MS)
 
 
@@ -41,12 +41,12 @@ def _cols(prefix: str, cols) -> str:
 
 @query("rollup_1h", W.tier_cte() + "SELECT * FROM hourly_all")
 def q_rollup_1h(spark, sf):
-    return T.rollup_1h(W.raw(spark, sf), NOW)
+    return T.rollup_1h(W.stored(spark, sf, "raw"), NOW)
 
 
 @query("rollup_1d", W.tier_cte() + "SELECT * FROM snapshots_1d")
 def q_rollup_1d(spark, sf):
-    return W.daily(spark, sf)
+    return T.rollup_1d(T.rollup_1h(W.stored(spark, sf, "raw"), NOW), NOW)
 
 
 # ---------------------------------------------------------------- summaries
@@ -90,12 +90,12 @@ GROUP BY w.window_id, s.engine_key
 
 @query("summary_raw", W.tier_cte() + _RAW_SUMMARY.format(table="snapshots_1s", win=_values(SUMMARY_WINDOWS)))
 def q_summary_raw(spark, sf):
-    return H.summary_raw(W.raw(spark, sf), H.windows_df(spark, SUMMARY_WINDOWS))
+    return H.summary_raw(W.stored(spark, sf, "raw"), SUMMARY_WINDOWS)
 
 
 @query("summary_weighted", W.tier_cte() + _TIER_SUMMARY.format(table="snapshots_1h", win=_values(SUMMARY_WINDOWS)))
 def q_summary_weighted(spark, sf):
-    return H.summary_weighted(W.hourly(spark, sf), H.windows_df(spark, SUMMARY_WINDOWS))
+    return H.summary_weighted(W.stored(spark, sf, "hour").where(F.col("bucket_ts") >= W.RETAIN_CUT), SUMMARY_WINDOWS)
 
 
 _CASCADE_SQL = W.tier_cte() + f""",
@@ -116,8 +116,8 @@ SELECT * EXCLUDE (rn, tier_rank) FROM r WHERE rn = 1
 
 @query("summary_cascade", _CASCADE_SQL)
 def q_summary_cascade(spark, sf):
-    return H.summary_cascade(W.raw_remainder(spark, sf), W.hourly(spark, sf), W.daily(spark, sf),
-                             H.windows_df(spark, SUMMARY_WINDOWS))
+    raw, hour, day = (W.stored(spark, sf, t) for t in ("raw", "hour", "day"))
+    return H.summary_cascade(T.raw_remainder(raw, NOW), T.hourly_retained(hour, NOW), day, SUMMARY_WINDOWS)
 
 
 # ---------------------------------------------------------------- time series
@@ -161,8 +161,8 @@ FROM ({_bucket_raw_sql('raw_rest', H.bucket_size_ms(HOUR_MS), _values(SHORT_WIND
 
 @query("timeseries_short", _SHORT_SQL)
 def q_timeseries_short(spark, sf):
-    return H.timeseries_short(W.raw_remainder(spark, sf), W.hourly(spark, sf),
-                              H.windows_df(spark, SHORT_WINDOWS), HOUR_MS)
+    raw, hour = (W.stored(spark, sf, t) for t in ("raw", "hour"))
+    return H.timeseries_short(T.raw_remainder(raw, NOW), T.hourly_retained(hour, NOW), SHORT_WINDOWS, HOUR_MS)
 
 
 _LONG_SQL = W.tier_cte() + f"""
@@ -179,8 +179,8 @@ FROM ({_unpivot_tier_sql('snapshots_1d')}) p JOIN {_values(LONG_DAILY_WINDOWS)}
 @query("timeseries_long", _LONG_SQL)
 def q_timeseries_long(spark, sf):
     assert H.choose_tier(DAY_MS) == "hourly" and H.choose_tier(NOW) == "daily"
-    a = H.timeseries_long(W.hourly(spark, sf), H.windows_df(spark, LONG_HOURLY_WINDOWS))
-    b = H.timeseries_long(W.daily(spark, sf), H.windows_df(spark, LONG_DAILY_WINDOWS))
+    a = H.timeseries_long(T.hourly_retained(W.stored(spark, sf, "hour"), NOW), LONG_HOURLY_WINDOWS)
+    b = H.timeseries_long(W.stored(spark, sf, "day"), LONG_DAILY_WINDOWS)
     return a.unionByName(b)
 
 
@@ -195,9 +195,21 @@ def q_metric_resolve(spark, sf):
     return H.unpivot_tier(W.hourly(spark, sf), [m for m in metrics if H.resolve_metric(m)])
 
 
-@query("tier_scan", W.tier_cte() + f"SELECT * FROM snapshots_1s WHERE ts >= {SCAN_RANGE[0]} AND ts <= {SCAN_RANGE[1]}")
+# Scan requests: the last k + 1 days of engine k, and an hour of every engine.
+SCANS = [TS.Request(k, W.DAY_CUT - (k + 1) * DAY_MS, NOW, f"engine-{k}") for k in range(8)] + [TS.Request(8, W.DAY_CUT - 9 * DAY_MS, W.DAY_CUT - 9 * DAY_MS + HOUR_MS)]
+
+
+def _scan_sql() -> str:
+    rows = ", ".join(f"({r.id}, {r.since_ms}, {r.until_ms}, {repr(r.engine_key) if r.engine_key else 'NULL'})" for r in SCANS)
+    return W.tier_cte() + f"""
+SELECT r.request_id, s.* FROM snapshots_1s s JOIN (SELECT * FROM (VALUES {rows}) t(request_id, since_ms, until_ms, engine)) r
+  ON (r.engine IS NULL OR r.engine = s.engine_key) AND s.ts >= r.since_ms AND s.ts <= r.until_ms
+"""
+
+
+@query("tier_scan", _scan_sql())
 def q_tier_scan(spark, sf):
-    return W.raw(spark, sf).where(F.col("ts").between(*SCAN_RANGE))
+    return TS.scan(spark, W.store(spark, sf), "raw", SCANS)
 
 
 _UNION_SQL = W.tier_cte() + f"""

@@ -7,63 +7,134 @@ from pyspark.sql import functions as F
 from ..functions.timeutil import DAY_MS
 from ..operators import settings as SE
 from ..operators import tiers as T
+from ..session import scratch_dir
 from ..sources import fixtures as fx
 from ..sources import tables
+from ..sources import tier_store as TS
 from . import world as W
 from .registry import query
 
 PRUNE_AT = W.NOW_MS - 20 * DAY_MS
 
 
-@query("purge_cumulative", W.tier_cte() + "SELECT * FROM snapshots_1s WHERE COALESCE(total_prompt_tokens, 0) <= 10000000000000")
-def q_purge_cumulative(spark, sf):
-    return T.purge_cumulative(W.raw(spark, sf))
+def _tiers_sql(value: str, hour_value: str) -> str:
+    """The three tiers as one table (tier, engine_key, time_ms, v)."""
+    return f"""
+SELECT 'raw' AS tier, engine_key, ts AS time_ms, {value} AS v FROM snapshots_1s
+UNION ALL SELECT 'hour', engine_key, bucket_ts, {hour_value} FROM snapshots_1h
+UNION ALL SELECT 'day', engine_key, bucket_ts, {hour_value} FROM snapshots_1d
+"""
+
+
+def _all_tiers(spark, folder: str, columns: dict[str, str], name: str):
+    """The three tiers of a folder as one table; ``columns``: tier -> the column shown as ``name``."""
+    out = None
+    for tier, (at, _) in TS.TIERS.items():
+        rows = TS.read(spark, folder, tier).select(F.lit(tier).alias("tier"), "engine_key", F.col(at).alias("time_ms"), F.col(columns[tier]).alias(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _copy(spark, sf, name: str, change) -> str:
+    """A folder with the stored tiers of ``sf``, each changed by ``change(df, tier)``."""
+    folder = scratch_dir(spark, name)
+    for tier in TS.TIERS:
+        TS.write(change(W.stored(spark, sf, tier), tier), folder, tier)
+    return folder
+
 
+# Cumulative totals that old versions left behind: above the limit, at it, or on top of it by one.
+LIMIT = T.PURGE_LIMIT
 
-def _markers_sql(d):
-    # marker rows: a backfill marker is present only for engines 0..3 of the fixture world
-    return f"SELECT DISTINCT 'power_backfill_' || CAST(user_id % 4 AS STRING) AS key FROM {d.t('events')}".replace(
-        "STRING", "VARCHAR" if d.name == "duckdb" else "STRING")
 
+def _planted_sql(at: str) -> str:
+    h = f"({at} + length(engine_key)) % 11"
+    return f"CASE {h} WHEN 0 THEN total_prompt_tokens + {LIMIT} + 1 WHEN 1 THEN {LIMIT} WHEN 2 THEN {LIMIT + 1} ELSE total_prompt_tokens END"
 
-@query("power_backfill", W.tier_cte() + f"""
-SELECT h.* REPLACE (CASE WHEN (SELECT count(*) FROM ({_markers_sql(fx.DUCK)}) m WHERE m.key = 'power_backfill_v2') > 0
-                         THEN power_watts_sum ELSE power_watts_sum * 4.0 END AS power_watts_sum)
-FROM snapshots_1h h
+
+def _planted_tier_sql() -> str:
+    # a whole day of cumulative totals in each rollup tier
+    return f"CASE WHEN bucket_ts // 86400000 = {W.DAY_CUT // DAY_MS - 3} THEN {LIMIT} * 2 ELSE {_planted_sql('bucket_ts // 3600000')} END"
+
+
+@query("purge_cumulative", W.tier_cte() + f"""
+SELECT tier, engine_key, time_ms, v AS total_prompt_tokens FROM ({_tiers_sql(_planted_sql('ts'), _planted_tier_sql())}) t
+WHERE NOT coalesce(v > {LIMIT}, false)
 """)
+def q_purge_cumulative(spark, sf):
+    def planted(df, tier):
+        text = _planted_sql("ts") if tier == "raw" else _planted_tier_sql().replace("//", "div")
+        return df.withColumn("total_prompt_tokens", F.expr(text))
+
+    folder = _copy(spark, sf, "purge", planted)
+    TS.purge(spark, folder)
+    return _all_tiers(spark, folder, dict.fromkeys(TS.TIERS, "total_prompt_tokens"), "total_prompt_tokens")
+
+
+_BACKFILLED = W.tier_cte() + f"""
+SELECT tier, engine_key, time_ms, v * 4.0 AS power, CAST({{runs}} AS BIGINT) AS runs, CAST(1 AS BIGINT) AS markers
+FROM ({_tiers_sql('power_watts', 'power_watts_sum')}) t
+"""
+
+
+def _backfilled(spark, sf, runs: int):
+    """The tiers after so many runs of the one-time change; each run reads the marker that the first one wrote."""
+    base = scratch_dir(spark, "backfill")
+    folder = W.store(spark, sf)
+    for k in range(runs):
+        folder = TS.backfill_power(spark, folder, f"{base}/{k}")
+    return _all_tiers(spark, folder, TS.POWER, "power").crossJoin(
+        TS.markers(spark, folder).agg(F.lit(runs).cast("bigint").alias("runs"), F.count("*").alias("markers")))  # one row
+
+
+@query("power_backfill", _BACKFILLED.format(runs=1))
 def q_power_backfill(spark, sf):
-    markers = spark.sql(_markers_sql(fx.SPARK), events=tables.read(spark, sf, "events", "user_id"))
-    return T.power_backfill(W.hourly(spark, sf), markers, "power_backfill_v2", 4.0, "power_watts_sum")
+    return _backfilled(spark, sf, 1)
 
 
-@query("power_backfill_rerun", W.tier_cte() + "SELECT * FROM snapshots_1h")
+@query("power_backfill_rerun", _BACKFILLED.format(runs=3))
 def q_power_backfill_rerun(spark, sf):
-    markers = spark.sql(_markers_sql(fx.SPARK), events=tables.read(spark, sf, "events", "user_id"))
-    return T.power_backfill(W.hourly(spark, sf), markers, "power_backfill_1", 4.0, "power_watts_sum")
+    return _backfilled(spark, sf, 3)
 
 
 @query("retention_prune", W.tier_cte() + f"""
-SELECT (SELECT count(*) FROM snapshots_1s WHERE ts < {PRUNE_AT}) AS n1s,
-       (SELECT count(*) FROM snapshots_1h WHERE bucket_ts < {PRUNE_AT}) AS n1h,
-       (SELECT count(*) FROM snapshots_1d WHERE bucket_ts < {PRUNE_AT}) AS n1d
+, t AS ({_tiers_sql('NULL', 'NULL')}),
+n AS (SELECT tier, count(*) FILTER (time_ms < {PRUNE_AT}) AS dropped FROM t GROUP BY tier)
+SELECT tier, engine_key, time_ms, dropped FROM t JOIN n USING (tier) WHERE time_ms >= {PRUNE_AT}
 """)
 def q_retention_prune(spark, sf):
-    return T.retention_prune_counts(W.raw(spark, sf), W.hourly(spark, sf), W.daily(spark, sf), PRUNE_AT)
+    folder = _copy(spark, sf, "prune", lambda df, tier: df)
+    counts = TS.prune(spark, folder, PRUNE_AT)
+    rows = _all_tiers(spark, folder, {t: at for t, (at, _) in TS.TIERS.items()}, "_at").drop("_at")
+    return rows.withColumn("dropped", F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("tier")).cast("bigint"))
 
 
-@query("schema_evolve", W.tier_cte() + """
-SELECT engine_key, ts, total_prompt_tokens, total_gen_tokens, total_requests, prompt_tps, decode_tps,
-  CAST(NULL AS DOUBLE) AS ttft_ms, CAST(NULL AS DOUBLE) AS itl_ms, power_watts, CAST(NULL AS BIGINT) AS preemptions_total,
-  CAST(NULL AS DOUBLE) AS queue_time_ms
-FROM snapshots_1s
-""")
+# Rows before this time were written by a version without the later columns.
+EVOLVED_AT = W.NOW_MS - 10 * DAY_MS
+_EVOLVED = ["preemptions_total", "queue_time_ms", "tpot_ms", "kv_cache_pct_max", "queue_time_ms_avg", "tpot_ms_avg"]
+
+
+def _evolved_sql() -> str:
+    parts = []
+    for tier, table in (("raw", "snapshots_1s"), ("hour", "snapshots_1h"), ("day", "snapshots_1d")):
+        at = TS.TIERS[tier][0]
+        cols = ", ".join(f"CASE WHEN {at} >= {EVOLVED_AT} THEN {c} END AS {c}" if c in TS.ADDED[tier] else f"NULL AS {c}" for c in _EVOLVED)
+        parts.append(f"SELECT '{tier}' AS tier, engine_key, {at} AS time_ms, total_requests, {cols} FROM {table}")
+    return W.tier_cte() + " UNION ALL ".join(parts)
+
+
+@query("schema_evolve", _evolved_sql())
 def q_schema_evolve(spark, sf):
-    old = W.raw(spark, sf).select("engine_key", "ts", "total_prompt_tokens", "total_gen_tokens", "total_requests",
-                                  "prompt_tps", "decode_tps", "power_watts")
-    target = [("engine_key", "string"), ("ts", "bigint"), ("total_prompt_tokens", "bigint"), ("total_gen_tokens", "bigint"),
-              ("total_requests", "bigint"), ("prompt_tps", "double"), ("decode_tps", "double"), ("ttft_ms", "double"),
-              ("itl_ms", "double"), ("power_watts", "double"), ("preemptions_total", "bigint"), ("queue_time_ms", "double")]
-    return T.schema_evolve(old, target)
+    """Old files without the later columns and new files with them, in one folder, read under the present schema."""
+    folder = scratch_dir(spark, "evolve")
+    out = None
+    for tier, (at, _) in TS.TIERS.items():
+        rows = W.stored(spark, sf, tier)
+        TS.write(rows.where(F.col(at) < EVOLVED_AT).drop(*TS.ADDED[tier]), folder, tier)
+        TS.write(rows.where(F.col(at) >= EVOLVED_AT), folder, tier)
+        own = TS.read(spark, folder, tier).select(F.lit(tier).alias("tier"), "engine_key", F.col(at).alias("time_ms"), "total_requests", *TS.ADDED[tier])
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out.select("tier", "engine_key", "time_ms", "total_requests", *_EVOLVED)
 
 
 def _settings_log_sql(d):

@@ -1,16 +1,21 @@
 """The fixture world shared by registered queries: tiers as of ``NOW_MS``.
 
-Spark side builds the tiers with the library operators; the oracle side
-has an independent SQL text for each tier (``TIER_SQL``).
+Spark side writes the tiers once as stored tables and reads them from there;
+the oracle side has an independent SQL text for each tier (``tier_cte``).
 """
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.timeutil import DAY_MS, HOUR_MS
 from ..operators import tiers
+from ..session import scratch_dir
 from ..sources import fixtures as fx
+from ..sources import tier_store
 
 NOW_MS = fx.NOW_MS
 HOUR_CUT = (NOW_MS // HOUR_MS) * HOUR_MS
@@ -22,17 +27,39 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
     return fx.view(spark, sf, "snapshots_1s")
 
 
+_stores: dict[tuple[str, str], str] = {}
+_lock = threading.Lock()
+
+
+def store(spark: SparkSession, sf: str) -> str:
+    """The folder of the stored tiers of ``sf``, made once per application: raw, its hours, their days."""
+    with _lock:
+        key = spark.sparkContext.applicationId, sf
+        folder = _stores.get(key)
+        if folder is None or not tier_store.exists(spark, f"{folder}/ready"):
+            folder = scratch_dir(spark, "tiers")
+            tier_store.write(raw(spark, sf), folder, "raw")
+            tier_store.write(tiers.rollup_1h(tier_store.read(spark, folder, "raw"), NOW_MS), folder, "hour")
+            tier_store.write(tiers.rollup_1d(tier_store.read(spark, folder, "hour"), NOW_MS), folder, "day")
+            spark.range(0).write.parquet(f"{folder}/ready")
+            _stores[key] = folder
+    return folder
+
+
+def stored(spark: SparkSession, sf: str, tier: str) -> DataFrame:
+    return tier_store.read(spark, store(spark, sf), tier)
+
+
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
-    return tiers.hourly_retained(tiers.rollup_1h(raw(spark, sf), NOW_MS), NOW_MS)
+    return tiers.hourly_retained(stored(spark, sf, "hour"), NOW_MS).where(F.col("day") >= RETAIN_CUT // DAY_MS).drop("day")
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
-    # days are rolled from the hourly tier before the hourly retention prune
-    return tiers.rollup_1d(tiers.rollup_1h(raw(spark, sf), NOW_MS), NOW_MS)
+    return stored(spark, sf, "day").drop("day")
 
 
 def raw_remainder(spark: SparkSession, sf: str) -> DataFrame:
-    return tiers.raw_remainder(raw(spark, sf), NOW_MS)
+    return tiers.raw_remainder(stored(spark, sf, "raw"), NOW_MS).where(F.col("day") >= HOUR_CUT // DAY_MS).drop("day")
 
 
 # ---------------------------------------------------------------- oracle SQL
