@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import functions as F
 
@@ -12,10 +11,8 @@ from ..operators import nodes as ND
 from ..operators import series as S
 from ..operators import tiers as T
 from ..operators.counters import counter_rate
-from ..session import scratch_dir
 from ..sources import fixtures as fx
 from ..sources import tables
-from ..streaming import jobs as SJ
 from . import host_suite as HS
 from . import state_suite as STS
 from . import world as W
@@ -407,17 +404,6 @@ def q_catalog_merge(spark, sf):
 
 # ---------------------------------------------------------------- tier writes
 
-@query("raw_append", W.tier_cte() + "SELECT *, (ts // 86400000) * 86400000 AS day FROM snapshots_1s")
-def q_raw_append(spark, sf):
-    base = scratch_dir(spark, "raw-append")
-    raw = W.raw(spark, sf)
-    raw.repartition(4, "engine_key").write.parquet(os.path.join(base, "src"))
-    q = SJ.raw_append(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(os.path.join(base, "src")),
-                      os.path.join(base, "raw"), os.path.join(base, "ck"))
-    q.awaitTermination()
-    return spark.read.parquet(os.path.join(base, "raw"))
-
-
 EARLIER = W.NOW_MS - 6 * HOUR_MS
 
 

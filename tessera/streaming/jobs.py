@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: raw append, incremental hourly rollup with upsert, conflation, dedupe.
+"""Structured Streaming jobs: raw append, hours and days from a stream, conflation, dedupe.
 
 State lives in the sinks (parquet tables under a shared folder) and in the
 streaming checkpoint, so a lost executor or a restarted driver resumes from
@@ -7,62 +7,68 @@ the last committed micro-batch.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import DAY_MS, HOUR_MS, bucket
+from ..functions.timeutil import DAY_MS, bucket, idiv
 from ..operators import tiers
 from ..operators.windows import prev_row
+from ..sources import tier_store
 
 
-def raw_append(stream: DataFrame, raw_dir: str, checkpoint: str, enabled: bool = True, trigger: dict | None = None):
-    """Append the 1 s tier, partitioned by day, only while recording is enabled."""
-    s = stream if enabled else stream.where(F.lit(False))
-    s = s.withColumn("day", bucket(F.col("ts"), DAY_MS))
+#: Rows may be this late before their hour closes.
+LATE = "2 hours"
+
+
+def raw_append(stream: DataFrame, raw_dir: str, checkpoint: str, settings: DataFrame | None = None, trigger: dict | None = None):
+    """Append the 1 s tier, partitioned by day, while recording is on.
+
+    ``settings`` is the one-row settings view; it is a static side of the stream, read again for every micro-batch.
+    """
+    if settings is not None:
+        stream = stream.crossJoin(F.broadcast(settings.where(F.col("enabled") == "true").select(F.lit(1).alias("_on")))).drop("_on")  # one row or none
+    s = stream.withColumn("day", bucket(F.col("ts"), DAY_MS))
     w = s.writeStream.format("parquet").option("path", raw_dir).option("checkpointLocation", checkpoint).partitionBy("day")
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _upsert_hourly(spark: SparkSession, batch: DataFrame, raw_dir: str, hourly_dir: str, now_ms: int) -> None:
-    """Recompute the hour buckets touched by ``batch`` from the raw table and upsert them.
+def _closed(stream: DataFrame, at: str, late: str, width: str, aggs: list) -> DataFrame:
+    """One row per engine and window, once the watermark has passed the window's end."""
+    timed = stream.withColumn("_time", F.timestamp_millis(at)).withWatermark("_time", late)
+    done = timed.groupBy("engine_key", F.window("_time", width).alias("_w")).agg(*aggs)
+    rows = done.withColumn("bucket_ts", F.unix_millis("_w.start")).select(*tiers.TIER_COLUMNS)
+    return rows.withColumn("day", idiv(F.col("bucket_ts"), DAY_MS).cast("int"))
+
+
+def hour_stream(raw: DataFrame, late: str = LATE) -> DataFrame:
+    """Hours of a raw stream. Sums, counts and maxima wait as partial states, so a late row is merged, not read again."""
+    return _closed(raw, "ts", late, "1 hour", tiers.hour_aggs())
 
-    Only completed hours are rolled. Touched (engine, hour) keys are joined
-    against the raw table (a shuffle on the keys), the rollup replaces those
-    buckets, and the day partitions holding them are rewritten (dynamic
-    partition overwrite) after the merge is checkpointed so the overwrite
-    never reads the files it replaces.
+
+def day_stream(hours: DataFrame) -> DataFrame:
+    """Days of a stream of closed hours. Hours close in order, so no delay is needed; a day closes with its successor's first hour."""
+    return _closed(hours, "bucket_ts", "0 seconds", "1 day", tiers.day_aggs())
+
+
+def stream_rollup(spark: SparkSession, raw: DataFrame, folder: str, checkpoint: str, late: str = LATE, trigger: dict | None = None):
+    """Raw stream -> ``folder/hour`` -> ``folder/day``, both append-only; returns the two running queries.
+
+    The day query follows the files that the hour query has committed, so raw rows are read once and no closed
+    hour or day is read or written again. With ``availableNow`` the first query ends before the second starts.
+    Rows later than ``late`` are in the raw tier only; the batch rollup with ``upsert_replace`` includes them.
+    Both restart from their checkpoints.
     """
-    cutoff = (now_ms // HOUR_MS) * HOUR_MS
-    touched = batch.where(F.col("ts") < cutoff).select("engine_key", bucket(F.col("ts"), HOUR_MS).alias("bucket_ts")).distinct()
-    if touched.isEmpty():
-        return
-    # the days a micro-batch touches (a handful): partition pruning on both tables
-    days = [r[0] for r in touched.select(bucket(F.col("bucket_ts"), DAY_MS).alias("d")).distinct().collect()]
-    raw = spark.read.parquet(raw_dir).where(F.col("day").isin(days)).drop("day")
-    rows = raw.withColumn("bucket_ts", bucket(F.col("ts"), HOUR_MS)).join(touched, ["engine_key", "bucket_ts"], "left_semi")
-    fresh = tiers.rollup_1h(rows.drop("bucket_ts"), now_ms).withColumn("day", bucket(F.col("bucket_ts"), DAY_MS))
-    try:
-        existing = spark.read.parquet(hourly_dir)
-    except AnalysisException:  # first batch: no table yet
-        existing = None
-    if existing is not None:
-        old = existing.where(F.col("day").isin(days))
-        merged = tiers.upsert_replace(old, fresh)
-    else:
-        merged = fresh
-    merged = merged.checkpoint()
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(hourly_dir)
-
-
-def stream_rollup(spark: SparkSession, raw_dir: str, hourly_dir: str, checkpoint: str, now_ms: int,
-                  schema, max_files: int = 1):
-    """Streaming rollup over the raw tier's files: every micro-batch upserts the hours it touched."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(raw_dir)
-    q = (src.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda b, _id: _upsert_hourly(spark, b, raw_dir, hourly_dir, now_ms))
-         .trigger(availableNow=True).start())
-    return q
+    trigger = trigger or {"availableNow": True}
+
+    def start(rows: DataFrame, tier: str):
+        return (rows.writeStream.format("parquet").outputMode("append").partitionBy("day").option("path", f"{folder}/{tier}")
+                .option("checkpointLocation", f"{checkpoint}/{tier}").trigger(**trigger).start())
+
+    hours = start(hour_stream(raw, late), "hour")
+    if trigger.get("availableNow"):
+        hours.awaitTermination()
+    schema = ", ".join(f"{c} {t}" for c, t in tier_store.TIERS["hour"][1]) + ", day int"
+    return hours, start(day_stream(spark.readStream.schema(schema).parquet(f"{folder}/hour")), "day")
 
 
 def conflate_latest(df: DataFrame, key: str, ts: str, every_ms: int = 2000, ties: tuple[str, ...] = ()) -> DataFrame:
