@@ -72,12 +72,6 @@ def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataF
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def trailing_window(df: DataFrame, keys: list[str], ts: str, span_ms: int) -> DataFrame:
-    """Rows with ``ts >= latest(ts) - span`` per key (latest via a partial aggregate)."""
-    latest = df.groupBy(*keys).agg(F.max(ts).alias("_latest"))
-    return df.join(latest, keys, "inner").where(F.col(ts) >= F.col("_latest") - F.lit(span_ms)).drop("_latest")
-
-
 def downsample_stride(points: DataFrame, keys: list[str], max_points: int, ts: str = "timestamp_ms") -> DataFrame:
     """If a series has n > max points keep rows 0, s, 2s, ... (s = ceil(n/max)) plus the last row."""
     w = Window.partitionBy(*keys).orderBy(ts)

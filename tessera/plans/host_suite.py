@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import hardware as HW
-from ..operators.windows import running_max
+from ..operators.windows import TRAILING, sliding_max
 from ..sources import fixtures as fx
 from ..sources import tables
 from .registry import query
@@ -278,7 +278,7 @@ def q_cpu_cores(spark, sf):
 # ---------------------------------------------------------------- power
 
 @query("power_scale", GP + """
-, p AS (SELECT *, max(power_watts) OVER (PARTITION BY host, gpu_index ORDER BY ts, snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM g),
+, p AS (SELECT *, max(power_watts) OVER (PARTITION BY host, gpu_index ORDER BY ts RANGE BETWEEN 300000 PRECEDING AND CURRENT ROW) AS peak FROM g),
 c AS (SELECT *, CASE WHEN peak > 0 THEN
         (CASE WHEN peak / pow(10, floor(log10(peak))) <= 1 THEN 1.0 WHEN peak / pow(10, floor(log10(peak))) <= 2 THEN 2.0
               WHEN peak / pow(10, floor(log10(peak))) <= 5 THEN 5.0 ELSE 10.0 END) * pow(10, floor(log10(peak))) END AS ceil_ FROM p)
@@ -291,10 +291,12 @@ SELECT host, gpu_index, ts, snap_id,
 FROM c
 """)
 def q_power_scale(spark, sf):
-    g = gpus(spark, sf).withColumn("_series", F.concat_ws("#", "host", F.col("gpu_index").cast("string")))
-    g = running_max(g, "_series", "ts", "snap_id", ["power_watts"], chunk_ms=86_400_000)
+    """The gauge of every reading, against the peak of the chart's window (5 minutes up to the reading)."""
+    g = gpus(spark, sf).select("host", "gpu_index", "ts", "snap_id", "power_watts", "power_limit_watts")
+    usable = F.when(~F.isnan("power_watts") & (F.abs("power_watts") < F.lit(float("inf"))), F.col("power_watts"))
+    g = sliding_max(g.withColumn("_power", usable), ["host", "gpu_index"], "ts", "_power", TRAILING["5m"], "peak")
     return g.select("host", "gpu_index", "ts", "snap_id",
-                    *HW.power_scale(F.col("power_watts"), F.col("power_limit_watts"), F.col("power_watts_runmax")))
+                    *HW.power_scale(F.col("power_watts"), F.col("power_limit_watts"), F.col("peak")))
 
 
 @query("cluster_power", GP + f""", n AS ({nodes_sql(D)}),

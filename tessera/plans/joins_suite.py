@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.timeutil import epoch_ms
 from ..operators import inventory as INV
 from ..operators import lookups as LK
 from ..operators.windows import prev_non_null
@@ -230,13 +231,15 @@ WITH s AS (SELECT 'engine-' || CAST(user_id % 8 AS VARCHAR) AS engine_key, epoch
 SELECT engine_key, start_ms, end_ms, tokens_per_sec FROM s WHERE end_ms >= (SELECT max(end_ms) FROM s) - 300000
 """)
 def q_request_union(spark, sf):
+    return LK.request_union(request_spans(spark, sf))
+
+
+def request_spans(spark, sf):
     ev = tables.read(spark, sf, "events", "ts", "user_id", "value")
-    from ..functions.timeutil import epoch_ms
-    s = ev.select(F.concat(F.lit("engine-"), (F.col("user_id") % 8).cast("string")).alias("engine_key"),
-                  epoch_ms(F.col("ts")).alias("start_ms"),
-                  (epoch_ms(F.col("ts")) + F.floor(F.col("value") * 1000).cast("bigint")).alias("end_ms"),
-                  F.col("value").alias("tokens_per_sec"))
-    return LK.request_union(s)
+    return ev.select(F.concat(F.lit("engine-"), (F.col("user_id") % 8).cast("string")).alias("engine_key"),
+                     epoch_ms(F.col("ts")).alias("start_ms"),
+                     (epoch_ms(F.col("ts")) + F.floor(F.col("value") * 1000).cast("bigint")).alias("end_ms"),
+                     F.col("value").alias("tokens_per_sec"))
 
 
 # ---------------------------------------------------------------- pricing and routing

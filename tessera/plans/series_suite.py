@@ -8,7 +8,9 @@ from ..functions.timeutil import DAY_MS
 from ..operators import counters as C
 from ..operators import history as H
 from ..operators import series as S
+from ..operators.windows import trailing
 from ..sources import fixtures as fx
+from . import hardware_suite, joins_suite
 from . import world as W
 from .history_suite import _unpivot_tier_sql
 from .registry import query
@@ -204,12 +206,31 @@ def q_last_n(spark, sf):
     return S.last_n(W.raw(spark, sf), ["engine_key"], [F.col("ts"), F.col("total_requests"), F.col("power_watts")], 900)
 
 
-@query("trailing_window", W.tier_cte() + """
-SELECT s.* FROM snapshots_1s s JOIN (SELECT engine_key, max(ts) AS m FROM snapshots_1s GROUP BY 1) l
-  USING (engine_key) WHERE s.ts >= l.m - 300000
-""")
+_READINGS = hardware_suite._EVENTS.replace("WITH r AS", "r AS").strip()
+
+_TRAILING_SQL = W.tier_cte() + f""", {_READINGS},
+spans(span, ms) AS (VALUES ('5m', 300000), ('10m', 600000), ('15m', 900000)),
+ticks AS (SELECT engine_key, max(ts) AS latest FROM snapshots_1s GROUP BY 1),
+points AS (SELECT 'series' AS kind, engine_key AS owner, ts AS time_ms, prompt_tps AS value, latest FROM snapshots_1s JOIN ticks USING (engine_key)),
+evs AS (SELECT 'event' AS kind, host AS owner, ts AS time_ms, CAST(gpu_index * 10 + ord AS DOUBLE) AS value, latest FROM e JOIN (SELECT host, max(ts) AS latest FROM r GROUP BY 1) l USING (host)),
+reqs AS (
+  SELECT 'request' AS kind, engine_key AS owner, epoch_us(ts) // 1000 + CAST(floor(value * 1000) AS BIGINT) AS time_ms, value, latest
+  FROM (SELECT 'engine-' || CAST(user_id % 8 AS VARCHAR) AS engine_key, ts, value FROM events) x JOIN ticks USING (engine_key))
+SELECT s.span, kind, owner, time_ms, value FROM (SELECT * FROM points UNION ALL SELECT * FROM evs UNION ALL SELECT * FROM reqs) p JOIN spans s ON p.time_ms >= p.latest - s.ms
+"""
+
+
+@query("trailing_window", _TRAILING_SQL)
 def q_trailing_window(spark, sf):
-    return S.trailing_window(W.raw(spark, sf), ["engine_key"], "ts", 300_000)
+    """Series points, GPU events and request spans (by their end) of the last 5, 10 and 15 minutes of each engine or host."""
+    raw = W.raw(spark, sf).select("engine_key", "ts", "prompt_tps")
+    shown = lambda df, kind, owner, at, value: df.select("span", F.lit(kind).alias("kind"), F.col(owner).alias("owner"), F.col(at).alias("time_ms"), value.cast("double").alias("value"))
+    points = shown(trailing(raw, raw, ["engine_key"], "ts"), "series", "engine_key", "ts", F.col("prompt_tps"))
+    evs, ticks = hardware_suite.events(spark, sf), hardware_suite.readings(spark, sf)
+    events = shown(trailing(evs, ticks, ["host"], "ts"), "event", "host", "ts", F.col("gpu_index") * 10 + F.col("ord"))
+    spans = joins_suite.request_spans(spark, sf)
+    requests = shown(trailing(spans, raw, ["engine_key"], "end_ms"), "request", "engine_key", "end_ms", F.col("tokens_per_sec"))
+    return points.unionByName(events).unionByName(requests)
 
 
 # ---------------------------------------------------------------- series joins
