@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import histograms as HG
 from ..sources import fixtures as fx
+from ..sources import logs as LG
 from ..sources import tables
 from ..sources import text as TX
 from .registry import query
@@ -97,12 +98,43 @@ SELECT container, stream, line_no, CASE WHEN stream = 'stderr' THEN '[stderr] '
 
 def lines(spark, sf):
     docs = tables.read(spark, sf, "documents", "doc_id", "text")
-    return TX.log_lines(spark.sql(_chunks_sql(fx.SPARK), documents=docs))
+    return LG.log_lines(spark.sql(_chunks_sql(fx.SPARK), documents=docs)).select("container", "stream", "line_no", "line")
 
 
-@query("log_lines", _LINES_SQL)
+def _frames_sql(d) -> str:
+    """The chunks as frames of both streams and of the console. Two containers end, one fails before its last text, two are open."""
+    s = f"""
+SELECT container, CASE WHEN {d.div('seq', '1000000000')} % 29 = 7 THEN 'console' ELSE stream END AS kind, seq, chunk FROM ({_chunks_sql(d)}) x
+UNION ALL
+SELECT container, CASE WHEN container = 'ctr-1' THEN 'error' ELSE 'end' END, CASE WHEN container = 'ctr-1' THEN last * 1000000000 - 1 ELSE last * 1000000000 + 999999999 END, 'code 137'
+FROM (SELECT 'ctr-' || CAST(doc_id % 5 AS STRING) AS container, max(doc_id) AS last FROM {d.t('documents')} GROUP BY 1) m
+WHERE container IN ('ctr-0', 'ctr-1', 'ctr-3')"""
+    return s.replace("STRING", "VARCHAR" if d.name == "duckdb" else "STRING")
+
+
+_EVENTS_SQL = f"""
+WITH c AS ({_frames_sql(fx.DUCK)}),
+st AS (SELECT container, arg_min(kind, seq) AS stopped, min(seq) AS stop, arg_min(chunk, seq) AS said FROM c WHERE kind IN ('error', 'end') GROUP BY 1),
+v AS (SELECT c.*, stopped, stop FROM c LEFT JOIN st USING (container) WHERE stop IS NULL OR seq < stop),
+n AS (SELECT *, length(chunk) - length(replace(chunk, chr(10), '')) AS nl FROM v),
+f AS (SELECT *, CAST(sum(nl) OVER (PARTITION BY container, kind ORDER BY seq) - nl AS BIGINT) AS before FROM n),
+s AS (SELECT container, kind, any_value(stopped) AS stopped, any_value(stop) AS stop, string_agg(chunk, '' ORDER BY seq) AS t FROM v WHERE kind IN ('stdout', 'stderr') GROUP BY 1, 2),
+l AS (SELECT container, kind, stopped, stop, u.line, u.n - 1 AS line_no, len(string_split(t, chr(10))) AS total
+      FROM s, LATERAL (SELECT unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n) u),
+o AS (
+  SELECT l.container, l.kind, f.seq, CAST(l.line_no - f.before AS BIGINT) AS pos, line FROM l JOIN f
+    ON l.container = f.container AND l.kind = f.kind AND l.line_no >= f.before AND l.line_no < f.before + f.nl
+  UNION ALL SELECT container, kind, stop, CASE kind WHEN 'stderr' THEN 1 ELSE 0 END, line FROM l WHERE line_no = total - 1 AND line <> '' AND stopped = 'end')
+SELECT container, kind, seq, pos, CAST(0 AS BIGINT) AS part, CASE kind WHEN 'stderr' THEN '[stderr] ' || line ELSE line END AS line FROM o
+UNION ALL SELECT container, kind, seq, 0, 0, chunk FROM v WHERE kind = 'console'
+UNION ALL SELECT container, stopped, stop, 2, 0, CASE stopped WHEN 'end' THEN 'LOG:Stream ended - container stopped' ELSE 'ERR:Log stream error: ' || said END FROM st
+"""
+
+
+@query("log_lines", _EVENTS_SQL)
 def q_log_lines(spark, sf):
-    return lines(spark, sf)
+    docs = tables.read(spark, sf, "documents", "doc_id", "text")
+    return LG.log_events(spark.sql(_frames_sql(fx.SPARK), documents=docs))
 
 
 @query("log_filter", f"SELECT * FROM ({_LINES_SQL}) x WHERE contains(lower(line), 'le') AND NOT contains(lower(line), 'stderr')")

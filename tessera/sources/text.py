@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.windows import running_total
 
 NAME_RE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)"
 LABELS_RE = r"^[a-zA-Z_:][a-zA-Z0-9_:]*\{(.*)\}"
@@ -91,29 +90,6 @@ def scrape_ingest(bodies: DataFrame, keys: list[str], body: str = "body") -> Dat
     return b.select(*keys, "_x.name", "_x.kind", "_x.le", "_x.value")
 
 
-def log_lines(chunks: DataFrame, keys: list[str] = ("container", "stream"), seq: str = "seq", text: str = "chunk",
-              seq_chunk: int = 1 << 20) -> DataFrame:
-    """Byte chunks -> complete lines per (container, stream), stderr prefixed ``[stderr] ``.
-
-    Every chunk is split on newlines; a piece belongs to line number = count
-    of newlines before it in the stream (a skew-safe running total), so a
-    line spanning chunks is reassembled by grouping pieces of one line only.
-    A trailing partial line is flushed; a final empty piece is not a line.
-    """
-    keys = list(keys)
-    p = chunks.select(*keys, seq, F.posexplode(F.split(F.col(text), "\n", -1)).alias("_i", "_piece"))
-    p = p.withColumn("_nl_before", F.when(F.col("_i") > 0, 1).otherwise(0))
-    p = p.withColumn("_k", F.concat_ws("\u0001", *[F.col(k) for k in keys]))
-    p = running_total(p, "_k", seq, "_i", ["_nl_before"], chunk_ms=seq_chunk)
-    g = p.groupBy(*keys, F.col("_nl_before_run").alias("line_no")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(seq), F.col("_i"), F.col("_piece")))).alias("_ps"))
-    g = g.select(*keys, "line_no", F.array_join(F.transform("_ps", lambda x: x["_piece"]), "").alias("line"))
-    # the piece after the stream's last newline is a line only if non-empty
-    last = g.groupBy(*keys).agg(F.max("line_no").alias("_last"))
-    g = g.join(last, keys).where((F.col("line_no") < F.col("_last")) | (F.col("line") != "")).drop("_last")
-    return g.withColumn("line", F.when(F.col("stream") == "stderr", F.concat(F.lit("[stderr] "), F.col("line"))).otherwise(F.col("line")))
-
-
 def log_filter(lines: DataFrame, keyword: str, exclude: bool = False, col: str = "line") -> DataFrame:
     """Case-insensitive substring include (or exclude); a blank keyword keeps every line."""
     k = keyword.strip().lower()

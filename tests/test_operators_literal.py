@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tessera.operators import fleet as FL
 from tessera.operators import hardware as HW
 from tessera.operators import inventory as INV
+from tessera.sources import logs as LG
 from tessera.sources import text as TX
 
 GIB = 1 << 30
@@ -148,7 +149,7 @@ def test_log_reassembly(spark):
               ("c", "stderr", 1, "boom\n"), ("c", "stderr", 2, "tail")]
     df = spark.createDataFrame(chunks, "container string, stream string, seq long, chunk string")
     got = {}
-    for r in TX.log_lines(df).collect():
+    for r in LG.log_lines(df).collect():
         got.setdefault(r.stream, []).append((r.line_no, r.line))
     assert [line for _, line in sorted(got["stdout"])] == ["hello world", "partial line", "a", "", "b"]
     assert [line for _, line in sorted(got["stderr"])] == ["[stderr] boom", "[stderr] tail"]

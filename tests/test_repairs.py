@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import session
 from tessera.operators import engines, inventory, lookups, series, slo, state
-from tessera.sources import text
+from tessera.sources import logs, text
 from tessera.streaming import jobs
 
 
@@ -23,7 +23,7 @@ def test_scrape_value_before_timestamp_and_one_label_set(spark):
 def test_log_order_with_many_pieces_and_large_sequence_numbers(spark):
     many = "x\n" * 70_000
     df = spark.createDataFrame([("c", "out", 2**43, many), ("c", "out", 2**43 + 1, "y\nz")], "container string, stream string, seq long, chunk string")
-    got = text.log_lines(df)
+    got = logs.log_lines(df)
     assert got.count() == 70_002
     assert [r.line for r in got.orderBy(F.desc("line_no")).limit(3).collect()] == ["z", "y", "x"]
 
