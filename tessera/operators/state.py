@@ -1,22 +1,15 @@
-"""Keyed state over ordered polls: failure streaks, liveness, staleness, warm-up baselines.
+"""Keyed state over ordered polls: failure streaks, liveness, staleness.
 
 Streaks are relational: one chunked window pass and what the chunks'
-summaries carry into each other. The warm-up state machine is
-genuinely sequential (a restart is judged against the baseline, not the
-previous poll), so it runs as ``applyInPandas`` per (engine, day) with the
-per-engine state carried from one day chunk to the next; a group is one
-engine-day, never an engine's whole history.
+summaries carry into each other.
 """
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import DAY_MS, idiv
-from ..session import scratch_dir
 from .windows import next_row_ts
 
 STOP_AFTER = 3          # fixed value: consecutive failures before Stopped
@@ -83,132 +76,3 @@ def status_effective(probe_status: Column, success: Column, stopped: Column) ->
     Stopped at a streak >= 3 and Running before that.
     """
     return F.when(success, probe_status).when(stopped, F.lit("Stopped")).otherwise(F.lit("Running"))
-
-
-# ---------------------------------------------------------------- warm-up baseline
-
-WARMUP_OUT = ("engine_key string, ts long, seq long, warming_up boolean, just_transitioned boolean, "
-              "adj_prompt double, adj_generation double, adj_requests double")
-STATE_SCHEMA = "engine_key string, mode string, initial double, b_prompt double, b_generation double, b_requests double"
-COUNTERS = ("prompt", "generation", "requests")
-
-
-def warmup_step(rows: pd.DataFrame, state: dict, skip: int = 1) -> tuple[list[tuple], dict]:
-    """Run the warm-up state machine over one engine's polls (sorted). Pure Python helper.
-
-    ``state``: mode ('warming'|'active'), initial (cursor or None), baseline
-    dict. Counters are prompt/generation/requests; the trigger is requests
-    (missing = 0). Returns output rows and the new state.
-    """
-    out = []
-    mode, initial, base = state["mode"], state["initial"], dict(state["base"])
-    for r in rows.itertuples(index=False):
-        cur = {c: getattr(r, c) for c in COUNTERS}
-        cur = {c: (None if v is None or pd.isna(v) else float(v)) for c, v in cur.items()}
-        total = int(cur["requests"]) if cur["requests"] is not None else 0
-        if mode == "warming":
-            if initial is None:
-                initial = total
-            if total < initial:
-                initial = total
-                out.append((r.engine_key, r.ts, r.seq, True, False, cur["prompt"], cur["generation"], cur["requests"]))
-                continue
-            if total - initial >= skip:
-                base = {c: v for c, v in cur.items() if v is not None}
-                mode = "active"
-                adj = {c: (None if v is None else max(v - base[c], 0.0) if c in base else v) for c, v in cur.items()}
-                out.append((r.engine_key, r.ts, r.seq, False, True, adj["prompt"], adj["generation"], adj["requests"]))
-                continue
-            out.append((r.engine_key, r.ts, r.seq, True, False, cur["prompt"], cur["generation"], cur["requests"]))
-        else:
-            if any(cur[c] is not None and cur[c] < b for c, b in base.items()):
-                mode, initial = "warming", float(total)
-                out.append((r.engine_key, r.ts, r.seq, True, False, cur["prompt"], cur["generation"], cur["requests"]))
-                continue
-            adj = {c: (None if v is None else max(v - base[c], 0.0) if c in base else v) for c, v in cur.items()}
-            out.append((r.engine_key, r.ts, r.seq, False, False, adj["prompt"], adj["generation"], adj["requests"]))
-    return out, {"mode": mode, "initial": initial, "base": base}
-
-
-def _state_row(key: str, st: dict) -> tuple:
-    b = st["base"]
-    return (key, st["mode"], st["initial"], b.get("prompt"), b.get("generation"), b.get("requests"))
-
-
-def _state_from(row) -> dict:
-    if row is None:
-        return {"mode": "warming", "initial": None, "base": {}}
-    base = {c: row[f"b_{c}"] for c in COUNTERS if row[f"b_{c}"] is not None and not pd.isna(row[f"b_{c}"])}
-    ini = row["initial"]
-    return {"mode": row["mode"], "initial": None if ini is None or pd.isna(ini) else ini, "base": base}
-
-
-def warmup_baseline(polls: DataFrame, skip: int = 1, chunk_ms: int = DAY_MS) -> DataFrame:
-    """Warm-up baselining per engine over ``polls`` (engine_key, ts, seq, prompt, generation, requests).
-
-    Day chunks are processed in time order; each chunk is one
-    ``cogroup(...).applyInPandas`` over (engine) with the carried state, and
-    the new state table (one row per engine) is checkpointed for the next
-    chunk. Output rows of every chunk are unioned.
-    """
-    spark = polls.sparkSession
-    # the input is written once to the shared checkpoint folder, partitioned by
-    # chunk, so every step reads only its own chunk (partition pruning)
-    path = scratch_dir(spark, "warmup-input")
-    polls.withColumn("_chunk", F.floor(F.col("ts") / F.lit(chunk_ms)).cast("long")) \
-        .write.partitionBy("_chunk").parquet(path)
-    d = spark.read.parquet(path)
-    chunks = [r[0] for r in d.select("_chunk").distinct().orderBy("_chunk").collect()]  # one value per chunk
-    state = spark.createDataFrame([], STATE_SCHEMA)
-    out_cols = [c.split()[0] for c in WARMUP_OUT.split(", ")]
-    st_cols = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
-    # one pass per chunk emits both the output rows and the carried state row, tagged by kind
-    both_schema = "kind string, " + WARMUP_OUT + ", " + ", ".join(
-        f"st_{c}" for c in STATE_SCHEMA.split(", ") if not c.startswith("engine_key"))
-    both_cols = [c.split()[0] for c in both_schema.split(", ")]
-
-    def step(key, prows: pd.DataFrame, srows: pd.DataFrame) -> pd.DataFrame:
-        if len(prows) == 0:  # engine idle in this chunk: carry its state unchanged
-            st = srows[st_cols].rename(columns={c: f"st_{c}" for c in st_cols if c != "engine_key"})
-            st.insert(0, "kind", "state")
-            return st.reindex(columns=both_cols)
-        prows = prows.sort_values(["ts", "seq"])
-        rows, new = warmup_step(prows, _state_from(srows.iloc[0] if len(srows) else None), skip)
-        out = pd.DataFrame(rows, columns=out_cols)
-        out.insert(0, "kind", "out")
-        srow = dict(zip(st_cols, _state_row(prows["engine_key"].iloc[0], new)))
-        st = pd.DataFrame([{"kind": "state", "engine_key": srow["engine_key"],
-                            **{f"st_{c}": srow[c] for c in st_cols if c != "engine_key"}}])
-        return pd.concat([out, st], ignore_index=True).reindex(columns=both_cols)
-
-    outs = []
-    for ch in chunks:
-        part = d.where(F.col("_chunk") == ch).drop("_chunk")
-        both = part.groupBy("engine_key").cogroup(state.groupBy("engine_key")).applyInPandas(step, both_schema).checkpoint()
-        outs.append(both.where(F.col("kind") == "out").select(*out_cols))
-        state = both.where(F.col("kind") == "state").select(
-            "engine_key", *[F.col(f"st_{c}").alias(c) for c in st_cols if c != "engine_key"])
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
-
-
-def baseline_subtract_hist(cur: DataFrame, keys: list[str], epoch: str, tick: str) -> DataFrame:
-    """Histogram buckets minus the epoch's baseline histogram, bucket by bucket (floored at 0).
-
-    ``cur``: (keys..., epoch, tick, metric, le, cum). The baseline of an
-    (key, epoch) is the snapshot at the epoch's first tick. A
-    histogram whose bucket bounds differ from the baseline's is dropped; one
-    that is not in that snapshot passes unchanged. Bucket-bound sets are compared as
-    sorted arrays (one histogram's bounds), everything else is joins.
-    """
-    hk = [*keys, epoch, "metric"]
-    first = cur.groupBy(*keys, epoch).agg(F.min(tick).alias("_t0"))
-    base = cur.join(first, [*keys, epoch]).where(F.col(tick) == F.col("_t0")).select(*hk, "le", F.col("cum").alias("_base"))
-    base_set = base.groupBy(*hk).agg(F.array_sort(F.collect_list("le")).alias("_bset"))
-    cur_set = cur.groupBy(*hk, tick).agg(F.array_sort(F.collect_list("le")).alias("_cset"))
-    j = cur.join(base, [*hk, "le"], "left").join(base_set, hk, "left").join(cur_set, [*hk, tick], "inner")
-    j = j.where(F.col("_bset").isNull() | (F.col("_bset") == F.col("_cset")))
-    adj = F.when(F.col("_base").isNull(), F.col("cum")).otherwise(F.greatest(F.col("cum") - F.col("_base"), F.lit(0.0)))
-    return j.select(*keys, epoch, tick, "metric", "le", adj.alias("cum"))

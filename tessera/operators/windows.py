@@ -8,9 +8,10 @@ chunk's boundary is carried through summaries on two levels: one row per
 over the days. So no group grows with a key's history, and the largest group
 of rows is what one key has in one chunk, whatever the key's share.
 
-The summaries come from partial aggregates (a second read of the input's
-own columns); both levels share them. The joins are on (key, chunk), the
-partitioning that the window has anyway.
+The summaries come from partial aggregates, a second read of the input's
+own columns. They are joined on (key, chunk), the partitioning that the
+window has anyway. Since each helper reads its input twice, a chain of
+them wants its lineage cut in between (``checkpoint()``).
 """
 
 from __future__ import annotations
@@ -45,15 +46,15 @@ def carried(summ: DataFrame, key: str, cols: list[str], chunk_ms: int, total: Ca
     ``total(col, order)`` sums a day up, ``scan(col, window)`` sums up the rows of a window, and ``join(near, far)``
     puts the carry within the day and that of the other days together; null means that there is none.
     """
-    s = summ.withColumn("_day", idiv(F.col("_chunk") * F.lit(chunk_ms), DAY_MS))
-    days = s.groupBy(key, "_day").agg(*[total(c, "_chunk").alias(c) for c in cols])
-    w = side([key], "_day")
-    far = days.select(F.col(key).alias("_key"), F.col("_day").alias("_own"), *[scan(c, w).alias(f"{c}_far") for c in cols])
     w = side([key, "_day"], "_chunk")
-    near = s.select(key, "_day", "_chunk", *[scan(c, w).alias(f"{c}_near") for c in cols])
-    # Null-safe on both: no filter is inferred for one side only, so both sides share the summaries' shuffle.
-    both = near.join(far, F.col(key).eqNullSafe(F.col("_key")) & F.col("_day").eqNullSafe(F.col("_own")))
-    return both.select(F.col(key).alias("_key"), F.col("_chunk").alias("_at"), *[join(F.col(f"{c}_near"), F.col(f"{c}_far")).alias(f"{c}_carry") for c in cols])
+    near = summ.withColumn("_day", idiv(F.col("_chunk") * F.lit(chunk_ms), DAY_MS)).select(
+        key, "_day", "_chunk", *cols, *[scan(c, w).alias(f"{c}_near") for c in cols])
+    # One row per day with its chunks (at most a day's), so the summaries are one chain and no side of a join.
+    days = near.groupBy(key, "_day").agg(*[total(c, "_chunk").alias(c) for c in cols], F.collect_list(F.struct("_chunk", *[f"{c}_near" for c in cols])).alias("_chunks"))
+    w = side([key], "_day")
+    far = days.select(F.col(key).alias("_key"), "_chunks", *[scan(c, w).alias(f"{c}_far") for c in cols])
+    both = far.select("_key", F.explode("_chunks").alias("_near"), *[f"{c}_far" for c in cols])
+    return both.select("_key", F.col("_near._chunk").alias("_at"), *[join(F.col(f"_near.{c}_near"), F.col(f"{c}_far")).alias(f"{c}_carry") for c in cols])
 
 
 def _with_carry(d: DataFrame, carry: DataFrame, key: str) -> DataFrame:

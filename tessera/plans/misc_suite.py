@@ -10,11 +10,9 @@ from ..operators import engines as EN
 from ..operators import nodes as ND
 from ..operators import series as S
 from ..operators import tiers as T
-from ..operators.counters import counter_rate
 from ..sources import fixtures as fx
 from ..sources import tables
 from . import host_suite as HS
-from . import state_suite as STS
 from . import world as W
 from .history_suite import _unpivot_tier_sql
 from .registry import query
@@ -264,18 +262,6 @@ def q_derived_series(spark, sf):
     return out
 
 
-@query("rate_state_reset")  # depends on the warm-up state machine: rows-only
-def q_rate_state_reset(spark, sf):
-    from ..operators.state import warmup_baseline
-    from ..operators.windows import running_total
-    w = warmup_baseline(STS.warmup_input(spark, sf), skip=1, chunk_ms=7 * DAY_MS)
-    w = w.withColumn("_t", F.col("just_transitioned").cast("int"))
-    w = running_total(w, "engine_key", "ts", "seq", ["_t"]).withColumnRenamed("_t_run", "epoch")
-    w = w.withColumn("_ek", F.concat_ws("#", "engine_key", F.col("epoch").cast("string")))
-    r = counter_rate(w.select("_ek", "engine_key", "ts", "seq", "adj_generation", "epoch"), "_ek", "ts", "seq", ["adj_generation"])
-    return r.drop("_ek")
-
-
 # ---------------------------------------------------------------- snapshots as JSON
 
 SNAP_SCHEMA = ("tick_ts bigint, engine_key string, status struct<type:string>, "

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import DAY_MS, bucket, idiv
-from ..operators import tiers
+from ..operators import tiers, warmup
 from ..operators.windows import prev_row
 from ..sources import tier_store
 
@@ -102,39 +102,25 @@ def tick_dedupe_stream(stream: DataFrame, keys: list[str], event_time: str, wate
     return stream.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def warmup_stream(polls_stream: DataFrame, skip: int = 1) -> DataFrame:
-    """Streaming warm-up baselining: ``applyInPandasWithState`` keyed by engine.
+def warmup_stream(spark: SparkSession, polls: DataFrame, folder: str, checkpoint: str, counters: list[str], trigger_counter: str, skip: int = 1, trigger: dict | None = None):
+    """Warm-up baselining of a stream of polls (engine_key, ts, seq, counters): rows to ``folder/rows``, states to ``folder/state``.
 
-    Each micro-batch's polls of an engine are sorted and run through the
-    same state machine as the batch job; the state (mode, cursor, baseline
-    counters) lives in the streaming state store and survives restarts via
-    the checkpoint. Polls must arrive in time order across micro-batches.
+    A micro-batch goes through the batch relations, which begin with the engines' states after the batch before (one row
+    per engine). Rows and states are written under the batch's number, so a batch that is run again replaces its own.
+    Polls must arrive in time order across micro-batches; ``epoch`` is null where the baseline is from an earlier batch.
     """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    from ..operators import state as ST
-
-    out_cols = [c.split()[0] for c in ST.WARMUP_OUT.split(", ")]
-    state_schema = "mode string, initial double, b_prompt double, b_generation double, b_requests double"
-
-    def fn(key, pdfs, gstate):
-        st = {"mode": "warming", "initial": None, "base": {}}
-        if gstate.exists:
-            mode, initial, bp, bg, br = gstate.get
-            base = {c: v for c, v in zip(ST.COUNTERS, (bp, bg, br)) if v is not None and not pd.isna(v)}
-            st = {"mode": mode, "initial": None if initial is None or pd.isna(initial) else initial, "base": base}
-        frames = [p for p in pdfs]
-        if not frames:
-            return
-        rows = pd.concat(frames, ignore_index=True).sort_values(["ts", "seq"])
-        out, new = ST.warmup_step(rows, st, skip)
-        b = new["base"]
-        gstate.update((new["mode"], new["initial"], b.get("prompt"), b.get("generation"), b.get("requests")))
-        yield pd.DataFrame(out, columns=out_cols)
-
-    return polls_stream.groupBy("engine_key").applyInPandasWithState(
-        fn, ST.WARMUP_OUT, state_schema, "append", GroupStateTimeout.NoTimeout)
+    schema = "engine_key string, " + ", ".join(f"{n} {t}" for n, t in warmup.STATE.items())
+
+    def step(batch: DataFrame, n: int) -> None:
+        start = spark.read.schema(schema).parquet(f"{folder}/state/batch={n - 1}") if n else spark.createDataFrame([], schema)
+        batch = batch.checkpoint()  # read by the fold and by the join
+        args = (counters, trigger_counter, skip, "engine_key", "ts", "seq", start)
+        ended = warmup.folded(batch, *args).drop("changes")
+        idle = start.join(ended, "engine_key", "left_anti")
+        ended.unionByName(idle).write.mode("overwrite").parquet(f"{folder}/state/batch={n}")
+        warmup.baselined(batch, *args).write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
+
+    return polls.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(**(trigger or {"availableNow": True})).start()
 
 
 LIVENESS_OUT = "engine_key string, event string, ts long"

@@ -7,7 +7,6 @@ import time
 from pyspark.sql import functions as F
 
 from tessera.functions.timeutil import DAY_MS
-from tessera.operators import state as ST
 from tessera.plans import state_suite
 from tessera.plans import world as W
 from tessera.streaming import jobs as SJ
@@ -21,23 +20,19 @@ def _rows(df, cols):
 
 def test_warmup_stream_matches_batch(spark):
     base = tempfile.mkdtemp(prefix="warmup-stream-")
-    inp = state_suite.warmup_input(spark, SF).withColumn("day", F.floor(F.col("ts") / DAY_MS).cast("long"))
+    inp = state_suite.warmup_input(spark, SF)
     src = os.path.join(base, "src")
-    # one file per day, written in time order, so the stream sees the polls in order
-    for (d,) in inp.select("day").distinct().orderBy("day").collect():
-        inp.where(F.col("day") == d).drop("day").coalesce(1).write.mode("append").parquet(src)
-        time.sleep(0.01)
-    schema = inp.drop("day").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(src)
-    out_dir = os.path.join(base, "out")
-    q = (SJ.warmup_stream(stream).writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", os.path.join(base, "ck")).outputMode("append").trigger(availableNow=True).start())
+    edges = [0, W.NOW_MS - 20 * DAY_MS, W.NOW_MS - 9 * DAY_MS, 2**62]
+    for a, b in zip(edges, edges[1:]):  # a file for each part of the time, so the stream sees the polls in order
+        inp.where((F.col("ts") >= a) & (F.col("ts") < b)).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.02)
+    stream = spark.readStream.schema(inp.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = SJ.warmup_stream(spark, stream, base, os.path.join(base, "ck"), state_suite.COUNTERS, state_suite.TRIGGER)
     q.awaitTermination()
-    got = spark.read.parquet(out_dir)
-    want = ST.warmup_baseline(inp.drop("day"), skip=1, chunk_ms=DAY_MS)
-    cols = ["engine_key", "ts", "seq", "warming_up", "just_transitioned", "adj_prompt", "adj_generation", "adj_requests"]
-    assert got.count() == want.count()
-    assert _rows(got, cols) == _rows(want, cols)
+    cols = ["engine_key", "ts", "seq", "warming_up", "just_transitioned", *[f"adj_{c}" for c in state_suite.COUNTERS]]
+    got = _rows(spark.read.parquet(f"{base}/rows"), cols)
+    assert got == _rows(state_suite.warmed(spark, SF), cols)
+    assert spark.read.parquet(f"{base}/state").select("batch").distinct().count() == 3
 
 
 def test_dedupe_and_conflate_stream(spark):
