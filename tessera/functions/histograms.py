@@ -91,9 +91,9 @@ def goodput_combined(*pcts: Column) -> Column:
     return F.least(*fin)
 
 
-def hist_average_ms(sum_s: Column, count: Column) -> Column:
-    """sum / count * 1000 when count > 0."""
-    return F.when(count > 0, sum_s / count * 1000.0)
+def hist_average(total: Column, count: Column, scale: Column | float = 1000.0) -> Column:
+    """sum / count * scale when count > 0 (1000: seconds to milliseconds; 1: a histogram that isn't of time)."""
+    return F.when(count > 0, total / count * scale)
 
 
 def collect_buckets(long: DataFrame, keys: list[str], le: str = "le", cum: str = "cum", out: str = "buckets") -> DataFrame:

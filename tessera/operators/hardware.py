@@ -122,10 +122,10 @@ def memory_headline(is_unified: Column, gpu_total: Column, sys_total: Column) ->
             .when(is_unified, round_up_to_marketed_gib(sys_total)).otherwise(sys_total))
 
 
-def memory_split(total: Column, available: Column, cached: Column, gpu_est: Column, is_unified: Column) -> list[Column]:
-    """Used / GPU part / CPU part / cached / free / used percent (card variant: GPU part only when unified)."""
+def memory_split(total: Column, available: Column, cached: Column, gpu_est: Column, own_gpu: Column) -> list[Column]:
+    """Used / GPU part / CPU part / cached / free / used percent. The GPU's estimate counts where ``own_gpu`` holds."""
     used = F.greatest(total - available, F.lit(0))
-    gpu = F.when(is_unified, F.coalesce(gpu_est, F.lit(0))).otherwise(F.lit(0))
+    gpu = F.when(own_gpu, F.coalesce(gpu_est, F.lit(0))).otherwise(F.lit(0))
     cach = F.least(cached, available)
     return [
         used.alias("used_bytes"), gpu.alias("gpu_part_bytes"), F.greatest(used - gpu, F.lit(0)).alias("cpu_part_bytes"),

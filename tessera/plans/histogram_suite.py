@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import histograms as HG
 from ..operators import slo as SLO
 from ..sources import fixtures as fx
+from ..sources import tables
 from .registry import query
 
 QS = (0.5, 0.95, 0.99)
@@ -144,12 +145,27 @@ def q_goodput_combined(spark, sf):
                     HG.goodput_combined(F.col("ttft_goodput_pct"), F.col("itl_goodput_pct"), F.col("e2e_goodput_pct")).alias("combined_goodput_pct"))
 
 
-@query("hist_average", fx.duck_cte("hist_totals") + """
-SELECT engine_key, tick_ts, metric, CASE WHEN count > 0 THEN sum_s / count * 1000.0 END AS avg_ms FROM hist_totals
+def _more_totals_sql(d) -> str:
+    """Queue time (seconds) and batch size: _sum and _count per (engine, hour)."""
+    tick = f"{d.div(d.ms('ts'), '3600000')} * 3600000"
+    s = f"""
+SELECT engine_key, tick_ts, metric, CAST(CASE metric WHEN 'queue' THEN queue_us ELSE batch_us END AS DOUBLE) / 1000000.0 AS sum_s, CAST(cnt AS DOUBLE) AS count
+FROM (SELECT 'engine-' || CAST(user_id % 8 AS STRING) AS engine_key, {tick} AS tick_ts, sum(CASE WHEN event_type <> 'error' THEN CAST(floor(value * 250) AS BIGINT) ELSE 0 END) AS queue_us,
+        sum(CASE WHEN event_type <> 'error' THEN (event_id % 16) * 1000000 ELSE 0 END) AS batch_us, count_if(event_type <> 'error') AS cnt
+      FROM {d.t('events')} GROUP BY 1, 2) u CROSS JOIN (SELECT 'queue' AS metric UNION ALL SELECT 'batch') m"""
+    return s.replace("STRING", "VARCHAR" if d.name == "duckdb" else "STRING")
+
+
+@query("hist_average", fx.duck_cte("hist_totals") + f"""
+SELECT engine_key, tick_ts, metric, CASE WHEN count > 0 THEN sum_s / count * CASE WHEN metric = 'batch' THEN 1.0 ELSE 1000.0 END END AS average
+FROM (SELECT engine_key, tick_ts, metric, sum_s, count FROM hist_totals UNION ALL {_more_totals_sql(fx.DUCK)}) t
 """)
 def q_hist_average(spark, sf):
-    t = fx.view(spark, sf, "hist_totals")
-    return t.select("engine_key", "tick_ts", "metric", HG.hist_average_ms(F.col("sum_s"), F.col("count")).alias("avg_ms"))
+    """The four latencies and the queue time in milliseconds, and the batch size; hours without an observation have none."""
+    more = spark.sql(_more_totals_sql(fx.SPARK), events=tables.read(spark, sf, "events", "ts", "user_id", "event_id", "event_type", "value"))
+    t = fx.view(spark, sf, "hist_totals").select(*more.columns).unionByName(more)
+    scale = F.when(F.col("metric") == "batch", 1.0).otherwise(1000.0)
+    return t.select("engine_key", "tick_ts", "metric", HG.hist_average(F.col("sum_s"), F.col("count"), scale).alias("average"))
 
 
 @query("ratio_metrics", fx.duck_cte("engine_polls") + """

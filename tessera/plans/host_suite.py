@@ -28,7 +28,8 @@ def gpus_sql(d) -> str:
   CASE WHEN l_linenumber = 3 THEN NULL ELSE l_extendedprice / 100.0 END AS power_watts,
   CASE l_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0.0 ELSE 700.0 END AS power_limit_watts,
   CASE WHEN l_partkey % 6 = 5 THEN NULL ELSE CAST(85899345920 AS BIGINT) END AS memory_total_bytes,
-  CAST(l_partkey AS BIGINT) * 1048576 AS memory_used_bytes
+  CAST(l_partkey AS BIGINT) * 1048576 AS memory_used_bytes,
+  CASE WHEN l_partkey % 6 = 4 THEN NULL ELSE CAST(900 + l_suppkey % 1100 AS INT) END AS clock_graphics_mhz
 FROM {d.t('lineitem')}""", d)
 
 
@@ -197,22 +198,27 @@ def q_memory_headline(spark, sf):
     return m.select("snap_id", HW.memory_headline(F.col("is_unified"), F.col("gpu_total"), F.col("total_bytes")).alias("display_total_bytes"))
 
 
-@query("memory_split", MEM + """
-SELECT snap_id, greatest(total_bytes - available_bytes, 0) AS used_bytes,
-  CASE WHEN is_unified THEN COALESCE(gpu_estimated_bytes, 0) ELSE 0 END AS gpu_part_bytes,
-  greatest(greatest(total_bytes - available_bytes, 0) - CASE WHEN is_unified THEN COALESCE(gpu_estimated_bytes, 0) ELSE 0 END, 0) AS cpu_part_bytes,
-  least(cached_bytes, available_bytes) AS cached_shown_bytes,
-  greatest(available_bytes - least(cached_bytes, available_bytes), 0) AS free_bytes,
-  CASE WHEN total_bytes > 0 THEN greatest(total_bytes - available_bytes, 0) / total_bytes * 100.0 ELSE 0.0 END AS used_pct,
+def _split_sql(variant: str, gpu: str) -> str:
+    used = "greatest(total_bytes - available_bytes, 0)"
+    cached = "least(cached_bytes, available_bytes)"
+    return f"""
+SELECT snap_id, '{variant}' AS variant, {used} AS used_bytes, {gpu} AS gpu_part_bytes, greatest({used} - {gpu}, 0) AS cpu_part_bytes,
+  {cached} AS cached_shown_bytes, greatest(available_bytes - {cached}, 0) AS free_bytes,
+  CASE WHEN total_bytes > 0 THEN {used} / total_bytes * 100.0 ELSE 0.0 END AS used_pct,
   CASE WHEN NOT is_unified AND COALESCE(gpu_total, 0) > 0 THEN greatest(COALESCE(gpu_total, 0) - COALESCE(gpu_used, 0), 0) END AS vram_free_bytes
-FROM t
-""")
+FROM t"""
+
+
+@query("memory_split", MEM + _split_sql("card", "CASE WHEN is_unified THEN COALESCE(gpu_estimated_bytes, 0) ELSE 0 END")
+       + " UNION ALL " + _split_sql("gauge", "COALESCE(gpu_estimated_bytes, 0)"))
 def q_memory_split(spark, sf):
+    """The card's split, with a GPU part on unified memory only, and the gauge's, with the GPU's estimate on any."""
     m = mem_with_gpu(spark, sf)
     vt, vu = F.coalesce("gpu_total", F.lit(0)), F.coalesce("gpu_used", F.lit(0))
-    return m.select("snap_id", *HW.memory_split(F.col("total_bytes"), F.col("available_bytes"), F.col("cached_bytes"),
-                                                F.col("gpu_estimated_bytes"), F.col("is_unified")),
-                    F.when(~F.col("is_unified") & (vt > 0), F.greatest(vt - vu, F.lit(0))).alias("vram_free_bytes"))
+    parts = lambda name, own: F.struct(F.lit(name).alias("variant"), *HW.memory_split(
+        F.col("total_bytes"), F.col("available_bytes"), F.col("cached_bytes"), F.col("gpu_estimated_bytes"), own))
+    both = F.array(parts("card", F.col("is_unified")), parts("gauge", F.lit(True)))
+    return m.select("snap_id", F.when(~F.col("is_unified") & (vt > 0), F.greatest(vt - vu, F.lit(0))).alias("vram_free_bytes"), F.inline(both))
 
 
 @query("gpu_process_memory", f"""
@@ -268,11 +274,14 @@ def q_network_totals(spark, sf):
 
 
 @query("cpu_cores", f"""
-SELECT snap_id, avg(usage_percent) AS aggregate_percent, count(*) AS n_cores, NULLIF(arg_min(brand, core_id), '') AS name
-FROM ({cores_sql(D)}) c GROUP BY snap_id
+SELECT snap_id, core_id, usage_percent, avg(usage_percent) OVER w AS aggregate_percent, count(*) OVER w AS n_cores,
+  NULLIF(first_value(brand) OVER (PARTITION BY snap_id ORDER BY core_id), '') AS name
+FROM ({cores_sql(D)}) c WINDOW w AS (PARTITION BY snap_id)
 """)
 def q_cpu_cores(spark, sf):
-    return HW.cpu_cores(spark.sql(cores_sql(fx.SPARK), lineitem=_li(spark, sf)), ["snap_id"])
+    """Every core's usage beside its host's mean, core count and brand."""
+    cores = spark.sql(cores_sql(fx.SPARK), lineitem=_li(spark, sf))
+    return HW.cpu_cores(cores, ["snap_id"]).join(cores.select("snap_id", "core_id", "usage_percent"), "snap_id")
 
 
 # ---------------------------------------------------------------- power

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
+from ..functions import histograms as HG
 from ..functions.timeutil import DAY_MS, HOUR_MS
 from ..operators import engines as EN
+from ..operators import hardware as HW
 from ..operators import nodes as ND
 from ..operators import series as S
 from ..operators import tiers as T
@@ -39,7 +43,7 @@ ENGINE_SERIES = (
     ("tpot", "tpot_ms"), ("tpotP50", "tpot_p50_ms"), ("tpotP95", "tpot_p95_ms"), ("tpotP99", "tpot_p99_ms"),
 )
 # GPU series names.
-GPU_SERIES = (("gpuUtil", "utilization_percent"), ("gpuTemp", "temperature_celsius"), ("gpuPower", "power_watts"))
+GPU_SERIES = (("gpuUtil", "utilization_percent"), ("gpuTemp", "temperature_celsius"), ("gpuPower", "power_watts"), ("gpuClockGraphics", "clock_graphics_mhz"))
 # Host-level series names.
 SYSTEM_SERIES = ("gpuUtil", "gpuTemp", "gpuPower", "gpuClockGraphics", "cpuAggregate", "memoryUsedPercent",
                  "diskRead", "diskWrite", "networkRx", "networkTx")
@@ -56,11 +60,26 @@ def unpivot_series(spark, sf):
         F.struct(F.concat(F.col("host"), F.lit("/gpu:"), F.col("gpu_index").cast("string"), F.lit(":" + n)).alias("series_key"),
                  F.col(c).cast("double").alias("value")) for n, c in GPU_SERIES
     ])).alias("_p")).select("ts", "_p.series_key", "_p.value")
+    host = host_snapshots(spark, sf)
+    own = [(n, F.col(c)) for n, c in GPU_SERIES] + [(n, F.col(n)) for n in SYSTEM_SERIES[4:] if n != "memoryUsedPercent"]
+    system = host.select("ts", F.inline(F.array(*[F.struct(F.lit(n).alias("series_key"), c.cast("double").alias("value")) for n, c in own])))
     m = spark.sql(HS.memory_sql(fx.SPARK), orders=tables.read(spark, sf, "orders", "o_orderkey", "o_custkey"))
     mem = m.select(F.lit(1704067200000).cast("bigint") + F.col("snap_id") * 1000, F.lit("memoryUsedPercent"),
                    F.when(F.col("total_bytes") > 0, F.greatest(F.col("total_bytes") - F.col("available_bytes"), F.lit(0)) / F.col("total_bytes") * 100.0)
                    ).toDF("ts", "series_key", "value")
-    return eng.unionByName(gpu).unionByName(mem).where(F.col("value").isNotNull())
+    return eng.unionByName(gpu).unionByName(system).unionByName(mem).where(F.col("value").isNotNull())
+
+
+def host_snapshots(spark, sf):
+    """One row per host snapshot: its first GPU's readings, mean core usage, disk and network rates."""
+    li = HS._li(spark, sf)
+    first = HS.gpus(spark, sf).where("gpu_index = 0").select("snap_id", "ts", *[c for _, c in GPU_SERIES])
+    cpu = HW.cpu_cores(spark.sql(HS.cores_sql(fx.SPARK), lineitem=li), ["snap_id"]).select("snap_id", F.col("aggregate_percent").alias("cpuAggregate"))
+    disk = HW.disk_totals(spark.sql(HS.disks_sql(fx.SPARK), lineitem=li), ["snap_id"]).select(
+        "snap_id", F.col("read_bytes_per_sec").alias("diskRead"), F.col("write_bytes_per_sec").alias("diskWrite"))
+    net = HW.network_totals(HS.nics(spark, sf), ["snap_id"]).select(
+        "snap_id", F.col("rx_bytes_per_sec").alias("networkRx"), F.col("tx_bytes_per_sec").alias("networkTx"))
+    return first.join(cpu, "snap_id", "left").join(disk, "snap_id", "left").join(net, "snap_id", "left")
 
 
 def _unpivot_sql() -> str:
@@ -70,9 +89,15 @@ def _unpivot_sql() -> str:
     gpu = " UNION ALL ".join(
         f"SELECT ts, host || '/gpu:' || CAST(gpu_index AS VARCHAR) || ':{n}' AS series_key, CAST({c} AS DOUBLE) AS value FROM g"
         for n, c in GPU_SERIES)
+    first = " UNION ALL ".join(f"SELECT ts, '{n}', CAST({c} AS DOUBLE) FROM g WHERE gpu_index = 0" for n, c in GPU_SERIES)
+    rates = " UNION ALL ".join(f"SELECT 1704067200000 + snap_id * 1000, '{n}', CAST({e} AS DOUBLE) FROM {t} GROUP BY snap_id" for n, e, t in (
+        ("cpuAggregate", "avg(usage_percent)", "cores"), ("diskRead", "sum(read_bytes)", "disks"), ("diskWrite", "sum(write_bytes)", "disks"),
+        ("networkRx", "CASE WHEN count_if(NOT v) > 0 THEN sum(rx) FILTER (WHERE NOT v) ELSE sum(rx) END", "nics"),
+        ("networkTx", "CASE WHEN count_if(NOT v) > 0 THEN sum(tx) FILTER (WHERE NOT v) ELSE sum(tx) END", "nics")))
     return (fx.duck_cte("engine_snapshots").rstrip("\n") + f""", s AS (SELECT * FROM engine_snapshots),
-g AS ({HS.gpus_sql(D)}), m AS ({HS.memory_sql(D)}),
-u AS ({eng} UNION ALL {gpu} UNION ALL
+g AS ({HS.gpus_sql(D)}), m AS ({HS.memory_sql(D)}), cores AS ({HS.cores_sql(D)}), disks AS ({HS.disks_sql(D)}),
+nics AS (SELECT *, {HS._VIRT} AS v FROM ({HS.nics_sql(D)}) x),
+u AS ({eng} UNION ALL {gpu} UNION ALL {first} UNION ALL {rates} UNION ALL
   SELECT 1704067200000 + snap_id * 1000, 'memoryUsedPercent',
     CASE WHEN total_bytes > 0 THEN greatest(total_bytes - available_bytes, 0) / total_bytes * 100.0 END FROM m)
 """)
@@ -264,52 +289,103 @@ def q_derived_series(spark, sf):
 
 # ---------------------------------------------------------------- snapshots as JSON
 
-SNAP_SCHEMA = ("tick_ts bigint, engine_key string, status struct<type:string>, "
-               "metrics struct<tokens_per_sec:double, ttft_ms:double, total_requests:bigint, "
-               "ttft_buckets:array<struct<le_seconds:double, cumulative_count:double>>>")
+# Fields of a snapshot's metrics: everything that the engine snapshot has beside its identity.
+SNAP_IDENTITY = ("tick_ts", "engine_key", "engine_type", "endpoint", "status_type", "model_name", "n_events")
+# Fixed value: what stands for an infinite bound on the wire, where JSON has no infinity.
 INF_SENTINEL = 1.7976931348623157e308
+HIST_FIELDS = tuple(f"{m}_buckets" for m, _ in fx.HIST_SCALE)
+
+
+def snap_schema(spark, sf) -> ST.StructType:
+    fields = [f for f in fx.engine_snapshots(spark, sf).schema if f.name not in SNAP_IDENTITY]
+    wire = ST.ArrayType(ST.StructType([ST.StructField("le_seconds", ST.DoubleType()), ST.StructField("cumulative_count", ST.DoubleType())]))
+    metrics = ST.StructType([*[ST.StructField(f.name, f.dataType) for f in fields], *[ST.StructField(h, wire) for h in HIST_FIELDS]])
+    text = ST.StringType()
+    return ST.StructType([ST.StructField("tick_ts", ST.LongType()), ST.StructField("engine_key", text), ST.StructField("engine_type", text), ST.StructField("endpoint", text),
+                         ST.StructField("status", ST.StructType([ST.StructField("type", text)])), ST.StructField("model_name", text), ST.StructField("metrics", metrics)])
 
 
 def encoded_snapshots(spark, sf):
-    from ..functions import histograms as HG
-    s = fx.engine_snapshots(spark, sf).select("tick_ts", "engine_key", "status_type", "tokens_per_sec", "ttft_ms", "total_requests")
-    hb = HG.collect_buckets(fx.view(spark, sf, "hist_buckets").where(F.col("metric") == "ttft"), ["engine_key", "tick_ts"])
+    """(tick_ts, engine_key, message): every engine snapshot as JSON, with all fields (null ones too) and four histograms."""
+    s = fx.engine_snapshots(spark, sf)
+    wire = lambda b: F.transform(b, lambda x: F.struct(
+        F.when(x["le"] == F.lit(float("inf")), F.lit(INF_SENTINEL)).otherwise(x["le"]).alias("le_seconds"), x["cum"].alias("cumulative_count")))
+    hb = HG.collect_buckets(fx.view(spark, sf, "hist_buckets"), ["engine_key", "tick_ts", "metric"])
+    hb = hb.groupBy("engine_key", "tick_ts").pivot("metric", [m for m, _ in fx.HIST_SCALE]).agg(F.first("buckets"))
     j = s.join(hb, ["engine_key", "tick_ts"], "left")
-    wire = F.transform("buckets", lambda x: F.struct(
-        F.when(x["le"] == F.lit(float("inf")), F.lit(INF_SENTINEL)).otherwise(x["le"]).alias("le_seconds"),
-        x["cum"].alias("cumulative_count")))
-    msg = F.to_json(F.struct("tick_ts", "engine_key", F.struct(F.col("status_type").alias("type")).alias("status"),
-                             F.struct("tokens_per_sec", "ttft_ms", "total_requests", wire.alias("ttft_buckets")).alias("metrics")))
-    # every 13th tick message is cut short on the wire (a malformed frame)
-    msg = F.when((F.col("tick_ts") / HOUR_MS) % 13 == 0, F.substring(msg, 1, 20)).otherwise(msg)
-    return j.select("tick_ts", "engine_key", msg.alias("message"))
-
-
-@query("snapshot_encode", fx.duck_cte("hist_buckets").rstrip("\n") + """
-SELECT tick_ts, engine_key, count(*) AS n_buckets, max(CASE WHEN le = 'Infinity'::DOUBLE THEN 1.7976931348623157e308 ELSE le END) AS last_le
-FROM hist_buckets WHERE metric = 'ttft' AND (tick_ts // 3600000) % 13 <> 0 GROUP BY 1, 2
-""")
-def q_snapshot_encode(spark, sf):
-    e = encoded_snapshots(spark, sf)
-    b = F.from_json("message", SNAP_SCHEMA)["metrics"]["ttft_buckets"]
-    e = e.where(F.size(b) > 0)
-    return e.select("tick_ts", "engine_key", F.size(b).cast("bigint").alias("n_buckets"),
-                    F.element_at(b, -1)["le_seconds"].alias("last_le"))
+    metrics = [F.col(c) for c in s.columns if c not in SNAP_IDENTITY] + [wire(F.col(f"`{m}`")).alias(f"{m}_buckets") for m, _ in fx.HIST_SCALE]
+    row = F.struct("tick_ts", "engine_key", "engine_type", "endpoint", F.struct(F.col("status_type").alias("type")).alias("status"), "model_name", F.struct(*metrics).alias("metrics"))
+    return j.select("tick_ts", "engine_key", F.to_json(row, {"ignoreNullFields": "false"}).alias("message"))
 
 
-def snapshot_decode(messages):
-    """JSON message -> typed rows; malformed messages are skipped."""
-    p = F.from_json("message", SNAP_SCHEMA)
-    d = messages.select(p.alias("s")).where(F.col("s.engine_key").isNotNull())
-    return d.select("s.tick_ts", "s.engine_key", F.col("s.status.type").alias("status_type"), "s.metrics.tokens_per_sec",
-                    "s.metrics.ttft_ms", "s.metrics.total_requests")
+def snapshot_decode(messages, schema):
+    """JSON messages -> typed rows of all fields, histograms with their infinite bound; malformed messages are skipped."""
+    bad = ST.StructType([*schema.fields, ST.StructField("_bad", ST.StringType())])
+    p = messages.select(F.from_json("message", bad, {"columnNameOfCorruptRecord": "_bad"}).alias("s")).where(F.col("s._bad").isNull() & F.col("s.engine_key").isNotNull())
+    finite = lambda b: F.transform(b, lambda x: F.struct(
+        F.when(x["le_seconds"] >= F.lit(INF_SENTINEL), F.lit(float("inf"))).otherwise(x["le_seconds"]).alias("le"), x["cumulative_count"].alias("cum")))
+    d = p.select("s.*").select("tick_ts", "engine_key", "engine_type", "endpoint", F.col("status.type").alias("status_type"), "model_name", "metrics.*")
+    return d.select(*[finite(F.col(c)).alias(c) if c in HIST_FIELDS else F.col(c) for c in d.columns])
 
 
-@query("snapshot_decode", fx.duck_cte("engine_snapshots") + """
-SELECT tick_ts, engine_key, status_type, tokens_per_sec, ttft_ms, total_requests FROM engine_snapshots WHERE (tick_ts // 3600000) % 13 <> 0
+def _wire_sql() -> str:
+    """Every value of every message as (tick_ts, engine_key, field, pos, number, text)."""
+    fields = SNAP_FIELDS
+    arms = [f"SELECT tick_ts, engine_key, '{c}' AS field, NULL AS pos, CAST({c} AS DOUBLE) AS number, NULL AS text FROM s" for c in fields]
+    arms += [f"SELECT tick_ts, engine_key, '{c}', NULL, NULL, {e} FROM s" for c, e in (("engine_type", "engine_type"), ("endpoint", "endpoint"), ("status", "status_type"), ("model_name", "model_name"))]
+    n = "CAST(row_number() OVER (PARTITION BY engine_key, tick_ts, metric ORDER BY le) - 1 AS BIGINT)"
+    le = f"CASE WHEN le = 'Infinity'::DOUBLE THEN {INF_SENTINEL!r} ELSE le END"
+    arms += [f"SELECT tick_ts, engine_key, metric || '_buckets.le_seconds', {n}, {le}, NULL FROM h", f"SELECT tick_ts, engine_key, metric || '_buckets.cumulative_count', {n}, cum, NULL FROM h"]
+    return fx.duck_cte("engine_snapshots", "hist_buckets").rstrip("\n") + f""",
+s AS (SELECT * FROM engine_snapshots), h AS (SELECT b.* FROM hist_buckets b JOIN engine_snapshots USING (engine_key, tick_ts))
+""" + " UNION ALL ".join(arms)
+
+
+SNAP_FIELDS = tuple(c for c in re.findall(r"\w+", fx.sql_engine_snapshots(fx.DUCK).split("FROM")[0].split("SELECT")[1]) if c not in SNAP_IDENTITY)
+
+
+def _wire_value(field: str, part: str):
+    return lambda x, i: F.struct(F.lit(f"{field}.{part}").alias("field"), i.cast("bigint").alias("pos"), x[part].alias("number"), F.lit(None).cast("string").alias("text"))
+
+
+@query("snapshot_encode", _wire_sql())
+def q_snapshot_encode(spark, sf):
+    """What each message holds, read from its text as JSON of any shape."""
+    v = encoded_snapshots(spark, sf).select("tick_ts", "engine_key", F.parse_json("message").alias("v"))
+    none = F.lit(None)
+    one = lambda c, path, kind: F.struct(F.lit(c).alias("field"), none.cast("bigint").alias("pos"),
+                                         (F.variant_get("v", path, "double") if kind == "number" else none.cast("double")).alias("number"),
+                                         (F.variant_get("v", path, "string") if kind == "text" else none.cast("string")).alias("text"))
+    single = [one(c, f"$.metrics.{c}", "number") for c in SNAP_FIELDS]
+    single += [one(c, p, "text") for c, p in (("engine_type", "$.engine_type"), ("endpoint", "$.endpoint"), ("status", "$.status.type"), ("model_name", "$.model_name"))]
+    lists = []
+    for h in HIST_FIELDS:
+        found = F.coalesce(F.variant_get("v", f"$.metrics.{h}", "array<struct<le_seconds: double, cumulative_count: double>>"), F.array())
+        for part in ("le_seconds", "cumulative_count"):
+            lists.append(F.transform(found, _wire_value(h, part)))
+    return v.select("tick_ts", "engine_key", F.inline(F.concat(F.array(*single), *lists)))
+
+
+_LISTED = ", ".join(f"CAST(max(CASE WHEN metric = '{m}' THEN n END) AS BIGINT) AS {m}_bounds, max(CASE WHEN metric = '{m}' THEN total END) AS {m}_total, max(CASE WHEN metric = '{m}' THEN top END) AS {m}_top"
+                    for m, _ in fx.HIST_SCALE)
+
+
+@query("snapshot_decode", fx.duck_cte("engine_snapshots", "hist_buckets").rstrip("\n") + f""",
+b AS (SELECT engine_key, tick_ts, metric, count(*) AS n, sum(cum) AS total, max(le) AS top FROM hist_buckets GROUP BY 1, 2, 3),
+l AS (SELECT engine_key, tick_ts, {_LISTED} FROM b GROUP BY 1, 2)
+SELECT tick_ts, engine_key, engine_type, endpoint, status_type, model_name, {', '.join(SNAP_FIELDS)}, l.* EXCLUDE (engine_key, tick_ts)
+FROM engine_snapshots LEFT JOIN l USING (engine_key, tick_ts)
 """)
 def q_snapshot_decode(spark, sf):
-    return snapshot_decode(encoded_snapshots(spark, sf))
+    """All fields of every message. Among the messages are cut ones, texts that are no JSON and JSON without an engine, which are skipped."""
+    good = encoded_snapshots(spark, sf)
+    cut = good.where((F.col("tick_ts") / HOUR_MS) % 13 == 0).withColumn("message", F.expr("substring(message, 1, length(message) div 2)"))
+    other = good.where((F.col("tick_ts") / HOUR_MS) % 13 == 1).withColumn("message", F.when(F.col("engine_key") == "engine-1", "no json").when(F.col("engine_key") == "engine-2", '{"a": 1}').otherwise(""))
+    d = snapshot_decode(good.unionByName(cut).unionByName(other), snap_schema(spark, sf))
+    lists = [x for m, _ in fx.HIST_SCALE for x in (
+        F.when(F.col(f"{m}_buckets").isNotNull(), F.size(f"{m}_buckets")).cast("bigint").alias(f"{m}_bounds"),
+        F.aggregate(f"{m}_buckets", F.lit(0.0), lambda a, x: a + x["cum"]).alias(f"{m}_total"), F.element_at(f"{m}_buckets", -1)["le"].alias(f"{m}_top"))]
+    return d.select("tick_ts", "engine_key", "engine_type", "endpoint", "status_type", "model_name", *SNAP_FIELDS, *lists)
 
 
 # ---------------------------------------------------------------- nodes

@@ -2,8 +2,8 @@
 
     python tools/oracle_check.py [--sf DIR] [--schemas] [name ...]
 
-``--schemas`` refreshes ``tessera/plans/double_columns.json`` from the Spark
-output schemas (used by both sides' float normalisation) before comparing.
+``--schemas`` refreshes ``tessera/plans/double_columns.json`` from the named
+queries' Spark output schemas (used by both sides' float normalisation) before comparing.
 Compares column names, row counts and an order-insensitive multiset of rows.
 """
 
@@ -83,7 +83,7 @@ def main():
 
     if a.schemas:
         dbl = registry.double_columns()
-        for n in sorted(registry.QUERIES):
+        for n in names:
             df = registry.QUERIES[n](spark, a.sf)
             dbl[n] = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
         dbl = {k: v for k, v in sorted(dbl.items()) if k in registry.QUERIES}
