@@ -76,6 +76,11 @@ def gpu_select(gpus: Column, index) -> Column:
     return F.filter(gpus, lambda g: g["gpu_index"] == F.lit(index))
 
 
+def gpus_or_single(gpus: Column, gpu: Column) -> Column:
+    """The list, or the snapshot's single GPU where the list is missing or empty."""
+    return F.when(F.size(gpus) > 0, gpus).otherwise(F.array(gpu))
+
+
 def primary_gpu(gpus: Column) -> Column:
     """First GPU of the list, or null (an all-null GPU) when the list is empty."""
     return F.try_element_at(gpus, F.lit(1))

@@ -283,6 +283,17 @@ def series_order(points: DataFrame, key_cols=("engine_key", "metric"), ts_col="t
 PRESETS = ("today", "this_week", "this_month", "last_month", "this_year", "all_time")
 
 
+def chosen_window(now: DataFrame, offset_hours: Column, preset: str = "preset", since: str = "custom_since", until: str = "custom_until") -> DataFrame:
+    """The window of each row's own preset. ``custom`` takes the row's times (no end: now); an unknown preset is today's."""
+    known = F.col("_preset").isin(*PRESETS, "custom")
+    w = calendar_windows(now.withColumnRenamed(preset, "_preset"), offset_hours)
+    wanted = F.when(F.col("_preset") == "custom", "today").when(known, F.col("_preset")).otherwise("today")
+    w = w.where(F.col("preset") == wanted)
+    own = F.col("_preset") == "custom"
+    return w.withColumn("since_ms", F.when(own, F.col(since)).otherwise(F.col("since_ms"))).withColumn(
+        "until_ms", F.when(own, F.coalesce(F.col(until), F.col("now_ms"))).otherwise(F.col("until_ms"))).drop("preset").withColumnRenamed("_preset", preset)
+
+
 def calendar_windows(now: DataFrame, offset_hours: Column) -> DataFrame:
     """Preset windows (since_ms, until_ms) per input row holding ``now_ms``.
 

@@ -100,17 +100,21 @@ FROM m LEFT JOIN p1 USING (model_id) LEFT JOIN p2 USING (model_id)
 MODEL_RE = r'"model"\s*:\s*"([^"]+)"'
 
 
+ID_RE = r"^/v1/models/([^/]+)$"
+
+
 def route_resolve(requests: DataFrame, served: DataFrame) -> DataFrame:
-    """Outcome per request: ``missing_model`` 400, ``model_not_found`` 404, else ``upstream`` 200.
+    """Outcome per request: ``missing_model`` 400, ``model_not_found`` 404, else ``upstream`` 200; ``by_id`` tells its kind.
 
-    The model comes from the JSON body, with a regex fallback for loose
-    JSON; lookup is case-insensitive against the served-model list, whose
-    size Spark's own estimate judges for a broadcast.
+    A request names its model in its path (``/v1/models/{id}``) or in its JSON body, with a
+    regex fallback for loose JSON; lookup is case-insensitive against the
+    served-model list, whose size Spark's own estimate judges for a broadcast.
     """
     js = F.get_json_object("body", "$.model")
     rx = F.regexp_extract("body", MODEL_RE, 1)
-    model = F.coalesce(js, F.when(rx != "", rx))
-    r = requests.withColumn("model_lc", F.lower(model))
+    by_id = F.coalesce(F.col("path").rlike(ID_RE), F.lit(False))
+    model = F.when(by_id, F.regexp_extract("path", ID_RE, 1)).otherwise(F.coalesce(js, F.when(rx != "", rx)))
+    r = requests.withColumn("by_id", by_id).withColumn("model_lc", F.lower(model))
     s = served.select(F.lower("model").alias("model_lc")).distinct().withColumn("_served", F.lit(True))
     j = r.join(s, "model_lc", "left")
     outcome = (F.when(F.col("model_lc").isNull(), "missing_model")
@@ -119,6 +123,11 @@ def route_resolve(requests: DataFrame, served: DataFrame) -> DataFrame:
     return j.withColumn("outcome", outcome).withColumn("status", status).drop("_served")
 
 
+def outcome_counts(routed: DataFrame) -> DataFrame:
+    """Requests per kind and outcome."""
+    return routed.groupBy("by_id", "outcome", "status").agg(F.count("*").alias("n_requests"))
+
+
 def _requests_sql(d) -> str:
     mc = d.model_case("conv_id % 8")
     q = '\'"\''
@@ -127,7 +136,9 @@ def _requests_sql(d) -> str:
     WHEN 1 THEN chr(123) || '"model" : ' || {q} || COALESCE({mc}, 'x') || {q} || ', ' || chr(125)
     WHEN 2 THEN chr(123) || '"messages": []' || chr(125)
     WHEN 3 THEN chr(123) || '"model": "unknown-' || CAST(conv_id % 3 AS STRING) || '"' || chr(125)
-    ELSE chr(123) || '"model":"' || upper(COALESCE({mc}, 'y')) || '"' || chr(125) END AS body
+    ELSE chr(123) || '"model":"' || upper(COALESCE({mc}, 'y')) || '"' || chr(125) END AS body,
+  CASE WHEN turn % 4 = 3 THEN '/v1/models/' || CASE WHEN conv_id % 2 = 0 THEN upper(replace(COALESCE({mc}, 'z'), '/', '-')) ELSE replace(COALESCE({mc}, 'z'), '/', '-') END
+    ELSE '/v1/chat/completions' END AS path
 FROM {d.t('conversations')}"""
     return s.replace("STRING", "VARCHAR" if d.name == "duckdb" else "STRING")
 
@@ -135,17 +146,20 @@ FROM {d.t('conversations')}"""
 def route_query(spark: SparkSession, sf: str) -> DataFrame:
     req = spark.sql(_requests_sql(fx.SPARK), conversations=tables.read(spark, sf, "conversations", "conv_id", "turn"))
     served = fx.engine_snapshots(spark, sf).where(F.col("model_name").isNotNull()).select(F.col("model_name").alias("model"))
-    return route_resolve(req, served).select("conv_id", "turn", "model_lc", "outcome", "status")
+    routed = route_resolve(req, served)
+    return routed.select("conv_id", "turn", "by_id", "model_lc", "outcome", "status").join(outcome_counts(routed), ["by_id", "outcome", "status"])
 
 
 def route_oracle_sql() -> str:
     return fx.duck_cte("engine_snapshots").rstrip("\n") + f""",
 r AS ({_requests_sql(fx.DUCK)}),
-p AS (SELECT conv_id, turn, lower(COALESCE(CASE WHEN json_valid(body) THEN json_extract_string(body, '$.model') END,
-        NULLIF(regexp_extract(body, '{MODEL_RE}', 1), ''))) AS model_lc FROM r),
-s AS (SELECT DISTINCT lower(model_name) AS model_lc FROM engine_snapshots WHERE model_name IS NOT NULL)
-SELECT p.conv_id, p.turn, p.model_lc,
+q AS (SELECT *, regexp_matches(path, '{ID_RE}') AS by_id FROM r),
+p AS (SELECT conv_id, turn, by_id, lower(CASE WHEN by_id THEN regexp_extract(path, '{ID_RE}', 1) ELSE COALESCE(CASE WHEN json_valid(body) THEN json_extract_string(body, '$.model') END,
+        NULLIF(regexp_extract(body, '{MODEL_RE}', 1), '')) END) AS model_lc FROM q),
+s AS (SELECT DISTINCT lower(model_name) AS model_lc FROM engine_snapshots WHERE model_name IS NOT NULL),
+o AS (SELECT p.conv_id, p.turn, by_id, p.model_lc,
   CASE WHEN p.model_lc IS NULL THEN 'missing_model' WHEN s.model_lc IS NULL THEN 'model_not_found' ELSE 'upstream' END AS outcome,
   CASE WHEN p.model_lc IS NULL THEN 400 WHEN s.model_lc IS NULL THEN 404 ELSE 200 END AS status
-FROM p LEFT JOIN s ON p.model_lc = s.model_lc
+FROM p LEFT JOIN s ON p.model_lc = s.model_lc)
+SELECT *, count(*) OVER (PARTITION BY by_id, outcome) AS n_requests FROM o
 """

@@ -304,12 +304,17 @@ SELECT o_orderkey, now_ms, utc_offset, p.preset, p.since_ms, p.until_ms FROM e,
   UNION ALL SELECT 'last_month', (mm1 - DATE '1970-01-01') * 86400000 - off, (m0 - DATE '1970-01-01') * 86400000 - off
   UNION ALL SELECT 'this_year', (y0 - DATE '1970-01-01') * 86400000 - off, now_ms
   UNION ALL SELECT 'all_time', 0, now_ms
+  UNION ALL SELECT 'custom', now_ms - o_orderkey % 1000 * 3600000, CASE WHEN o_orderkey % 2 = 0 THEN now_ms ELSE now_ms - 60000 END
+  UNION ALL SELECT 'last_decade', (d - DATE '1970-01-01') * 86400000 - off, now_ms
 ) p
 """
 
 
 @query("calendar_window", _CAL_SQL)
 def q_calendar_window(spark, sf):
+    """Every preset, a custom range (every other one open) and a preset that nobody knows."""
     o = spark.sql(_orders_now(fx.SPARK), orders=tables.read(spark, sf, "orders", "o_orderkey", "o_orderdate"))
-    return H.calendar_windows(o, F.col("utc_offset")).select(
+    asked = o.withColumn("preset", F.explode(F.array(*[F.lit(p) for p in (*H.PRESETS, "custom", "last_decade")]))).withColumn(
+        "custom_since", F.col("now_ms") - F.col("o_orderkey") % 1000 * HOUR_MS).withColumn("custom_until", F.when(F.col("o_orderkey") % 2 == 1, F.col("now_ms") - 60_000))
+    return H.chosen_window(asked, F.col("utc_offset")).select(
         "o_orderkey", "now_ms", "utc_offset", "preset", "since_ms", "until_ms")

@@ -112,13 +112,20 @@ def q_gpu_select(spark, sf):
 
 
 @query("primary_gpu", GP + """
-SELECT snap_id, p.i AS gpu_index, p.n AS name, p.w AS power_watts FROM (
-  SELECT snap_id, arg_min({'i': gpu_index, 'n': name, 'w': power_watts}, gpu_index) AS p FROM g GROUP BY snap_id) x
+, f AS (SELECT snap_id, arg_min({'i': gpu_index, 'n': name, 'w': power_watts}, gpu_index) AS p, count(*) AS n FROM g GROUP BY snap_id)
+SELECT snap_id, p.i AS gpu_index, p.n AS name, CASE WHEN snap_id % 11 < 2 THEN p.w / 2 ELSE p.w END AS power_watts,
+  CASE WHEN snap_id % 11 > 1 THEN p.i END AS listed_index, CASE WHEN snap_id % 11 < 2 THEN 1 ELSE n END AS n_shown FROM f
 """)
 def q_primary_gpu(spark, sf):
-    p = HW.primary_gpu(F.col("gpus"))
-    return gpu_lists(spark, sf).select("snap_id", p["gpu_index"].alias("gpu_index"), p["name"].alias("name"),
-                                       p["power_watts"].alias("power_watts"))
+    """The first GPU of each snapshot. Some snapshots have an empty list and some none; readers then take the single GPU."""
+    g = gpu_lists(spark, sf)
+    first = F.try_element_at("gpus", F.lit(1))
+    given = F.when(F.col("snap_id") % 11 == 0, F.filter("gpus", lambda x: F.lit(False))).when(F.col("snap_id") % 11 > 1, F.col("gpus"))
+    g = g.select("snap_id", given.alias("gpus"), first.withField("power_watts", first["power_watts"] / 2).alias("gpu"))
+    shown = HW.gpus_or_single(F.col("gpus"), F.col("gpu"))
+    p = HW.primary_gpu(shown)
+    return g.select("snap_id", p["gpu_index"].alias("gpu_index"), p["name"].alias("name"), p["power_watts"].alias("power_watts"),
+                    HW.primary_gpu(F.col("gpus"))["gpu_index"].alias("listed_index"), F.size(shown).cast("bigint").alias("n_shown"))
 
 
 @query("active_gpu", GP + """

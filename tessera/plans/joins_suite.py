@@ -42,7 +42,7 @@ def q_pid_tree(spark, sf):
 # ---------------------------------------------------------------- GPU placement
 
 def _gpu_procs_sql(d) -> str:
-    return f"SELECT CASE WHEN p_size % 3 = 0 THEN CAST(p_size % 8 AS INT) END AS gpu_index, p_partkey AS pid FROM {d.t('part')}"
+    return f"SELECT CAST(p_size % 8 AS INT) AS gpu_index, p_partkey AS pid FROM {d.t('part')}"
 
 
 @query("gpu_placement", fx.duck_cte("engine_pids").rstrip("\n") + f""",

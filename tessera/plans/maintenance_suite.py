@@ -158,10 +158,31 @@ def q_settings_upsert(spark, sf):
     return SE.settings_upsert(settings_log(spark, sf))
 
 
-@query("settings_view", f"WITH c AS ({_CUR}) SELECT " + ", ".join(
-    f"COALESCE((SELECT value FROM c WHERE key = '{k}'), '{v}') AS {k}" for k, v in SE.DEFAULTS.items()))
+def _bodies_sql(d) -> str:
+    """Update bodies: one key, two keys, a null, an unknown key, no JSON."""
+    kind = "CAST(event_id % 8 AS INT)"
+    v = "CAST(event_id % 97 AS STRING)"
+    one = lambda k: f"""chr(123) || '"{k}": "' || {v} || '"' || chr(125)"""
+    s = f"""SELECT {d.ms('ts')} AS updated_at, CASE {kind} WHEN 0 THEN {one('cloud_prompt_rate')} WHEN 1 THEN {one('cloud_gen_rate')}
+    WHEN 2 THEN chr(123) || '"electricity_rate": "' || {v} || '", "cloud_prompt_rate": "' || {v} || '.5"' || chr(125) WHEN 3 THEN chr(123) || '"electricity_rate": null' || chr(125)
+    WHEN 4 THEN {one('enabled')} WHEN 5 THEN {one('colour')} WHEN 6 THEN 'tp_gpu_count=2' ELSE {one('tp_gpu_count')} END AS body, event_id % 8 AS kind, event_id FROM {d.t('events')}"""
+    return s.replace("STRING", "VARCHAR" if d.name == "duckdb" else "STRING")
+
+
+_UPDATES = f"""
+b AS ({_bodies_sql(fx.DUCK)}),
+u AS (SELECT key, json_extract_string(body, '$.' || key) AS value, updated_at FROM b, (SELECT unnest([{', '.join(f"'{k}'" for k in SE.UPDATABLE)}]) AS key) k WHERE json_valid(body))
+"""
+
+
+@query("settings_view", f"WITH {_UPDATES}, t AS ({_settings_log_sql(fx.DUCK)}), "
+       "c AS (SELECT key, arg_max(value, (updated_at, value)) AS value FROM (SELECT key, value, updated_at FROM u WHERE value IS NOT NULL UNION ALL SELECT key, value, updated_at FROM t WHERE key = 'enabled') l GROUP BY key) SELECT "
+       + ", ".join(f"COALESCE((SELECT value FROM c WHERE key = '{k}'), '{v}') AS {k}" for k, v in SE.DEFAULTS.items()))
 def q_settings_view(spark, sf):
-    return SE.settings_view(SE.settings_upsert(settings_log(spark, sf)))
+    """The settings after partial updates, which write the keys they carry, and recording toggles."""
+    bodies = spark.sql(_bodies_sql(fx.SPARK), events=tables.read(spark, sf, "events", "event_id", "ts"))
+    log = SE.settings_updates(bodies).unionByName(settings_log(spark, sf).where("key = 'enabled'").select("key", "value", "updated_at"))
+    return SE.settings_view(SE.settings_upsert(log))
 
 
 @query("storage_report")  # file sizes: rows-only check
