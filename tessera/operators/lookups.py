@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import fixtures as fx
 from ..sources import tables
 
-# Characters of the leading key that candidates for containment must share.
-KEY_CHARS = 8
+# Characters of the gram that candidates for containment must share.
+GRAM = 4
 
 
 def request_union(spans: DataFrame, span_ms: int = 300_000) -> DataFrame:
@@ -18,20 +18,35 @@ def request_union(spans: DataFrame, span_ms: int = 300_000) -> DataFrame:
     return spans.crossJoin(latest).where(F.col("end_ms") >= F.col("_latest") - span_ms).drop("_latest")
 
 
-def _containing(outer: DataFrame, inner: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of distinct texts where ``outer.a`` contains ``inner.b``, by an equality join.
+def _substrings(text: Column, sizes: range) -> Column:
+    """The text's distinct substrings of the sizes."""
+    def of(k: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substr(text, i, F.lit(k)))
+        return F.when(F.length(text) >= k, found).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(k) for k in sizes]))
+
+
+def _candidates(outer: DataFrame, inner: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs (a, b) that may be contained: ``b`` is looked up by its gram that the fewest of the ``a`` have.
 
-    A contained text's first ``KEY_CHARS`` characters (all, if it is shorter)
-    are a substring of the containing one. So the outer texts are exploded
-    into their substrings of at most that length, joined by equality, and the
-    candidates verified. An empty text is contained in every text.
+    A part that all texts share, such as a provider's prefix, is never the key of
+    a text that has anything else. Texts shorter than a gram are looked up
+    whole; an empty one is in every text.
     """
-    text, n = F.col(a), F.length(a)
-    keys = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.transform(
-        F.sequence(F.lit(0), F.least(F.lit(KEY_CHARS), n - i)), lambda k: F.substr(text, i + 1, k))))
-    o = outer.select(a).distinct().withColumn("_key", F.explode(F.array_distinct(keys)))
-    i = inner.select(b).distinct().withColumn("_key", F.substring(F.col(b), 1, KEY_CHARS))
-    return o.join(i, "_key").where(F.col(a).contains(F.col(b))).select(a, b)
+    keys = outer.select(a).distinct().withColumn("_key", F.explode(F.concat(F.array(F.lit("")), _substrings(F.col(a), range(1, GRAM + 1)))))
+    counts = keys.where(F.length("_key") == GRAM).groupBy("_key").agg(F.count("*").alias("_n"))
+    texts = inner.select(b).distinct()
+    grams = texts.where(F.length(b) >= GRAM).select(b, F.explode(_substrings(F.col(b), range(GRAM, GRAM + 1))).alias("_key"))
+    # A gram that no outer text has rules its text out: it counts 0 and finds nobody.
+    rarest = grams.join(counts, "_key", "left").groupBy(b).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("key"))).alias("_r")).select(b, F.col("_r.key").alias("_key"))
+    short = texts.where(F.length(b) < GRAM).select(b, F.col(b).alias("_key"))
+    return keys.join(rarest.unionByName(short), "_key").select(a, b)
+
+
+def _containing(outer: DataFrame, inner: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of distinct texts where ``outer.a`` contains ``inner.b``: the candidates, verified."""
+    return _candidates(outer, inner, a, b).where(F.col(a).contains(F.col(b)))
 
 
 def pricing_lookup(models: DataFrame, catalogue: DataFrame) -> DataFrame:

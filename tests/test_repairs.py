@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.operators import engines, inventory, lookups, series, slo, state
+from tessera.operators import engines, inventory, lookups, series, slo
 from tessera.sources import logs, text
 from tessera.streaming import jobs
 
@@ -59,13 +59,6 @@ def test_repeated_samples(spark):
     assert sorted(map(tuple, series.series_sum(a, b, ["k"], order="seq").collect())) == [("s", 1, 8.0), ("s", 2, 4.0)]
 
 
-def test_late_histograms_pass_unchanged(spark):
-    rows = [("e", 0, t, m, le, c) for t, m, le, c in [(1, "a", 1.0, 2.0), (2, "a", 1.0, 5.0), (2, "b", 1.0, 9.0), (3, "b", 1.0, 12.0)]]
-    cur = spark.createDataFrame(rows, "k string, ep long, t long, metric string, le double, cum double")
-    got = {(r.t, r.metric): r.cum for r in state.baseline_subtract_hist(cur, ["k"], "ep", "t").collect()}
-    assert got == {(1, "a"): 0.0, (2, "a"): 3.0, (2, "b"): 9.0, (3, "b"): 12.0}
-
-
 def test_conflation_ties(spark):
     rows = [("e", 100, 1), ("e", 100, 2), ("e", 1500, 3), ("e", 1500, 4), ("f", 5000, 1)]
     got = jobs.conflate_latest(spark.createDataFrame(rows, "k string, ts long, n int"), "k", "ts", ties=("n",))
@@ -103,3 +96,15 @@ def test_warmup_masks_buckets_and_tpot(spark):
     df = spark.createDataFrame([(1, 2.0, [1.0], 3.0)], "active_requests int, tpot_p95_ms double, tpot_buckets array<double>, ttft_ms double")
     assert tuple(engines.warmup_mask(df, F.lit(True)).first()) == (1, None, None, None)
     assert tuple(engines.warmup_mask(df, F.lit(False)).first()) == (1, 2.0, [1.0], 3.0)
+
+
+def test_containment_with_one_common_prefix(spark):
+    """Ids that all begin alike: looked up by what sets them apart, so candidates stay few; short and empty texts are found too."""
+    outer = spark.createDataFrame([(f"router/vendor/model-{k:05d}-chat",) for k in range(600)] + [("abc",), ("",), ("zz",)], "a string")
+    inner = [f"router/vendor/model-{k:05d}" for k in range(0, 600, 3)] + ["router/vendor/other", "abc", "ab", "z", "", "nothing here", "-chat"]
+    df = spark.createDataFrame([(x,) for x in inner], "b string")
+    texts = [r.a for r in outer.collect()]
+    got = {tuple(r) for r in lookups._containing(outer, df, "a", "b").collect()}
+    assert got == {(x, y) for x in texts for y in inner if y in x}
+    per_id = lookups._candidates(outer, df.where(F.col("b").startswith("router/vendor/model")), "a", "b").groupBy("b").count()
+    assert per_id.agg(F.max("count")).first()[0] <= 100
