@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ..functions.timeutil import DAY_MS, idiv
 
-#: Width of a chunk: 600 rows of a key that reports every second. A key with denser rows wants a narrower one.
-CHUNK_MS = 600_000
+#: Width of a chunk: 3,600 rows of a key that reports every second. A key with denser rows wants a narrower one.
+CHUNK_MS = 3_600_000
 
 
 def _chunk(ts: str, chunk_ms: int) -> Column:

@@ -61,7 +61,7 @@ def test_one_key_on_one_day_is_divided(spark):
     rows = [("hot" if i % 3 == 0 else f"e{i % 50}", (i * 28_800) % 86_400_000, i, float(i)) for i in range(9000)]
     df = spark.createDataFrame(rows, "k string, ts long, seq long, v double")
     groups = df.groupBy("k", WD._chunk("ts", WD.CHUNK_MS)).count().where("k = 'hot'")
-    assert groups.count() == 144 and groups.agg(F.max("count")).first()[0] <= 3000 / 144 + 1
+    assert groups.count() == 24 and groups.agg(F.max("count")).first()[0] <= 3000 / 24 + 1
     got = running_total(df, "k", "ts", "seq", ["v"])
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k" in plan and "_chunk" in plan
