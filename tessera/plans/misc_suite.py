@@ -241,21 +241,27 @@ def q_model_descriptors(spark, sf):
 
 # ---------------------------------------------------------------- warm-up mask, derived series, rate reset
 
-MASKED = tuple(c for c in EN.WARMUP_MASKED if not c.endswith("_buckets"))  # the fixture has its buckets in a view of their own
+PASSED = ("active_requests", "queued_requests", "kv_cache_percent", "total_requests", "swapped_requests", "prefix_cache_hit_rate", "preemptions_total",
+          "total_prompt_tokens", "total_generation_tokens", "spec_decode_draft_tokens_total")
+MASKED = tuple(c for c in EN.WARMUP_MASKED if not c.endswith("_buckets"))
 
 
-@query("warmup_mask", fx.duck_cte("engine_snapshots") + "SELECT " + ", ".join(
-    f"CASE WHEN NOT (n_events % 4 = 0) THEN {c} END AS {c}" for c in MASKED) + """,
-  tick_ts, engine_key, active_requests, queued_requests, kv_cache_percent, total_requests, swapped_requests,
-  prefix_cache_hit_rate, preemptions_total, total_prompt_tokens, total_generation_tokens, spec_decode_draft_tokens_total
-FROM engine_snapshots
-""")
+@query("warmup_mask", fx.duck_cte("engine_snapshots", "hist_buckets").rstrip("\n") + """,
+h AS (SELECT engine_key, tick_ts, """ + ", ".join(f"CAST(count_if(metric = '{m}') AS BIGINT) AS {m}_n, sum(cum) FILTER (WHERE metric = '{m}') AS {m}_sum" for m, _ in fx.HIST_SCALE) + """
+      FROM hist_buckets GROUP BY 1, 2)
+SELECT """ + ", ".join(f"CASE WHEN NOT (n_events % 4 = 0) THEN {c} END AS {c}" for c in MASKED) + ", " + ", ".join(
+    f"CASE WHEN NOT (n_events % 4 = 0) AND {m}_n > 0 THEN {m}_n END AS {m}_bounds, CASE WHEN NOT (n_events % 4 = 0) THEN {m}_sum END AS {m}_total" for m, _ in fx.HIST_SCALE)
+    + ", tick_ts, engine_key, " + ", ".join(PASSED) + " FROM engine_snapshots LEFT JOIN h USING (engine_key, tick_ts)")
 def q_warmup_mask(spark, sf):
-    s = fx.engine_snapshots(spark, sf).select(
-        "tick_ts", "engine_key", *MASKED, "active_requests", "queued_requests", "kv_cache_percent", "total_requests",
-        "swapped_requests", "prefix_cache_hit_rate", "preemptions_total", "total_prompt_tokens", "total_generation_tokens",
-        "spec_decode_draft_tokens_total", "n_events")
-    return EN.warmup_mask(s, F.col("n_events") % 4 == 0).drop("n_events")
+    """Derived fields and the four bucket arrays (shown by their number of bounds and their sum) are blank while warming."""
+    s = fx.engine_snapshots(spark, sf).select("tick_ts", "engine_key", *MASKED, *PASSED, "n_events")
+    hb = HG.collect_buckets(fx.view(spark, sf, "hist_buckets"), ["engine_key", "tick_ts", "metric"])
+    hb = hb.groupBy("engine_key", "tick_ts").pivot("metric", [m for m, _ in fx.HIST_SCALE]).agg(F.first("buckets"))
+    hb = hb.select("engine_key", "tick_ts", *[F.col(f"`{m}`").alias(f"{m}_buckets") for m, _ in fx.HIST_SCALE])
+    out = EN.warmup_mask(s.join(hb, ["engine_key", "tick_ts"], "left"), F.col("n_events") % 4 == 0)
+    shown = [x for h in HIST_FIELDS for x in (
+        F.when(F.col(h).isNotNull(), F.size(h)).cast("bigint").alias(h.replace("buckets", "bounds")), F.aggregate(h, F.lit(0.0), lambda a, x: a + x["cum"]).alias(h.replace("buckets", "total")))]
+    return out.select(*MASKED, *shown, "tick_ts", "engine_key", *PASSED)
 
 
 def _avg_line(src):
