@@ -7,11 +7,11 @@ registers, and equal registers are about as likely as the Jaccard similarity. Ba
 candidates; candidates whose registers, by joint likelihood with the known set sizes, can't have the wanted similarity
 go; the rest are confirmed on the full sets.
 
-Work is done on classes of equal sets, so copies never meet each other. Within a band's bucket a few members
-(probes) are compared with the others, and only across components: pairs already connected are
-never compared, and buckets shrink by their probes (more each round) until one component is left. Large
-band buckets are compared with one member first, and what is still open is found by the shingles that this one hasn't. So every
-candidate pair is compared, connected or ruled out, and a bucket of near copies costs about one comparison a member.
+Work is done on classes of equal sets, so copies never meet each other. Each band's bucket has a hub, its best
+known member, which is compared with all others; that connects most of a family of near copies, at one comparison a
+member and hub. Members of buckets that aren't one component then meet by their rarest shingles, across components only.
+No candidate pair is lost: a link must share one of both sets' first shingles in the order of rarity. And a
+bucket of near copies isn't compared pair by pair.
 
 Defined results: fewer words than ``width`` make one shingle of the whole sequence; null texts and texts
 without words have an empty set and are linked with nothing. Null ids come after all others when the
@@ -38,8 +38,8 @@ from .common import packed, unpacked, written
 class Sketch:
     """width: words in a shingle. bands x rows registers on the scale of powers of base, rate: see the paper.
     similar: links have at least so many hundredths of shared shingles. sure: twice the
-    log-likelihood by which the registers must speak against a link to drop a candidate. large: buckets with more members are
-    divided by what their best known member hasn't, instead of being compared pair by pair."""
+    log-likelihood by which the registers must speak against a link to drop a candidate. sizes: ratio of neighbouring
+    classes of set sizes, in which sets meet by their rarest shingles."""
 
     width: int = 5
     bands: int = 32
@@ -48,7 +48,7 @@ class Sketch:
     rate: float = 20.0
     similar: int = 75
     sure: float = 16.0
-    large: int = 64
+    sizes: float = 1.06
 
     @property
     def m(self) -> int:
@@ -247,11 +247,10 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 def _linked(classes: DataFrame, texts: DataFrame, s: Sketch) -> DataFrame:
     """(class, comp) for the classes that have a link."""
-    spark = classes.sparkSession
     wide = 2 * s.rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(s.bands - 1)), lambda i: F.xxhash64(i, F.substr(F.col("regs"), i * wide + 1, F.lit(wide))))
     bands = classes.select("class", F.explode(keys).alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = written(bands.join(shared, "bucket"), "members")
 
     def full(batch: pa.RecordBatch) -> dict:
@@ -260,27 +259,18 @@ def _linked(classes: DataFrame, texts: DataFrame, s: Sketch) -> DataFrame:
     touched = texts.join(members.select(F.col("class").alias("uid")).distinct(), "uid").select(F.col("uid").alias("class"), "text")
     sets = written(touched.mapInArrow(_by_batch(full, pa.schema([("class", pa.int64()), ("shingles", pa.binary())]), 400), "class long, shingles binary"), "sets")
 
-    comps = spark.createDataFrame([], "class long, comp long")
-    # A class that meets many others in its bands' buckets is likely to be what they were made from.
-    many = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    known = written(members.join(many, "bucket").groupBy("class").agg(F.sum("n").alias("known")), "known")
-    divided, probes = False, 1
-    while True:
-        sized = comps.join(comps.groupBy("comp").agg(F.count("*").alias("many")), "comp")
-        m = members.join(known, "class").join(sized, "class", "left")
-        m = m.select("bucket", "class", "known", F.coalesce("comp", "class").alias("comp"), F.coalesce("many", F.lit(1)).alias("many"))
-        open_ = m.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
-        m = written(m.join(open_, "bucket"), "open")
-        if m.isEmpty():
-            return comps
-        if divided:
-            comps, members = _probed(m, comps, classes, sets, probes, s)
-            probes *= 8
-        else:
-            comps, found = _divided(m.where(F.col("n") > s.large), comps, classes, sets, s)
-            members = m.where(F.col("n") <= s.large).select("bucket", "class").unionByName(found)
-            divided = True
-        members = written(members, "members")
+    # A class that meets many others in its bands' buckets is likely to be what they were made from: its buckets' hub.
+    known = members.groupBy("class").agg(F.sum("n").alias("known"))
+    best = members.join(known, "class").groupBy("bucket").agg(F.max(F.struct("known", (-F.col("class")).alias("neg"))).alias("best"))
+    hubs = best.select("bucket", (-F.col("best.neg")).alias("hub"))
+    others = written(members.join(hubs, "bucket").where("class != hub").select("bucket", "class", "hub"), "others")
+    near = _possible(others.select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct(), classes, s)
+    comps = _tried(written(near, "possible"), classes.sparkSession.createDataFrame([], "class long, comp long"), sets, s)
+
+    left = _of(comps, others, "class").select("bucket", "class", F.col("cclass").alias("comp"))
+    open_ = left.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
+    near = _possible(_meeting(written(left.join(open_, "bucket").select("class", "comp").distinct(), "open"), sets, s), classes, s)
+    return _tried(written(near, "possible"), comps, sets, s)
 
 
 def _tried(left: DataFrame, comps: DataFrame, sets: DataFrame, s: Sketch) -> DataFrame:
@@ -299,57 +289,51 @@ def _tried(left: DataFrame, comps: DataFrame, sets: DataFrame, s: Sketch) -> Dat
     return comps
 
 
-def _probed(m: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, probes: int, s: Sketch) -> tuple[DataFrame, DataFrame]:
-    """Compares a few members of each bucket with the others; the components then, and the buckets without those."""
-    # Members of the smallest components first: what is left of a bucket of near copies is strays. Then the best known.
-    first = Window.partitionBy("bucket").orderBy("many", F.desc("known"), "class")
-    chosen = written(m.withColumn("at", F.row_number().over(first)).where(F.col("at") <= probes).select("bucket", F.col("class").alias("probe"), F.col("comp").alias("its"), "at"), "probes")
-    ranked = m.join(chosen.select("bucket", F.col("probe").alias("class"), F.col("at").alias("own")), ["bucket", "class"], "left")
-    met = ranked.join(chosen, "bucket").where("comp != its and (own is null or own > at)")
-    pairs = met.select(F.greatest("class", "probe").alias("a"), F.least("class", "probe").alias("b")).distinct()
-    left = written(_possible(pairs, classes, s), "possible")
-    comps = _tried(left, comps, sets, s)
-    return comps, ranked.where("own is null").select("bucket", "class")
-
-
-def _divided(m: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, s: Sketch) -> tuple[DataFrame, DataFrame]:
-    """Compares each large bucket's best known member, its hub, with the others; the components then, and
-    smaller buckets for what may still be linked.
+def _meeting(members: DataFrame, sets: DataFrame, s: Sketch) -> DataFrame:
+    """Of the members (class, comp), the pairs (a, b) of different components that may be linked by their rarest shingles.
 
-    Two linked sets x and y of a bucket either share a shingle that the hub h hasn't: they meet in a bucket for
-    it. Or their common part lies in h. Then |x & h| and |y & h| are at least the common part that their link
-    needs, 3/7 (|x| + |y|) for a similarity of 3/4; and one of them, x, isn't linked with h, else they are
-    connected. So x asks for the y of each size that its |x & h| allows, and those pairs are compared here.
+    Shingles are ordered by the number of members that have them, rarest first. Linked sets of x and y shingles
+    have c(x, y) = similar (x + y) / (100 + similar) in common, so the first shingle that they share has c - 1 others after it
+    in both: pairs meet only at the first x - c + 1 and y - c + 1 shingles. Sizes fall into classes, so that c is known well
+    before the meeting; a pair meets in the class of its smaller set. In a family of near copies the strays' first
+    shingles are their own. What the largest component of a meeting point has isn't compared with itself.
     """
-    first = Window.partitionBy("bucket").orderBy(F.desc("known"), "class")
-    hubs = m.withColumn("at", F.row_number().over(first)).where("at = 1").select("bucket", F.col("class").alias("b"))
-    pairs = m.join(hubs, "bucket").where("class != b").select(F.col("class").alias("a"), "b").distinct()
-
-    def compared(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"a": [], "b": [], "n": [], "hub": [], "both": [], "rest": []}
-        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb"))):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            rest = np.setdiff1d(p, q, assume_unique=True)
-            for k, v in zip(out, (a, b, len(p), len(q), len(p) - len(rest), rest.view(np.int64).tolist())):
-                out[k].append(v)
-        return out
 
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("hub", pa.int64()), ("both", pa.int64()), ("rest", pa.list_(pa.int64()))])
-    both = _sided(pairs, sets, {"shingles": "s"}).mapInArrow(_by_batch(compared, schema, 200), "a long, b long, n long, hub long, both long, rest array<long>")
-    both = written(both.withColumn("linked", 100 * F.col("both") >= s.similar * (F.col("n") + F.col("hub") - F.col("both"))), "hubs")
-    links = both.where("linked").select("a", "b")
-    if not links.isEmpty():
-        comps = _joined(comps, links)
-    least = F.expr(f"({s.similar} * n + 99) div 100")
-    most = F.expr(f"(both * {100 + s.similar}) div {s.similar} - n")
-    ask = both.where(~F.col("linked") & (most >= least)).select("b", F.col("a").alias("x"), F.explode(F.sequence(least, most)).alias("n"))
-    told = both.where(100 * F.col("both") >= s.similar * F.col("n")).select("b", F.col("a").alias("y"), "n")
-    met = _of(comps, _of(comps, ask.join(told, ["b", "n"]).where("x != y"), "x"), "y").where("cx != cy")
-    pairs = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    comps = _tried(written(_possible(pairs, classes, s), "possible"), comps, sets, s)
-    new = both.select(F.col("a").alias("class"), "b", F.explode("rest").alias("key")).select(F.xxhash64("b", "key").alias("bucket"), "class")
-    shared = new.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return comps, new.join(shared, "bucket")
+    def flat(batch: pa.RecordBatch) -> dict:
+        found = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in found], np.int64)
+        tokens = np.concatenate(found) if found else np.empty(0, np.int64)
+        return {"class": np.repeat(batch.column("class").to_numpy(), n), "n": np.repeat(n, n), "token": tokens}
+
+    schema = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("token", pa.int64())])
+    tokens = sets.join(members.select("class"), "class").mapInArrow(_by_batch(flat, schema, 100), "class long, n long, token long")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    last = Window.partitionBy("class").orderBy(F.desc("often"), F.desc("token"))
+    # Shingles of one member only come first: counted from the end, they need no place.
+    placed = tokens.join(often, "token").withColumn("at", F.col("n") - F.row_number().over(last) + 1)
+
+    def common(x: str, y: str) -> str:
+        return f"(({s.similar} * ({x} + {y}) + {99 + s.similar}) div {100 + s.similar})"
+
+    def kind(n: str) -> str:
+        return f"int(floor(ln({n}) / ln({s.sizes})))"
+
+    least = f"(({s.similar} * n + 99) div 100)"
+    smaller = placed.where(f"at <= n - {common('n', 'n')} + 1").select("token", F.expr(kind("n")).alias("size"), F.lit(False).alias("larger"), "class", "n", "at")
+    larger = placed.where(f"at <= n - {least} + 1").select("token", "class", "n", "at", F.expr(f"explode(sequence({kind(least)}, {kind('n')}))").alias("size"))
+    lowest = f"greatest(bigint(floor(pow({s.sizes}, size))) - 1, {least})"
+    larger = larger.where(f"at <= n - {common('n', lowest)} + 1").select("token", "size", F.lit(True).alias("larger"), "class", "n", "at")
+    firsts = written(smaller.unionByName(larger).join(members, "class"), "firsts")
+
+    point = ["token", "size"]
+    counts = firsts.groupBy(*point, "comp").agg(F.count("*").alias("many"))
+    mixed_ = counts.groupBy(*point).agg(F.max(F.struct("many", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    met = firsts.join(mixed_.select(*point, F.col("top.comp").alias("top")), point).withColumn("own", F.col("comp") == F.col("top"))
+    x = met.where("not larger").select(*point, F.col("own").alias("side"), *[F.col(c).alias(f"{c}x") for c in ("class", "n", "at", "comp")])
+    sides = F.explode(F.when(F.col("own"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
+    y = met.where("larger").select(*point, sides.alias("side"), *[F.col(c).alias(f"{c}y") for c in ("class", "n", "at", "comp")])
+    both = x.join(y, [*point, "side"]).where(f"compx != compy and nx <= ny and least(nx - atx, ny - aty) + 1 >= {common('nx', 'ny')}")
+    return both.select(F.greatest("classx", "classy").alias("a"), F.least("classx", "classy").alias("b")).distinct()
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, s: Sketch, whole: bool) -> tuple[DataFrame, DataFrame]:

@@ -103,8 +103,41 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 10: 10, 11: 10, 12: 10, 20: 20, 21: 20, **{i: 26 for i in range(26, 31)}}
 
 
-def test_divided_buckets_lose_no_link(spark):
-    """Every bucket counts as large."""
-    rows = corpus()
-    got = N.near_groups(documents(spark, rows).repartition(4), sketch=N.Sketch(large=2)).collect()
-    assert Counter(tuple(r) for r in got) == brute(rows)
+def family(n, seed=3):
+    """Copies of one text, each with its own share of changed words; nearly half are too far from the text to be linked with it."""
+    words, rows = prose(41, 150).split(), []
+    for i in range(n):
+        rng = random.Random(7 * i + seed)
+        share = 0.001 * (i % 60) if i else 0
+        rows.append((i, " ".join(prose(rng.random(), 1) if rng.random() < share else w for w in words), "en", "a"))
+    return rows
+
+
+def test_meeting_pairs_hold_every_link(spark):
+    """All sets meet by their rarest shingles only: every link between different components is among the pairs."""
+    s = N.Sketch()
+    texts = [r[1] for r in corpus() if r[1] and len(r[1]) < 20000] + [r[1] for r in family(150)]
+    found = sorted({N.shingles(t.encode(), 5).tobytes() for t in texts} - {b""})
+    got = [set(np.frombuffer(x, np.uint64).tolist()) for x in found]
+    comp = [i % 7 if i % 3 else 0 for i in range(len(found))]
+    sets_ = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(found)], "class long, shingles binary")
+    members = spark.createDataFrame(list(enumerate(comp)), "class long, comp long")
+    pairs = {tuple(r) for r in N._meeting(members, sets_, s).collect()}
+    links = {(i, j) for i in range(len(got)) for j in range(i) if comp[i] != comp[j] and 100 * len(got[i] & got[j]) >= 75 * len(got[i] | got[j])}
+    assert links and links <= pairs
+    assert all(comp[a] != comp[b] and a > b for a, b in pairs)
+
+
+def test_compared_pairs_grow_with_the_family_not_its_square(spark, monkeypatch):
+    compared = []
+    plain = N._possible
+    monkeypatch.setattr(N, "_possible", lambda pairs, classes, s: compared.append(pairs.count()) or plain(pairs, classes, s))
+    each = []
+    for n in (400, 800, 1600):
+        compared.clear()
+        rows = family(n)
+        got = N.near_groups(documents(spark, rows, extra=False).repartition(4)).collect()
+        each.append(sum(compared) / n)
+        if n < 1000:
+            assert Counter(tuple(r) for r in got) == brute(rows)
+    assert each[2] < 1.5 * each[0] and each[2] < 16
