@@ -6,7 +6,7 @@ leave the boundary to the last token of the rest alone (pair compatibility). Fol
 back from the end gives the ids that merging in rank order would give, in one pass over the piece.
 
 Texts are cut as the tokenizers library cuts them: pieces come from the library's own pre-tokenizer, applied
-to runs between single white-space characters, each run once per worker while it stays in the cache.
+to runs between single white-space characters, each run once per task while it stays in the cache.
 
 Vocabularies are byte-level BPE files of the tokenizers library without normalizer; the path must be readable on
 every executor. Defined results: a null text counts as empty and has no ids; texts of any length are
@@ -61,6 +61,10 @@ class Cache(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Bpe:
     def __init__(self, path: str):
@@ -192,6 +196,12 @@ class Bpe:
                     out.extend([spaced[w] for w in words[1:]])
         return np.frombuffer(b"".join(out), np.uint32)
 
+    def forget(self) -> None:
+        """Empties the caches. Spark keeps a worker for later tasks, also of other stages, beside the executor's heap."""
+        for cache in (self.bare, self.spaced, self.piece):
+            cache.forget()
+        self.apart.clear()
+
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.token[i] for i in ids]).decode("utf-8", "replace")
 
@@ -209,13 +219,16 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [bpe.encode(t) if t else np.empty(0, np.uint32) for t in part.column("t").to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                values = pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["row", "ids"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    ids = [bpe.encode(t) if t else np.empty(0, np.uint32) for t in part.column("t").to_pylist()]
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                    values = pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32())
+                    yield pa.RecordBatch.from_arrays([part.column("row"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["row", "ids"])
+        finally:
+            bpe.forget()
 
     done = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
     return done.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("ids").alias(out))

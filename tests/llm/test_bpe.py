@@ -55,6 +55,23 @@ def test_frames(spark, library):
     assert bpe.encode(documents(spark, []), PATH).collect() == []
 
 
+def test_workers_keep_no_caches_after_a_task(spark):
+    """Workers live on beside the executor's heap, and other stages' tasks run in them."""
+    df = documents(spark, [(i, prose(i, 300), "en", "a") for i in range(80)]).repartition(8)
+    assert bpe.encode(df, PATH).select("ids").toPandas()["ids"].map(len).min() > 0
+
+    def held(batches):
+        import pyarrow as pa
+
+        own = bpe.vocabulary(PATH)
+        n = sum(len(c) + len(c.old) for c in (own.bare, own.spaced, own.piece)) + len(own.apart)
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n] * b.num_rows, pa.int64())})
+
+    got = spark.range(80).repartition(8).mapInArrow(held, "n long").collect()
+    assert len(got) == 80 and not any(r.n for r in got)
+
+
 def test_other_kinds_of_vocabulary_are_refused():
     with pytest.raises(ValueError):
         bpe.Bpe(public_tokenizers.path("word_bpe_49k.json"))
