@@ -77,11 +77,13 @@ CHUNK = 200
 
 
 def _chunks_sql(d) -> str:
+    # Braces are doubled for spark.sql(). Spark cuts a text in one pass: substring() counts from the text's beginning for each chunk.
     gen = ("CROSS JOIN LATERAL (SELECT unnest(range(0, CAST(ceil(length(text) / 200.0) AS BIGINT))) AS i) g" if d.name == "duckdb"
-           else "LATERAL VIEW explode(sequence(0, CAST(ceil(length(text) / 200.0) AS BIGINT) - 1)) g AS i")
+           else f"LATERAL VIEW posexplode(regexp_extract_all(text, '(?s).{{{{1,{CHUNK}}}}}', 0)) g AS i, cut")
+    chunk = f"substring(text, CAST(i * {CHUNK} + 1 AS INT), {CHUNK})" if d.name == "duckdb" else "cut"
     s = f"""SELECT 'ctr-' || CAST(doc_id % 5 AS STRING) AS container,
   CASE WHEN doc_id % 3 = 0 THEN 'stderr' ELSE 'stdout' END AS stream,
-  doc_id * 1000000000 + i AS seq, substring(text, CAST(i * {CHUNK} + 1 AS INT), {CHUNK}) AS chunk
+  doc_id * 1000000000 + i AS seq, {chunk} AS chunk
 FROM {d.t('documents')} {gen} WHERE length(text) > 0"""
     return s.replace("STRING", "VARCHAR" if d.name == "duckdb" else "STRING")
 

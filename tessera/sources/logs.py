@@ -3,7 +3,7 @@
 Almost every line lies within one frame and is emitted where it is; only a frame's first and last piece meet others.
 Their place in the stream comes from running counts over frames (carried on two levels, see ``operators.windows``), and
 a line is put together in parts of at most ``PART`` characters, so that a stream without newlines is cut and never
-gathered in one group.
+gathered in one group. Frames are placed once and stored with their places; what follows reads them from there.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.windows import running_total
+from ..session import scratch_dir
 
 #: Characters of a part of a line; lines up to here have one part.
 PART = 1 << 20
@@ -36,7 +37,15 @@ def _cut(text: Column, start: Column, part: int) -> Column:
         a, b = F.greatest(start, k * part), F.least(start + n, (k + 1) * part)
         return F.struct(k.alias("part"), a.alias("from"), F.substr(text, (a - start + 1).cast("int"), (b - a).cast("int")).alias("text"))
 
-    return F.when((n > 0) | (start == 0), F.transform(F.sequence(first, last), one))
+    most = F.when(first == last, F.array(F.struct(first.alias("part"), start.alias("from"), text.alias("text")))).otherwise(F.transform(F.sequence(first, last), one))
+    return F.when((n > 0) | (start == 0), most)
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: its windows and joins aren't repeated for each use."""
+    path = scratch_dir(df.sparkSession, "log-frames")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def assembled(frames: DataFrame, keys: list[str], seq: str, text: str, seq_chunk: int = 1 << 20, part: int = PART) -> DataFrame:
@@ -45,19 +54,25 @@ def assembled(frames: DataFrame, keys: list[str], seq: str, text: str, seq_chunk
     ``at_seq``, ``at_pos``: the frame that holds the line's end, and the number of newlines before it there.
     """
     f = frames.select(*keys, seq, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    f = f.withColumn("_chars", F.length("_text").cast("bigint")).withColumn("_nl", F.col("_chars") - F.length(F.translate("_text", "\n", "")))
+    f = f.withColumn("_chars", F.length("_text").cast("bigint")).withColumn("_nl", F.col("_chars") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))))
     f = f.withColumn("_k", F.concat_ws("\u0001", *[F.col(k) for k in keys])).withColumn("_tie", F.xxhash64("_text"))
+    f = f.withColumn("_first", F.length(F.substring_index("_text", "\n", 1)).cast("bigint")).withColumn("_last", F.length(F.substring_index("_text", "\n", -1)).cast("bigint"))
     f = running_total(f, "_k", seq, "_tie", ["_nl", "_chars"], chunk_ms=seq_chunk)
-    p = f.select(*keys, F.col(seq).alias("_seq"), "_nl", (F.col("_nl_run") - F.col("_nl")).alias("_before"), (F.col("_chars_run") - F.col("_chars")).alias("_from"),
-                 "_chars", F.posexplode(F.split("_text", "\n", -1)).alias("_i", "_piece"))
+    f = _stored(f.select(*keys, F.col(seq).alias("_seq"), "_text", "_nl", "_chars", "_first", "_last",
+                         (F.col("_nl_run") - F.col("_nl")).alias("_before"), (F.col("_chars_run") - F.col("_chars")).alias("_from")))
+    p = f.select(*keys, "_seq", "_nl", "_before", "_from", "_chars", F.posexplode(F.split("_text", "\n", -1)).alias("_i", "_piece"))
     p = p.withColumn("line_no", F.col("_before") + F.col("_i"))
     inner = (F.col("_i") > 0) & (F.col("_i") < F.col("_nl"))
     whole = p.where(inner).select(*keys, "line_no", F.inline(_cut(F.col("_piece"), F.lit(0).cast("bigint"), part)), F.col("_seq").alias("at_seq"), F.col("_i").cast("bigint").alias("at_pos"))
     whole = whole.select(*keys, "line_no", "part", "text", F.lit(True).alias("done"), F.lit(True).alias("full"), "at_seq", "at_pos")
     # A frame's first piece begins where the frame does, its last one so many characters before the frame's end.
     edge = p.where(~inner).withColumn("_at", F.col("_from") + F.when(F.col("_i") == 0, 0).otherwise(F.col("_chars") - F.length("_piece")))
-    line = edge.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("line_no").alias("_line")).agg(
-        F.min("_at").alias("_begin"), F.max(F.col("_at") + F.length("_piece")).alias("_end"), F.max(F.col("_i") < F.col("_nl")).alias("done"), F.max("_seq").alias("at_seq"))
+    # The lines' extents come from the stored numbers, without the texts.
+    head = F.struct(F.col("_before").alias("_line"), F.col("_from").alias("_at"), F.col("_first").alias("_n"), (F.col("_nl") > 0).alias("_done"))
+    tail = F.struct((F.col("_before") + F.col("_nl")).alias("_line"), (F.col("_from") + F.col("_chars") - F.col("_last")).alias("_at"), F.col("_last").alias("_n"), F.lit(False).alias("_done"))
+    ends = f.select(*[F.col(k).alias(f"_{k}") for k in keys], "_seq", F.explode(F.when(F.col("_nl") > 0, F.array(head, tail)).otherwise(F.array(head))).alias("_e"))
+    line = ends.select(*[f"_{k}" for k in keys], "_seq", "_e.*").groupBy(*[f"_{k}" for k in keys], "_line").agg(
+        F.min("_at").alias("_begin"), F.max(F.col("_at") + F.col("_n")).alias("_end"), F.max("_done").alias("done"), F.max("_seq").alias("at_seq"))
     same = F.col("line_no") == F.col("_line")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))

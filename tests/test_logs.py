@@ -75,6 +75,29 @@ def test_a_stream_without_newlines_is_cut(spark):
     assert LG.log_events(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_frames_are_placed_once(spark):
+    """The running counts over the frames are worked out once and stored; lines, events and the lines' extents read them there."""
+    df = spark.createDataFrame(frames(5), SCHEMA)
+    plan = LG.log_events(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    streams = df.where("kind in ('stdout', 'stderr')").withColumnRenamed("kind", "stream")
+    assert "Window" not in LG.log_lines(streams)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_cut_in_one_pass(spark):
+    """Chunks of 200 code points; no call counts a chunk's place from the beginning of its text."""
+    from tessera.plans import text_suite as T
+    from tessera.sources import fixtures as fx
+
+    texts = ["x", "a" * 200, "b" * 201, "😀é\n" * 150, "\r\n\u2028 \x00" * 333, "", None, " " * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "n" * 250), (3, "again")], "doc_id long, text string")
+    got = spark.sql(T._chunks_sql(fx.SPARK), documents=docs)
+    want = [(i, k // 200, t[k : k + 200]) for i, t in [*enumerate(texts), (3, "again")] if t for k in range(0, len(t), 200)]
+    rows = sorted((r.seq // 10**9, r.seq % 10**9, r.chunk) for r in got.where("seq is not null").collect())
+    assert rows == sorted(want) and sorted(r.chunk for r in got.where("seq is null").collect()) == ["n" * 50, "n" * 200]
+    assert dict(got.dtypes)["seq"] == "bigint" and "substring" not in T._chunks_sql(fx.SPARK)
+
+
 def run_stream(spark, rows, part, idle_ms, beat=None):
     base = tempfile.mkdtemp(prefix="log-stream-")
     df = spark.createDataFrame(rows, SCHEMA).withColumn("event_time", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
