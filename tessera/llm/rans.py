@@ -20,6 +20,7 @@ not read. Texts of any length are encoded whole.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from array import array
@@ -29,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +43,15 @@ SCALE = 20
 LANES, BLOCK, EVERY = 1024, 1 << 18, 128
 #: Ids that a reader's task decodes at least, if the file has them.
 READ = 1 << 21
+#: Bytes of text that are tokenized at once, and words whose ids are put in place at once.
+TEXT, PLACED = 1 << 24, 1 << 20
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _HEAD, _FOOT = struct.Struct("<4s6I"), struct.Struct("<3QI4s")
 
 
+#: Runs of printable ASCII without apostrophes, and the pieces that the pre-tokenizer cuts them into.
+_PLAIN, _PIECE = re.compile(rb"[!-&(-~]+"), re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 #: End of the Latin blocks: letters below it are composed and have lower-case forms without context.
 LATIN = "\u0130"
 
@@ -69,6 +75,10 @@ class WordTokenizer:
         self.runs, self.word = Cache(self._run, 500_000), Cache(self._word, 300_000)
 
     def _run(self, run: bytes) -> bytes:
+        if run.isalpha() and run.islower():  # ASCII
+            return self._word(run.decode())
+        if _PLAIN.fullmatch(run) and b"<|" not in run:
+            return b"".join([self.word[p.decode()] for p in _PIECE.findall(run.lower())])
         text = run.decode("utf-8", "replace")
         # A word of Latin letters, and a mark after it, are pieces as they stand: composed and without context.
         if text.isalpha() and max(text) < LATIN:
@@ -87,6 +97,48 @@ class WordTokenizer:
         runs = self.runs
         return b"".join([runs[r] for r in text.split()])
 
+    def encode_all(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths): the ids (u32) of all UTF-8 texts (binary; null: empty) one after the other, each text's followed by ``end``.
+
+        Arrow cuts and numbers the runs, and takes the comma or full stop off ASCII words. So the cache is asked once for each
+        distinct word of the texts, and the ids are put in place by number.
+        """
+        cut = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset))
+        many = pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        named = pc.list_flatten(cut).dictionary_encode()
+        run = named.dictionary
+        comma, stop = pc.ends_with(run, ","), pc.ends_with(run, ".")
+        stem = pc.if_else(pc.or_(comma, stop), pc.binary_slice(run.cast(pa.binary()), 0, -1), run.cast(pa.binary()))
+        stem = pa.Array.from_buffers(pa.string(), len(stem), stem.buffers(), offset=stem.offset)
+        plain = pc.ascii_is_alpha(stem)
+        pieces = pc.if_else(plain, pc.ascii_lower(stem), run).cast(pa.binary()).dictionary_encode()
+        runs = self.runs
+        own = [runs[r] if r else b"" for r in pieces.dictionary.to_pylist()]  # space at a text's ends leaves an empty run
+        own += [b"", runs[b","], runs[b"."]]
+        n = len(pieces.dictionary)
+        marks = np.where(plain.to_numpy(zero_copy_only=False), n + comma.to_numpy(zero_copy_only=False) + 2 * stop.to_numpy(zero_copy_only=False), n)
+        both = np.column_stack([pieces.indices.to_numpy(zero_copy_only=False), marks]).ravel()
+        pool, size = _placed(np.frombuffer(b"".join(own), np.uint32), np.fromiter(map(len, own), np.int64, len(own)) // 4, both)
+        # The end id is one more run, after each text's own.
+        pool, size = np.append(pool, np.uint32(end)), np.append(size.reshape(-1, 2).sum(axis=1), 1)
+        ends = np.cumsum(many + 1) - 1
+        numbers = np.full(int(many.sum()) + len(many), len(run), np.int64)
+        inner = np.ones(len(numbers), bool)
+        inner[ends] = False
+        numbers[inner] = named.indices.to_numpy(zero_copy_only=False)
+        ids, sizes = _placed(pool, size, numbers)
+        return ids, np.diff(np.cumsum(sizes)[ends], prepend=0)
+
+
+def _placed(pool: np.ndarray, size: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes): the ids of the numbered runs one after the other. The pool holds the runs' ids, of ``size`` each."""
+    start, sizes, out = np.cumsum(size) - size, size[numbers], [np.empty(0, np.uint32)]
+    for a in range(0, len(numbers), PLACED):
+        n = sizes[a : a + PLACED]
+        at = np.cumsum(n) - n
+        out.append(pool[np.repeat(start[numbers[a : a + PLACED]] - at, n) + np.arange(int(n.sum()))])
+    return np.concatenate(out), sizes
+
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> WordTokenizer:
@@ -264,15 +316,11 @@ def write(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_co
     spark = df.sparkSession
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tail = tokenizer(path), array("I", [end]).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [(own.encode(x) if x else b"") + tail for x in part.column("text").to_pylist()]
-                # Two bytes an id where that is enough.
-                packed = [i.astype("<u2").tobytes() if i.max() < 65536 else b"" for i in (np.frombuffer(x, np.uint32) for x in ids)]
-                wide = [None if p else x for p, x in zip(packed, ids)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tie"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([p or None for p in packed], pa.binary()), pa.array(wide, pa.binary())], ["id", "tie", "n", "ids", "wide"])
+        own = tokenizer(path)
+        for batch in _gathered(batches, TEXT):
+            for part in _by_bytes(batch, "text", TEXT):
+                ids, n = own.encode_all(part.column("text"), end)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tie"), pa.array(n, pa.int64()), *_packed(ids, n)], ["id", "tie", "n", "ids", "wide"])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     ids = written(rows.mapInArrow(tokenized, "id long, tie long, n long, ids binary, wide binary"), "ids")
@@ -280,8 +328,8 @@ def write(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_co
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in _ids(batch):
-                n = np.bincount(x)
+            for column, kind in (("ids", "<u2"), ("wide", "<u4")):
+                n = np.bincount(np.frombuffer(b"".join(batch.column(column).drop_null().to_pylist()), kind))
                 if len(n) > len(total):
                     total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
                 total[: len(n)] += n
@@ -325,6 +373,39 @@ def shard_uri(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:06d}.rans"
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together to at least ``least`` bytes each, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose binary ``column`` has at most ``most`` bytes, or one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def _packed(ids: np.ndarray, n: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The rows' ids as binary: of two bytes each in the first array if all of a row's fit, else of four in the second."""
+    ends = np.cumsum(n)
+    if not len(ids) or ids.max() < 65536:
+        offsets = (2 * np.concatenate([[0], ends])).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))]), pa.nulls(len(n), pa.binary())
+    rows = [ids[b - k : b] for k, b in zip(n.tolist(), ends.tolist())]
+    narrow = [x.astype("<u2").tobytes() if x.max() < 65536 else None for x in rows]
+    return pa.array(narrow, pa.binary()), pa.array([None if p is not None else x.astype("<u4").tobytes() for p, x in zip(narrow, rows)], pa.binary())
+
+
 def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     for x, wide in zip(batch.column("ids").to_pylist(), batch.column("wide").to_pylist()):
         yield np.frombuffer(x, "<u2").astype(np.uint32) if wide is None else np.frombuffer(wide, np.uint32)

@@ -64,6 +64,43 @@ def test_tokens_equal_the_library():
         assert np.frombuffer(own.encode(t.encode()), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_runs_of_marks_and_digits_equal_the_library():
+    from tokenizers import Tokenizer
+
+    parts = ["$$", "Re%%", "(716)", "555-8176", "<|", "|>", "<|x", "<|startoftext|>", "<|STARTOFTEXT|>", "\x1c", "\x7f", "'s", "'S", "aB", "1", ".", ",", "`~", "!", " "]
+    library, own, rng = Tokenizer.from_file(PATH), rans.WordTokenizer(PATH), random.Random(8)
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 8)))
+        assert np.frombuffer(own.encode(t.encode()), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("at, n", [(0, None), (2, 5), (0, 0)])
+def test_distinct_runs_are_tokenized_once(at, n):
+    """A batch asks the cache once for each lower-case word, not once for each word of the texts; all ids are in their places."""
+    import pyarrow as pa
+
+    texts = [None, b"", b" \t\n\x0b\x0c\r", b" a  b, B. .a, a.. ,a . , A,. Ab, aB. a", b"a\x00b\x1cc \xff\xfe x \xc3. \xff,",
+             "é, Éa. H\u0331a, A\u030a. 日本 😀  x <|STARTOFTEXT|> <|startoftext|>, it's IT'S.".encode(), None, b"x" * 70_000 + b" y"]
+    texts += [" ".join(random.Random(i).choices(["Ab", "ab", "aB,", "AB.", "x"], k=200)).encode() for i in range(30)]
+    one, own, asked = rans.WordTokenizer(PATH), rans.WordTokenizer(PATH), []
+    make, own.runs = own.runs, type("Counted", (dict,), {"__getitem__": lambda self, r: asked.append(r) or make[r]})()
+    column = pa.array(texts, pa.binary()).slice(at, n)
+    ids, lengths = own.encode_all(column, 1)
+    first = 0
+    for x, size in zip(column.to_pylist(), lengths, strict=True):
+        assert ids[first : first + size].tolist() == np.frombuffer(one.encode(x or b""), np.uint32).tolist() + [1], x
+        first += size
+    assert first == len(ids) and len(asked) < 60
+
+
+def test_wide_ids_are_kept():
+    ids, n = np.array([1, 70_000, 2, 65_535, 65_536], np.uint32), np.array([1, 1, 2, 1])
+    narrow, wide = rans._packed(ids, n)
+    got = [np.frombuffer(b, "<u4") if a is None else np.frombuffer(a, "<u2") for a, b in zip(narrow.to_pylist(), wide.to_pylist())]
+    assert [x.tolist() for x in got] == [[1], [70_000], [2, 65_535], [65_536]]
+    assert [x.as_py() for x in rans._packed(ids[:1], n[:1])[0]] == [b"\x01\x00"]
+
+
 def test_files_hold_all_documents_in_order(spark):
     from tokenizers import Tokenizer
 
