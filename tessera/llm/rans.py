@@ -44,7 +44,7 @@ LANES, BLOCK, EVERY = 1024, 1 << 18, 128
 #: Ids that a reader's task decodes at least, if the file has them.
 READ = 1 << 21
 #: Bytes of text that are tokenized at once, and words whose ids are put in place at once.
-TEXT, PLACED = 1 << 24, 1 << 20
+TEXT, PLACED = 1 << 22, 1 << 20
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _HEAD, _FOOT = struct.Struct("<4s6I"), struct.Struct("<3QI4s")
