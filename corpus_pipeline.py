@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text's ids, and the text that they decode to."""
-    return bpe.decode(bpe.encode(docs, BYTE_BPE), BYTE_BPE).select("doc_id", "lang", "source", "ids", "decoded")
+    return bpe.decode(bpe.encode(docs, BYTE_BPE).drop("text"), BYTE_BPE).select("doc_id", "lang", "source", "ids", "decoded")
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]

@@ -86,7 +86,7 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 @query("op8_prefix_dp_bpe")
 def prefix_dp_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE), BYTE_BPE)
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE).drop("text"), BYTE_BPE)
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -31,6 +31,47 @@ def test_ids_equal_the_library(library):
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_columns_equal_the_library(library):
+    import pyarrow as pa
+
+    own = bpe.Bpe(PATH)
+    rng = random.Random(5)
+    marks = PARTS + ["\x85", "\u2003", "\u180e", "\x1f", "\x0b", "\x7f", "'ll", "x.", "1a", "\n ", "\u0660", "\u2167", "x" * 64, "y" * 65]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 16))) for _ in range(3000)] + [None, "", " ", prose(2, 500), None]
+    texts += ["".join(chr(rng.choice([rng.randint(0, 0x250), rng.randint(0xE000, 0x1FFFF)])) + rng.choice(["", " ", "\n"]) for _ in range(99)) for _ in range(50)]
+    rng.shuffle(texts)
+    for some in (texts, texts[:1], [], [None], [""], ["<|endoftext|>"], ["é"]):
+        ids, ends = own.encode_all(pa.array(["before", *some], pa.string()).slice(1))
+        lists = pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), pa.array(ids.astype("int32")))
+        wanted = [library.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert lists.to_pylist() == wanted
+        assert own.decode_all(lists).to_pylist() == [t or "" for t in some]
+
+
+def test_any_ids_are_decoded_as_by_the_library(library):
+    import pyarrow as pa
+
+    own, rng = bpe.Bpe(PATH), random.Random(6)
+    rows = [None if i % 7 == 3 else [rng.randrange(50257) for _ in range(i % 5)] for i in range(300)]
+    rows += [library.encode(t, add_special_tokens=False).ids[:1] for t in ("日", "\U0001f600", "é")]
+    for lists in (pa.array(rows, pa.list_(pa.int32())), pa.array(rows, pa.list_(pa.int32())).slice(2, 100), pa.array([], pa.list_(pa.int32()))):
+        assert own.decode_all(lists).to_pylist() == [None if r is None else library.decode(r, skip_special_tokens=False) for r in lists.to_pylist()]
+
+
+def test_distinct_pieces_of_a_column_take_their_steps_together(monkeypatch):
+    """No piece of a column goes alone but long ones, and one that recurs, also with a mark after it, goes once."""
+    import pyarrow as pa
+
+    own = bpe.Bpe(PATH)
+    alone, together, one, many = [], [], own.encode_piece, own.encode_pieces
+    monkeypatch.setattr(own, "encode_piece", lambda p: alone.append(p) or one(p))
+    monkeypatch.setattr(own, "encode_pieces", lambda text, starts, sizes: together.append(len(sizes)) or many(text, starts, sizes))
+    own.encode_all(pa.array(["an orange, an onion. An onion", "an orange\nonion, " + "z" * 65] * 100))
+    assert alone == ["Ġ" + "z" * 65]
+    # "an", " orange", ",", " an", " onion", ".", " An", "\n", "onion" and the long one
+    assert together == [10]
+
+
 def test_every_token_is_its_own_encoding():
     own = bpe.Bpe(PATH)
     assert len(own.ends) == 50256
