@@ -42,8 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text's ids, and the text that they decode to."""
-    return bpe.decode(bpe.encode(docs, BYTE_BPE).drop("text"), BYTE_BPE).select("doc_id", "lang", "source", "ids", "decoded")
+    """Each text's ids, and the text that they decode to. Ids are stored in between: so a core has one Python worker at a time."""
+    ids = written(bpe.encode(docs.select("doc_id", "lang", "source", "text"), BYTE_BPE, drop=("text",)), "ids")
+    return bpe.decode(ids, BYTE_BPE).select("doc_id", "lang", "source", "ids", "decoded")
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]

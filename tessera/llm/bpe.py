@@ -10,6 +10,9 @@ to runs between single white-space characters, each run once per task while it s
 For a column of texts Arrow numbers the runs and pieces of many texts, and all distinct pieces take their steps
 together, as numpy arrays; runs of printable ASCII are cut by their characters' classes.
 
+Python workers stand beside the executor's heap and live on after a task. So a column goes to a worker once, encoding
+leaves nothing of its vocabulary there, and decoding has the tokens alone.
+
 Vocabularies are byte-level BPE files of the tokenizers library without normalizer; the path must be readable on
 every executor. Defined results: a null text counts as empty and has no ids; texts of any length are
 encoded whole, in time proportional to their length; repeated rows are encoded alike; an empty table gives
@@ -18,6 +21,8 @@ an empty result; extra columns pass through, but for columns named like the outp
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import re
 from array import array
@@ -28,16 +33,14 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed
-
 #: Cached runs in each of a worker's two generations, and cached pair tests.
 CACHE = 300_000
 
 #: Bytes of text that are encoded at once, pieces that take their steps together, and bytes of a piece that goes alone.
-TEXT, TOGETHER, LONG = 1 << 22, 1 << 14, 64
+TEXT, TOGETHER, LONG = 1 << 20, 1 << 14, 64
 #: Results of pair tests on arrays have 2 ** PAIRS places.
 PAIRS = 20
 
@@ -56,6 +59,31 @@ def _alphabet() -> list[str]:
     return [of[b] for b in range(256)]
 
 
+def _spec(path: str) -> dict:
+    """The tokenizer's file, if it is of the kind that is expected."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+    if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or model.get("end_of_word_suffix"):
+        raise ValueError(f"{path}: byte-level BPE without normalizer, prefix space and word ends is expected")
+    if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+        raise ValueError(f"{path}: plain added tokens are expected")
+    if any(c not in model["vocab"] for c in _alphabet()):
+        raise ValueError(f"{path}: a token for every byte is expected")
+    return spec
+
+
+def _tokens(spec: dict) -> list[bytes]:
+    """The bytes of the tokens by id."""
+    byte, vocab = {c: b for b, c in enumerate(_alphabet())}, spec["model"]["vocab"]
+    token = [b""] * (max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1)
+    for t, i in vocab.items():
+        token[i] = bytes(byte[c] for c in t)
+    for t in spec["added_tokens"]:
+        token[t["id"]] = t["content"].encode()
+    return token
+
+
 class Cache(dict):
     """key -> make(key), in two generations: what wasn't asked for since the last turn is forgotten."""
 
@@ -80,25 +108,15 @@ class Cache(dict):
 
 class Bpe:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre, model = spec["pre_tokenizer"] or {}, spec["model"]
-        if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or model.get("end_of_word_suffix"):
-            raise ValueError(f"{path}: byte-level BPE without normalizer, prefix space and word ends is expected")
-        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
-            raise ValueError(f"{path}: plain added tokens are expected")
-        self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        byte = {c: b for b, c in enumerate(_alphabet())}
-        vocab: dict[str, int] = model["vocab"]
-        top = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
-        self.token = [b""] * top
-        for t, i in vocab.items():
-            self.token[i] = bytes(byte[c] for c in t)
+        from tokenizers import pre_tokenizers
+
+        spec = _spec(path)
+        model, vocab = spec["model"], spec["model"]["vocab"]
+        # The pre-tokenizer alone: the library's tokenizer would take a vocabulary of its own.
+        self.cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=spec["pre_tokenizer"].get("use_regex", True)).pre_tokenize_str
+        self.token = _tokens(spec)
+        top = len(self.token)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        for t, i in self.added.items():
-            self.token[i] = t.encode()
         added = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
         self.split_added = re.compile(f"({added})") if added else None
         # Texts whose white space doesn't stand alone between runs, or that have added tokens.
@@ -112,8 +130,6 @@ class Bpe:
             self.pair[p] = r
             if self.parts[i] is None:
                 self.rank[i], self.parts[i] = r, p
-        if any(c not in vocab for c in byte):
-            raise ValueError(f"{path}: a token for every byte is expected")
         self.vocab, self.apart = vocab, {}
         self.size = np.array([len(t) for t in self.token], np.int32)
         mark = _alphabet()[0x20]
@@ -454,13 +470,12 @@ class Bpe:
         return out.take(pa.array(np.argsort(order)))
 
     def forget(self) -> None:
-        """Empties the caches. Spark keeps a worker for later tasks, also of other stages, beside the executor's heap."""
+        """Empties the caches."""
         for cache in (self.bare, self.spaced, self.piece):
             cache.forget()
         self.apart.clear()
         for large in ("steps", "met"):
             self.__dict__.pop(large, None)
-        pa.default_memory_pool().release_unused()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.token[i] for i in ids]).decode("utf-8", "replace")
@@ -471,19 +486,7 @@ class Bpe:
 
     def decode_all(self, ids: pa.ListArray) -> pa.Array:
         """The texts of lists of ids (null: null)."""
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        found = self.tokens.take(pc.list_flatten(ids))
-        if found.null_count:
-            raise ValueError("ids without nulls are expected")
-        at = np.concatenate([[0], _offsets(found)[ends]])
-        valid = pc.is_valid(ids)
-        bits = None if not ids.null_count else pa.array(valid.to_numpy(zero_copy_only=False)).buffers()[1]
-        texts = pa.Array.from_buffers(pa.large_string(), len(ids), [bits, pa.py_buffer(at.astype(np.int64)), found.buffers()[2] or pa.py_buffer(b"")])
-        try:
-            texts.validate(full=True)
-        except pa.ArrowInvalid:  # not UTF-8: ids that end within a character
-            texts = pa.array([None if x is None else x.decode("utf-8", "replace") for x in texts.cast(pa.large_binary()).to_pylist()], pa.large_string())
-        return texts
+        return texts_of(self.tokens, ids)
 
 
 def _next(tables, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -507,12 +510,44 @@ def _offsets(values: pa.Array) -> np.ndarray:
     return np.frombuffer(values.buffers()[1], np.int64, values.offset + len(values) + 1)[values.offset :] if len(values) else np.zeros(1, np.int64)
 
 
+def texts_of(tokens: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """The texts of lists of ids (null: null)."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    found = tokens.take(pc.list_flatten(ids))
+    if found.null_count:
+        raise ValueError("ids without nulls are expected")
+    at = np.concatenate([[0], _offsets(found)[ends]])
+    valid = pc.is_valid(ids)
+    bits = None if not ids.null_count else pa.array(valid.to_numpy(zero_copy_only=False)).buffers()[1]
+    texts = pa.Array.from_buffers(pa.large_string(), len(ids), [bits, pa.py_buffer(at.astype(np.int64)), found.buffers()[2] or pa.py_buffer(b"")])
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:  # not UTF-8: ids that end within a character
+        texts = pa.array([None if x is None else x.decode("utf-8", "replace") for x in texts.cast(pa.large_binary()).to_pylist()], pa.large_string())
+    return texts
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Bpe:
-    """One per worker process."""
+    """One per worker process while it encodes."""
     return Bpe(path)
 
 
+@lru_cache(maxsize=4)
+def tokens_of(path: str) -> pa.Array:
+    """The tokens' bytes by id, all that decoding needs."""
+    return pa.array(_tokens(_spec(path)), pa.large_binary())
+
+
+def _freed() -> None:
+    """Gives what is free back to the system. Spark keeps a worker for later tasks, also of other stages, beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The rows of a batch with at most TEXT bytes of text ``t`` at once, at least one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("t")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -523,10 +558,21 @@ def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with the ids of ``text_col`` as ``out`` (array of int)."""
-    columns = [c for c in df.columns if c != out]
-    rows = packed(df.select(*[F.col(f"`{c}`") for c in columns]), t=F.col(f"`{text_col}`"))
+def _passed(df: DataFrame, col: str, left_out: list[str]) -> tuple[DataFrame, list[str], str, list[Column]]:
+    """The column ``col`` as ``t`` beside the struct ``row`` of the others, each once; which of the two come back, with
+    what types; and the columns of ``df`` as they are had from them."""
+    columns = [c for c in df.columns if c not in left_out]
+    others = [c for c in columns if c != col]
+    row = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")] if others else []
+    sent = df.select(*row, F.col(f"`{col}`").alias("t"))
+    back = ["row"] * bool(others) + ["t"] * (col in columns)
+    types = "".join(f"{c} {sent.schema[c].dataType.simpleString()}, " for c in back)
+    return sent, back, types, [(F.col("t") if c == col else F.col("row").getField(c)).alias(c) for c in columns]
+
+
+def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without the columns ``drop``, with the ids of ``text_col`` as ``out`` (array of int)."""
+    rows, back, types, columns = _passed(df, text_col, [out, *drop])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
@@ -535,25 +581,28 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -
                 for part in parts(batch):
                     ids, ends = bpe.encode_all(part.column("t"))
                     offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([part.column("row"), pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32)))], ["row", "ids"])
+                    yield pa.RecordBatch.from_arrays([*map(part.column, back), pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32)))], [*back, "ids"])
         finally:
             bpe.forget()
+            del bpe
+            vocabulary.cache_clear()
+            _freed()
 
-    done = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
-    return done.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("ids").alias(out))
+    return rows.mapInArrow(run, f"{types}ids array<int>").select(*columns, F.col("ids").alias(out))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids_col`` as ``out`` (null ids: null)."""
-    columns = [c for c in df.columns if c != out]
-    rows = packed(df.select(*[F.col(f"`{c}`") for c in columns]), t=F.col(f"`{ids_col}`"))
+    rows, back, types, columns = _passed(df, ids_col, [out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column("row"), bpe.decode_all(part.column("t")).cast(pa.string())], ["row", "text"])
+        tokens = tokens_of(path)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    yield pa.RecordBatch.from_arrays([*map(part.column, back), texts_of(tokens, part.column("t")).cast(pa.string())], [*back, "text"])
+        finally:
+            _freed()
 
-    done = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string")
-    return done.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("text").alias(out))
+    return rows.mapInArrow(run, f"{types}text string").select(*columns, F.col("text").alias(out))

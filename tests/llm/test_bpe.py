@@ -96,6 +96,23 @@ def test_frames(spark, library):
     assert bpe.encode(documents(spark, []), PATH).collect() == []
 
 
+def test_workers_keep_no_vocabulary_after_a_task(spark):
+    df = documents(spark, [(i, prose(i, 300), "en", "a") for i in range(80)]).repartition(8)
+    ids = bpe.encode(df, PATH, drop=("text",))
+    assert ids.columns == [c for c in df.columns if c != "text"] + ["ids"]
+    assert bpe.decode(ids, PATH).select("decoded").toPandas()["decoded"].map(len).min() > 0
+
+    def held(batches):
+        import pyarrow as pa
+
+        n = bpe.vocabulary.cache_info().currsize
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n] * b.num_rows, pa.int64())})
+
+    got = spark.range(80).repartition(8).mapInArrow(held, "n long").collect()
+    assert len(got) == 80 and not any(r.n for r in got)
+
+
 def test_workers_keep_no_caches_after_a_task(spark):
     """Workers live on beside the executor's heap, and other stages' tasks run in them."""
     df = documents(spark, [(i, prose(i, 300), "en", "a") for i in range(80)]).repartition(8)
@@ -113,6 +130,21 @@ def test_workers_keep_no_caches_after_a_task(spark):
     assert len(got) == 80 and not any(r.n for r in got)
 
 
+def test_a_column_goes_to_a_worker_once(spark):
+    """Alone, renamed over itself, or beside others: what passes through comes back with its own values."""
+    df = documents(spark, [(1, "an orange", "en", "a"), (2, None, "en", "b"), (3, "", None, None)]).coalesce(1)
+    rows = df.collect()
+    ids = bpe.encode(df, PATH)
+    assert [tuple(r)[:-1] for r in ids.collect()] == [tuple(r) for r in rows]
+    assert ids.columns == [*df.columns, "ids"] and bpe.decode(ids, PATH).columns == [*df.columns, "ids", "decoded"]
+    alone = bpe.decode(bpe.encode(df.select("text"), PATH), PATH)
+    assert [(r.text, r.decoded) for r in alone.collect()] == [(r.text, r.text or "") for r in rows]
+    over = bpe.decode(bpe.encode(df.select("text"), PATH, out="text"), PATH, "text", "text")
+    assert over.columns == ["text"] and [r.text for r in over.collect()] == [r.text or "" for r in rows]
+    sent, _, types, _ = bpe._passed(df, "text", ["ids"])
+    assert sent.schema.simpleString().count("text") == 0 and sent.schema["row"].dataType.names == [c for c in df.columns if c != "text"] and [*sent.columns] == ["row", "t"] and types.endswith("t string, ")
+
+
 def test_other_kinds_of_vocabulary_are_refused():
     with pytest.raises(ValueError):
         bpe.Bpe(public_tokenizers.path("word_bpe_49k.json"))

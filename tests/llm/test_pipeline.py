@@ -35,3 +35,10 @@ def test_stages_take_effect(spark):
 def test_run_returns_the_last_stage(spark):
     out = P.run(spark, SF_SMALL)
     assert out.columns == ["doc_id", "lang", "source", "ids", "decoded"] and out.where(F.size("ids") == 0).count() == 0
+
+
+def test_encoding_and_decoding_have_workers_one_after_the_other(spark):
+    """Python workers stand beside the executor's heap: a task of the last stage has one."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(20)
+    plan = P.encode(spark, docs, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
