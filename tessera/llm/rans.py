@@ -24,6 +24,7 @@ import re
 import struct
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -50,14 +51,17 @@ _WORD = np.uint64(32)
 _HEAD, _FOOT = struct.Struct("<4s6I"), struct.Struct("<3QI4s")
 
 
-#: Runs of printable ASCII without apostrophes, and the pieces that the pre-tokenizer cuts them into.
-_PLAIN, _PIECE = re.compile(rb"[!-&(-~]+"), re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
-#: End of the Latin blocks: letters below it are composed and have lower-case forms without context.
-LATIN = "\u0130"
+#: Printable ASCII without apostrophes, and the letters of the Latin blocks, which are composed and have lower-case forms without
+#: context: runs of these are cut between letters, digits and marks (``_KIND``), and each digit stands alone.
+_PLAIN = "^[!-&(-~\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]*$"
+#: A piece of such a run, lower-case.
+_PIECE = re.compile(r"[!-&(-/:-~]+|[0-9]|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u012f]+")
+_DIGIT = 1
+_KIND = np.array([_DIGIT if chr(b) in "0123456789" else 2 * (b > 127 or chr(b).isalpha()) for b in range(256)], np.uint8)
 
 
 class WordTokenizer:
-    """The ids that the tokenizers library gives, with a cache of the runs between ASCII white space.
+    """The ids that the tokenizers library gives, with a cache of the pieces of runs between ASCII white space.
 
     That needs a tokenizer in which white space only separates: pieces of the pre-tokenizer have none, and
     neither the normalizer nor the added tokens look across it.
@@ -71,58 +75,37 @@ class WordTokenizer:
         if pieces != ["a", "b", "c", "d"]:
             raise ValueError(f"{path}: a tokenizer that drops white space is expected")
         self.model = self.tokenizer.model
-        self.alphabet = _alphabet()
-        self.runs, self.word = Cache(self._run, 500_000), Cache(self._word, 300_000)
+        self.alphabet = "".join(_alphabet())
+        self.runs = Cache(self._run, 500_000)
 
     def _run(self, run: bytes) -> bytes:
-        if run.isalpha() and run.islower():  # ASCII
-            return self._word(run.decode())
-        if _PLAIN.fullmatch(run) and b"<|" not in run:
-            return b"".join([self.word[p.decode()] for p in _PIECE.findall(run.lower())])
+        """Ids of a lower-case piece, by the library's model, or of any other run, by the whole library."""
         text = run.decode("utf-8", "replace")
-        # A word of Latin letters, and a mark after it, are pieces as they stand: composed and without context.
-        if text.isalpha() and max(text) < LATIN:
-            return self.word[text.lower()]
-        if text[-1] in ",." and text[:-1].isalpha() and max(text) < LATIN:
-            return self.word[text[:-1].lower()] + self.word[text[-1]]
+        if run.isalpha() or (b"<|" not in run and _PIECE.fullmatch(text)):
+            return array("I", [t.id for t in self.model.tokenize(charmap_decode(run, "strict", self.alphabet)[0])]).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, piece: str) -> bytes:
-        """Ids of a lower-case piece, by the library's model."""
-        mapped = piece if piece.isascii() else "".join([self.alphabet[b] for b in piece.encode()])
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
     def encode(self, text: bytes) -> bytes:
         """Ids (u32, little-endian) of a UTF-8 text."""
-        runs = self.runs
-        return b"".join([runs[r] for r in text.split()])
+        return self.encode_all(pa.array([text], pa.binary()), 0)[0][:-1].tobytes()
 
     def encode_all(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths): the ids (u32) of all UTF-8 texts (binary; null: empty) one after the other, each text's followed by ``end``.
 
-        Arrow cuts and numbers the runs, and takes the comma or full stop off ASCII words. So the cache is asked once for each
-        distinct word of the texts, and the ids are put in place by number.
+        Arrow cuts and numbers the runs. So the cache is asked once for each distinct piece of the texts, and the ids are
+        put in place by number.
         """
         cut = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset))
         many = pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         named = pc.list_flatten(cut).dictionary_encode()
-        run = named.dictionary
-        comma, stop = pc.ends_with(run, ","), pc.ends_with(run, ".")
-        stem = pc.if_else(pc.or_(comma, stop), pc.binary_slice(run.cast(pa.binary()), 0, -1), run.cast(pa.binary()))
-        stem = pa.Array.from_buffers(pa.string(), len(stem), stem.buffers(), offset=stem.offset)
-        plain = pc.ascii_is_alpha(stem)
-        pieces = pc.if_else(plain, pc.ascii_lower(stem), run).cast(pa.binary()).dictionary_encode()
+        pieces, upto = _pieces(named.dictionary)  # space at a text's ends leaves an empty run, without pieces
         runs = self.runs
-        own = [runs[r] if r else b"" for r in pieces.dictionary.to_pylist()]  # space at a text's ends leaves an empty run
-        own += [b"", runs[b","], runs[b"."]]
-        n = len(pieces.dictionary)
-        marks = np.where(plain.to_numpy(zero_copy_only=False), n + comma.to_numpy(zero_copy_only=False) + 2 * stop.to_numpy(zero_copy_only=False), n)
-        both = np.column_stack([pieces.indices.to_numpy(zero_copy_only=False), marks]).ravel()
-        pool, size = _placed(np.frombuffer(b"".join(own), np.uint32), np.fromiter(map(len, own), np.int64, len(own)) // 4, both)
+        own = [runs[p] for p in _values(pieces.dictionary)]
+        pool, size = _placed(np.frombuffer(b"".join(own), np.uint32), np.fromiter(map(len, own), np.int64, len(own)) // 4, pieces.indices.to_numpy(zero_copy_only=False))
         # The end id is one more run, after each text's own.
-        pool, size = np.append(pool, np.uint32(end)), np.append(size.reshape(-1, 2).sum(axis=1), 1)
+        pool, size = np.append(pool, np.uint32(end)), np.append(np.diff(np.append(0, np.cumsum(size))[upto]), 1)
         ends = np.cumsum(many + 1) - 1
-        numbers = np.full(int(many.sum()) + len(many), len(run), np.int64)
+        numbers = np.full(int(many.sum()) + len(many), len(named.dictionary), np.int64)
         inner = np.ones(len(numbers), bool)
         inner[ends] = False
         numbers[inner] = named.indices.to_numpy(zero_copy_only=False)
@@ -130,6 +113,35 @@ class WordTokenizer:
         return ids, np.diff(np.cumsum(sizes)[ends], prepend=0)
 
 
+def _pieces(run: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(pieces, upto): the lower-case pieces of plain runs, and other runs whole (binary); how many come before each run, and all."""
+    plain = pc.and_not(pc.match_substring_regex(run, _PLAIN), pc.match_substring(run, "<|"))
+    low = pc.if_else(plain, pc.utf8_lower(pc.if_else(plain, run, "")), run).cast(pa.binary())
+    data, edges = _bytes(low)
+    kind = _KIND[np.frombuffer(data, np.uint8)]
+    first = np.ones(len(kind), bool)
+    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    first &= np.repeat(plain.to_numpy(zero_copy_only=False), np.diff(edges))
+    first[edges[:-1][np.diff(edges) > 0]] = True
+    at = np.append(np.flatnonzero(first), len(kind)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+    return pieces.dictionary_encode(), np.searchsorted(at, edges)
+
+
+def _bytes(values: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """The bytes of a binary column without nulls, and where its values begin in them, and the end."""
+    edges = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset)
+    data = values.buffers()[2] or pa.py_buffer(b"")
+    return data.slice(int(edges[0]), int(edges[-1] - edges[0])), edges - edges[0]
+
+
+def _values(column: pa.Array) -> Iterator[bytes]:
+    """The values of a binary column without nulls."""
+    data, edges = _bytes(column)
+    edges = edges.tolist()
+    return map(data.to_pybytes().__getitem__, map(slice, edges, edges[1:]))
+
+
 def _placed(pool: np.ndarray, size: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, sizes): the ids of the numbered runs one after the other. The pool holds the runs' ids, of ``size`` each."""
     start, sizes, out = np.cumsum(size) - size, size[numbers], [np.empty(0, np.uint32)]
@@ -179,18 +191,18 @@ def encode_block(ids: np.ndarray, t: Table, lanes: int = LANES, every: int = EVE
     words: list[np.ndarray] = []  # last row first
     saved: list[tuple[int, np.ndarray]] = []
     n_words = 0
-    limit = np.uint64(63 - SCALE)
+    limit, scale = np.uint64(63 - SCALE), np.uint64(SCALE)
+    low, freq, cum = np.uint64(0xFFFFFFFF), t.freq.take(ids), t.cum.take(ids)
     for r in range(rows - 1, -1, -1):
-        row = ids[r * lanes : (r + 1) * lanes]
-        s = state[: len(row)]
-        f = t.freq[row]
-        full = s >= (f << limit)
-        out = (s[full] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        s[full] >>= _WORD
-        words.append(out)
-        n_words += len(out)
+        f = freq[r * lanes : (r + 1) * lanes]
+        s = state[: len(f)]
+        full = np.flatnonzero(s >= (f << limit))
+        over = s.take(full)
+        words.append((over & low).astype(np.uint32))
+        n_words += len(full)
+        s[full] = over >> _WORD
         q = s // f
-        s[:] = (q << np.uint64(SCALE)) + (s - q * f) + t.cum[row]
+        s[:] = (q << scale) + (s - q * f) + cum[r * lanes : (r + 1) * lanes]
         if r % every == 0:
             saved.append((n_words, state.copy()))
     saved.reverse()
@@ -221,12 +233,11 @@ def decode_block(block: bytes, t: Table, lo: int = 0, hi: int | None = None) ->
     for a in range(base, min(n, -(-hi // lanes) * lanes), lanes):
         s = state[: min(lanes, n - a)]
         slot = s & mask
-        got = t.symbol[slot]
-        s[:] = t.freq[got] * (s >> shift) + slot - t.cum[got]
-        low = s < _LOW
-        k = int(np.count_nonzero(low))
-        s[low] = (s[low] << _WORD) | words[place : place + k]
-        place += k
+        got = t.symbol.take(slot.view(np.int64))
+        s[:] = t.freq.take(got) * (s >> shift) + slot - t.cum.take(got)
+        low = np.flatnonzero(s < _LOW)
+        s[low] = (s.take(low) << _WORD) | words[place : place + len(low)]
+        place += len(low)
         out[a - base : a - base + len(got)] = got
     if lo == 0 and hi == n and zlib.crc32(out[:n].astype("<u4").tobytes()) != crc:
         raise ValueError("a block's checksum is wrong")

@@ -93,6 +93,29 @@ def test_distinct_runs_are_tokenized_once(at, n):
     assert first == len(ids) and len(asked) < 60
 
 
+def test_pieces_are_asked_for_once_in_any_case_and_beside_any_marks():
+    """The cache is asked for letters, digits and marks apart: as often as there are distinct lower-case pieces, not distinct runs."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    stems, marks = ["ab", "xyz", "éa", "ñandú", "ß"], ["", ",", ".", "$$", ".***", "7", "(716)"]
+    runs = [m + c(s) + k for s in stems for c in (str.lower, str.capitalize) for m in marks for k in marks]
+    library, own, asked = Tokenizer.from_file(PATH), rans.WordTokenizer(PATH), []
+    make, own.runs = own.runs, type("Counted", (dict,), {"__getitem__": lambda self, r: asked.append(r) or make[r]})()
+    ids, lengths = own.encode_all(pa.array([" ".join(runs).encode()], pa.binary()), 1)
+    assert ids.tolist() == library.encode(" ".join(runs), add_special_tokens=False).ids + [1] and lengths.tolist() == [len(ids)]
+    assert len(set(runs)) > 400 and len(asked) == len(set(asked)) < 30
+
+
+def test_every_latin_character_beside_letters_digits_and_marks_equals_the_library():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(PATH), rans.WordTokenizer(PATH)
+    for c in map(chr, range(0x21, 0x250)):
+        for t in (c, f"a{c}B", f"{c}1{c}", f"é{c}.", f"$${c}{c}%7", f"x'{c}", f"Z{c}\u0301 {c}s"):
+            assert np.frombuffer(own.encode(t.encode()), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_wide_ids_are_kept():
     ids, n = np.array([1, 70_000, 2, 65_535, 65_536], np.uint32), np.array([1, 1, 2, 1])
     narrow, wide = rans._packed(ids, n)
