@@ -1,9 +1,10 @@
 """Container logs: frames into lines, in batch and as a keyed stream.
 
 Almost every line lies within one frame and is emitted where it is; only a frame's first and last piece meet others.
-Their place in the stream comes from running counts over frames (carried on two levels, see ``operators.windows``), and
-a line is put together in parts of at most ``PART`` characters, so that a stream without newlines is cut and never
-gathered in one group. Frames are placed once and stored with their places; what follows reads them from there.
+Their place in the stream comes from running counts over frames (carried on two levels, see ``operators.windows``).
+``log_lines`` puts every line together whole, whatever its length, as what judges a line must see all of it. A viewer
+gets a line in parts of at most ``PART`` characters, so that a stream without newlines is cut and never gathered in one
+group. Frames are placed once and stored with their places; what follows reads them from there.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.windows import running_total
 from ..session import scratch_dir
 
-#: Characters of a part of a line; lines up to here have one part.
+#: Characters of a part of a line in a viewer's events; lines up to here have one part.
 PART = 1 << 20
 
 # Texts that stand for the stream's end and for an error of it, and the mark of the second stream's lines.
@@ -48,25 +49,37 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def assembled(frames: DataFrame, keys: list[str], seq: str, text: str, seq_chunk: int = 1 << 20, part: int = PART) -> DataFrame:
-    """(keys, line_no, part, text, done, full, at_seq, at_pos): every line; ``done`` if a newline ends it, ``full`` if a part follows.
-
-    ``at_seq``, ``at_pos``: the frame that holds the line's end, and the number of newlines before it there.
-    """
+def _placed(frames: DataFrame, keys: list[str], seq: str, text: str, seq_chunk: int) -> DataFrame:
+    """(keys, _seq, _text, _nl, _chars, _before, _from): each frame's newlines and characters, and those of its stream before it."""
     f = frames.select(*keys, seq, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     f = f.withColumn("_chars", F.length("_text").cast("bigint")).withColumn("_nl", F.col("_chars") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))))
     f = f.withColumn("_k", F.concat_ws("\u0001", *[F.col(k) for k in keys])).withColumn("_tie", F.xxhash64("_text"))
-    f = f.withColumn("_first", F.length(F.substring_index("_text", "\n", 1)).cast("bigint")).withColumn("_last", F.length(F.substring_index("_text", "\n", -1)).cast("bigint"))
     f = running_total(f, "_k", seq, "_tie", ["_nl", "_chars"], chunk_ms=seq_chunk)
-    f = _stored(f.select(*keys, F.col(seq).alias("_seq"), "_text", "_nl", "_chars", "_first", "_last",
-                         (F.col("_nl_run") - F.col("_nl")).alias("_before"), (F.col("_chars_run") - F.col("_chars")).alias("_from")))
+    return f.select(*keys, F.col(seq).alias("_seq"), "_text", "_nl", "_chars",
+                    (F.col("_nl_run") - F.col("_nl")).alias("_before"), (F.col("_chars_run") - F.col("_chars")).alias("_from"))
+
+
+def _pieces(f: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The texts between newlines, (keys, _seq, _nl, line_no, _i, _piece): whole lines, and frames' first and last pieces with ``_at``, their place."""
     p = f.select(*keys, "_seq", "_nl", "_before", "_from", "_chars", F.posexplode(F.split("_text", "\n", -1)).alias("_i", "_piece"))
     p = p.withColumn("line_no", F.col("_before") + F.col("_i"))
     inner = (F.col("_i") > 0) & (F.col("_i") < F.col("_nl"))
-    whole = p.where(inner).select(*keys, "line_no", F.inline(_cut(F.col("_piece"), F.lit(0).cast("bigint"), part)), F.col("_seq").alias("at_seq"), F.col("_i").cast("bigint").alias("at_pos"))
-    whole = whole.select(*keys, "line_no", "part", "text", F.lit(True).alias("done"), F.lit(True).alias("full"), "at_seq", "at_pos")
     # A frame's first piece begins where the frame does, its last one so many characters before the frame's end.
-    edge = p.where(~inner).withColumn("_at", F.col("_from") + F.when(F.col("_i") == 0, 0).otherwise(F.col("_chars") - F.length("_piece")))
+    at = F.col("_from") + F.when(F.col("_i") == 0, 0).otherwise(F.col("_chars") - F.length("_piece"))
+    return p.where(inner), p.where(~inner).withColumn("_at", at)
+
+
+def assembled(frames: DataFrame, keys: list[str], seq: str, text: str, seq_chunk: int = 1 << 20, part: int = PART) -> DataFrame:
+    """(keys, line_no, part, text, done, full, at_seq, at_pos): every line; ``done`` if a newline ends it, ``full`` if a part follows.
+
+    ``at_seq``, ``at_pos``: the frame that holds the line's end, and the number of newlines before it there.
+    """
+    f = _placed(frames, keys, seq, text, seq_chunk)
+    f = f.withColumn("_first", F.length(F.substring_index("_text", "\n", 1)).cast("bigint")).withColumn("_last", F.length(F.substring_index("_text", "\n", -1)).cast("bigint"))
+    f = _stored(f)
+    whole, edge = _pieces(f, keys)
+    whole = whole.select(*keys, "line_no", F.inline(_cut(F.col("_piece"), F.lit(0).cast("bigint"), part)), F.col("_seq").alias("at_seq"), F.col("_i").cast("bigint").alias("at_pos"))
+    whole = whole.select(*keys, "line_no", "part", "text", F.lit(True).alias("done"), F.lit(True).alias("full"), "at_seq", "at_pos")
     # The lines' extents come from the stored numbers, without the texts.
     head = F.struct(F.col("_before").alias("_line"), F.col("_from").alias("_at"), F.col("_first").alias("_n"), (F.col("_nl") > 0).alias("_done"))
     tail = F.struct((F.col("_before") + F.col("_nl")).alias("_line"), (F.col("_from") + F.col("_chars") - F.col("_last")).alias("_at"), F.col("_last").alias("_n"), F.lit(False).alias("_done"))
@@ -87,11 +100,15 @@ def _marked(kind: Column, part: Column, text: Column) -> Column:
     return F.when((kind == "stderr") & (part == 0), F.concat(F.lit(STDERR), text)).otherwise(text)
 
 
-def log_lines(chunks: DataFrame, keys: list[str] = ("container", "stream"), seq: str = "seq", text: str = "chunk",
-              seq_chunk: int = 1 << 20, part: int = PART) -> DataFrame:
-    """(keys, line_no, part, line): complete streams; what follows the last newline is a line if it isn't empty."""
-    out = assembled(chunks, list(keys), seq, text, seq_chunk, part).where(F.col("done") | (F.col("text") != ""))
-    return out.select(*keys, "line_no", "part", _marked(F.col("stream"), F.col("part"), F.col("text")).alias("line"))
+def log_lines(chunks: DataFrame, keys: list[str] = ("container", "stream"), seq: str = "seq", text: str = "chunk", seq_chunk: int = 1 << 20) -> DataFrame:
+    """(keys, line_no, line): complete streams, a row for each whole line; what follows the last newline is a line if it isn't empty."""
+    keys = list(keys)
+    whole, edge = _pieces(_stored(_placed(chunks, keys, seq, text, seq_chunk)), keys)
+    # A line is one value, so the group of its pieces is no larger than the row that is asked for.
+    joined = edge.groupBy(*keys, "line_no").agg(F.max(F.col("_i") < F.col("_nl")).alias("_done"), F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY _at)").alias("_line"))
+    joined = joined.where(F.col("_done") | (F.col("_line") != ""))
+    lines = whole.select(*keys, "line_no", F.col("_piece").alias("_line")).unionByName(joined.drop("_done"))
+    return lines.select(*keys, "line_no", _marked(F.col("stream"), F.lit(0), F.col("_line")).alias("line"))
 
 
 def log_events(frames: DataFrame, container: str = "container", kind: str = "kind", seq: str = "seq", text: str = "chunk",

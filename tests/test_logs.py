@@ -75,6 +75,35 @@ def test_a_stream_without_newlines_is_cut(spark):
     assert LG.log_events(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("seed, chunk", [(6, 1 << 20), (7, 16), (8, 3)])
+def test_lines_equal_the_streams_split(spark, seed, chunk):
+    rows = [(None if c == "c5" else c, k, seq, text) for c, k, seq, text in frames(seed) if k in ("stdout", "stderr")]
+    want = []
+    for key in {r[:2] for r in rows}:
+        *done, rest = "".join(r[3] or "" for r in sorted((r for r in rows if r[:2] == key), key=lambda r: r[2])).split("\n")
+        want += [(*key, i, (LG.STDERR if key[1] == "stderr" else "") + line) for i, line in enumerate(done + [rest] * (rest != ""))]
+    df = spark.createDataFrame(rows, "container string, stream string, seq long, chunk string").repartition(5)
+    got = LG.log_lines(df, seq_chunk=chunk).select("container", "stream", "line_no", "line").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_a_long_line_is_judged_whole(spark, tmp_path):
+    """One row for a line, whatever its length: a word may lie anywhere in it, and a line of stderr is one to its end."""
+    from tessera.plans import registry
+
+    docs = [(1, "x" * (LG.PART - 1) + "le" + "y" * 300 + "\nshort le\nnone\n"), (2, "a" * (2 * LG.PART) + "Le"),  # over a multiple of 2^20, past two
+            (3, "z" * LG.PART + "le\n"), (4, "w" * (LG.PART - 9) + "error le " + "v" * LG.PART + "warn\nwarn"), (6, "e" * (LG.PART - 2) + "Traceback\n")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    registry.load_all()
+    lines = [(f"ctr-{d % 5}", "stdout" if d % 3 else "stderr", i, line) for d, text in docs[:-1] for i, line in enumerate(x for x in text.split("\n") if x)]
+    lines.append(("ctr-1", "stderr", 0, docs[-1][1][:-1]))
+    got = registry.run("log_filter", spark, str(tmp_path)).select("container", "stream", "line_no", "line").collect()
+    assert sorted(map(tuple, got)) == sorted(x for x in lines if x[1] == "stdout" and "le" in x[3].lower())
+    word = lambda x: "error" if "error" in x or "traceback" in x else "warning" if "warn" in x else "info"
+    got = registry.run("log_severity", spark, str(tmp_path)).select("container", "stream", "line_no", "severity").collect()
+    assert sorted(map(tuple, got)) == sorted((*x[:3], word(x[3].lower())) for x in lines)
+
+
 def test_frames_are_placed_once(spark):
     """The running counts over the frames are worked out once and stored; lines, events and the lines' extents read them there."""
     df = spark.createDataFrame(frames(5), SCHEMA)
